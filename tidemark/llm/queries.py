@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, rans
+from .common import scratch_path
 from .tables import table
 
 
@@ -14,6 +15,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file, which holds on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    rans.write(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
+    return rans.read(spark, folder, ids=False).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
