@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, rans, warc
+from . import bpe, exact_dedup, langid, mixing, pii, rans, warc
 from .common import crc_mod, scratch_path
 from .tables import table
 
@@ -23,6 +23,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("pii_spans"), base_only=True), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
