@@ -168,82 +168,117 @@ def decode_frame(parts, table: Table, check: bool = True) -> np.ndarray:
     return ids
 
 
-@lru_cache(1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Tokenizer:
+    """The tokenizers library with the ids of the pieces it has met, packed, in two generations of CACHE_WORDS.
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t, {}
+    Texts are cut where the byte-level split always begins a new word: before a single space (see bpe.py), and, in
+    texts without other white space, around a single line end. A piece that ends in one mark after a letter is two
+    words, the body and the mark. Pieces met before come from the cache, the others go to the library in one
+    batch. Texts with other white space, or what may be a special token, go to the library whole.
+    """
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
+        self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces; none if the text has to be encoded whole."""
+        if not text or "  " in text or text[-1] == " " or "\0" in text or any(s in text for s in self.special):
+            return []
+        if "\n" in text:
+            if "\n\n" in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
+                return text.replace(" ", "\0 ").split("\0")
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return text.replace(" ", "\0 ").split("\0")
+
+    def encode(self, texts: list[str], dtype: str) -> list[bytes]:
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        new[""] = b""
+        cut = list(map(self.cut, texts))
+        missing = set(chain.from_iterable(cut)).difference(new)
+        for piece in missing & old.keys():
+            new[piece] = old[piece]
+            missing.discard(piece)
+        two = [p for p in missing if p[-1] in MARKS and p[-2:-1].isalpha()]
+        missing.difference_update(two)
+        bodies = {p[:-1] for p in two}
+        missing |= bodies.difference(new) | {p[-1] for p in two}.difference(new)
+        batch = list(missing)
+        for piece, e in zip(batch, self.lib.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            new[piece] = np.array(e.ids, dtype).tobytes()
+        for p in two:
+            new[p] = new[p[:-1]] + new[p[-1]]
+        whole = [t for t, parts in zip(texts, cut, strict=True) if t and not parts]
+        rest = iter([np.array(e.ids, dtype).tobytes() for e in self.lib.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
+        get = new.__getitem__
+        return [b"".join(map(get, parts)) if parts else next(rest) if t else b"" for t, parts in zip(texts, cut, strict=True)]
+
+
+#: Single marks that end a word when a letter stands before them.
+MARKS = frozenset(",.;:!?|")
 
-def _encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as packed u32, by the tokenizers library.
 
-    Texts are cut at single spaces, where the byte-level split always begins a new word (see bpe.py); pieces met
-    before come from a cache, the others go to the library in one batch. Texts with double spaces, a space at
-    the end, or what may be a special token go to the library whole.
-    """
-    tok, cache = _tokenizer(path)
-    if len(cache) >= CACHE_WORDS:
-        cache.clear()
-    cut: list[list[str]] = []
-    whole: list[str] = []
-    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    for t in texts:
-        if not t or "  " in t or t[-1] == " " or "\0" in t or any(s in t for s in special):
-            cut.append([])
-            whole.append(t)
-        else:
-            parts = t.replace(" ", "\0 ").split("\0")
-            if not parts[0]:
-                del parts[0]
-            cut.append(parts)
-    new = list(set(chain.from_iterable(cut)).difference(cache))
-    for piece, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        cache[piece] = np.array(e.ids, "<u4").tobytes()
-    rest = iter([np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
-    get = cache.__getitem__
-    return [b"".join(map(get, parts)) if parts else next(rest) for parts in cut]
+@lru_cache(1)
+def _tokenizer(path: str) -> _Tokenizer:
+    return _Tokenizer(path)
 
 
 def tokenise(docs: DataFrame, path: str, text: str, key: str, end_id: int, n_shards: int) -> DataFrame:
-    """(shard, key, at: ids before it in its shard, ids as packed u32 with the end id) ranged and sorted by key, as a scratch table. Null keys come first."""
+    """(shard, key, at: ids before it in its shard, n: ids with the end id, ids packed), ranged and sorted by key, as a scratch table.
+
+    ids are unsigned 16-bit integers where the vocabulary allows, else 32-bit. The last row of a shard has the null
+    n and holds the counts of the shard's ids as 64-bit integers. Null keys come first.
+    """
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        shard, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        tok = _tokenizer(path)
+        dtype = width(max(tok.size, end_id + 1))
+        shard, at, end, total = TaskContext.get().partitionId(), 0, np.array([end_id], dtype).tobytes(), np.zeros(max(tok.size, end_id + 1), np.int64)
+        names = ["shard", "key", "at", "n", "ids"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 1000):
-                ids = [x + end for x in _encode_texts(texts[lo : lo + 1000], path)]
-                ends = at + np.cumsum([len(x) // 4 for x in ids])
-                begins = np.append(at, ends[:-1]).astype(np.int64)
+                ids = [x + end for x in tok.encode(texts[lo : lo + 1000], dtype)]
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(total))
+                n = np.array([len(x) for x in ids]) // np.dtype(dtype).itemsize
+                ends = at + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0).slice(lo, len(ids)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], names=names)
                 at = int(ends[-1])
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0).slice(lo, len(ids)), pa.array(begins), pa.array(ids, pa.binary())], names=["shard", "key", "at", "ids"])
+        if at:
+            (seen,) = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.int64()), pa.array([np.stack([seen, total[seen]]).astype("<i8").tobytes()], pa.binary())], names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n_shards, "key").sortWithinPartitions("key", F.xxhash64("text"))
-    return materialise(rows.mapInArrow(run, "shard int, key bigint, at bigint, ids binary"), "tokens")
+    return materialise(rows.mapInArrow(run, "shard int, key bigint, at bigint, n bigint, ids binary"), "tokens")
+
+
+def width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def shared_table(tokens: DataFrame) -> Table:
     """The frequency table over all ids; the driver gets one row per vocabulary id at most."""
 
-    def count(batches):
-        total = np.zeros(1, np.int64)
+    def spread(batches):
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            n = np.bincount(ids, minlength=len(total))
-            n[: len(total)] += total
-            total = n
-        (at,) = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    got = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for blob in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(blob, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    got = tokens.filter("n is null").select("ids").mapInArrow(spread, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return Table(got["id"].to_numpy(), got["n"].to_numpy())
 
 
@@ -256,7 +291,8 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", key: str
     spark = docs.sparkSession
     tokens = tokenise(docs, path, text, key, end_id, n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     table = shared_table(tokens)
-    sizes = tokens.groupBy("shard").agg((F.sum(F.octet_length("ids")) / 4).cast("long").alias("n")).toPandas().sort_values("shard")
+    sizes = tokens.filter("n is null").select("shard", F.col("at").alias("n")).toPandas().sort_values("shard")
+    dtype = width(max(_tokenizer(path).size, end_id + 1))
     starts = dict(zip(sizes["shard"].tolist(), (sizes["n"].cumsum() - sizes["n"]).tolist(), strict=True))  # of shards, not documents
     shared = spark.sparkContext.broadcast((table, starts))
 
@@ -267,27 +303,27 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", key: str
 
         def flush():
             nonlocal keys, parts, n
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            lengths = np.array([len(p) // 4 for p in parts], np.uint32)
+            ids = np.frombuffer(b"".join(parts), dtype).astype(np.uint32)
+            lengths = np.array([len(p) for p in parts], np.uint32) // np.dtype(dtype).itemsize
             blob = frame(starts[shard] + begin, np.array(keys, np.int64), lengths, ids, table)
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "first", "n", "blob"])
             keys, parts, n = [], [], 0
             return out
 
         for batch in batches:
-            for s, k, at, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for s, k, at, size, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if parts and (s != shard or at != expected or n >= block_ids):
                     yield flush()
                 if not parts:
                     shard, begin = s, at
                 keys.append(-(1 << 63) if k is None else k)
                 parts.append(ids)
-                n += len(ids) // 4
-                expected = at + len(ids) // 4
+                n += size
+                expected = at + size
         if parts:
             yield flush()
 
-    blobs = tokens.mapInArrow(run, "shard int, first bigint, n bigint, blob binary")
+    blobs = tokens.filter("n is not null").mapInArrow(run, "shard int, first bigint, n bigint, blob binary")
     blobs = blobs.select(F.format_string("%06d", "shard").alias("shard"), "first", F.col("blob").cast("string").alias("value"))
     blobs.sortWithinPartitions("shard", "first").select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").text(f"{folder}/frames")
     spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(table.freq.tolist()) if f], "id int, freq int").coalesce(1).write.parquet(f"{folder}/table")
