@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, pii, rans, warc
+from . import bpe, exact_dedup, langid, mixing, pii, quality, rans, warc
 from .common import crc_mod, scratch_path
 from .tables import table
 
@@ -23,6 +23,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    model = quality.train(docs.filter("not held_out").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
