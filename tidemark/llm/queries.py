@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, exact_dedup, langid, mixing, pii, quality, rans, warc
+from . import bpe, cover_tree, exact_dedup, jaccard, langid, mixing, pii, quality, rans, warc
 from .common import crc_mod, scratch_path
 from .tables import table
 
@@ -34,6 +34,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

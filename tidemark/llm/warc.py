@@ -132,15 +132,16 @@ def members(content: memoryview) -> Iterator[bytes]:
         if len(content):
             yield bytes(content)
         return
-    at, step = 0, 1 << 20
+    at = 0
     while at < len(content):
-        d, out = zlib.decompressobj(31), []
+        d, out, step = zlib.decompressobj(31), [], 1 << 10  # what follows a member is copied, so steps begin small
         while not d.eof:
             if at >= len(content):
                 raise ValueError("a gzip member is cut short")
             piece = content[at : at + step]
             out.append(d.decompress(piece))
             at += len(piece) - len(d.unused_data)
+            step = min(2 * step, 1 << 20)
         if got := b"".join(out):
             yield got
 
