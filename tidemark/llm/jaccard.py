@@ -311,7 +311,8 @@ def _candidates(lists: DataFrame, state: DataFrame | None, num: int, den: int, e
     else:
         rows = rows.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ = rows.groupBy("token", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "part")
-        rows = rows.join(open_, ["token", "part"], "left_semi")
+        # written, since Spark may drop a repartition above a join that has the same keys and then change the join
+        rows = materialise(rows.join(open_, ["token", "part"], "left_semi"), "open-lists")
     names = ["token", "part", "side", "n", "rep", "bitmap", "component", "tested"]
 
     def run(batches):

@@ -23,6 +23,7 @@ from .common import materialise
 BITS, MAX_GRAM, SAMPLE, EPOCHS, COST, BETA, SMOOTH, CHUNK = 17, 3, 6000, 20, 1.0, 0.5, 1.0, 1 << 13
 SIZE = 1 << BITS
 THRESHOLD = 0.3
+BROADCAST_LABELS = 2_000_000
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -78,6 +79,16 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(self.slope * self.margin(at) + self.shift, -500, 500))))
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The labelled rows of docs with their label; a key labelled twice gives two rows.
+
+    Labels are narrow and are broadcast while there are at most BROADCAST_LABELS, so texts stay where they are;
+    beyond that both sides shuffle by key.
+    """
+    labels = labels.filter(F.col(label).isNotNull()).select(key, label)
+    return docs.join(F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels, key)
+
+
 def class_counts(rows: DataFrame, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
     """For each class, in how many texts each feature occurs, over all rows; and the number of rows of each class.
 

@@ -30,7 +30,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
-    model = quality.train(docs.filter("not held_out").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    model = quality.train(quality.with_labels(docs.filter("not held_out"), table(spark, sf_dir, "labels")))
     return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
