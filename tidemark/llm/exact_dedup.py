@@ -27,6 +27,7 @@ SEGMENT_BITS = 1 << 16
 N_HASHES = 4
 MAX_FILTER_BYTES = 64 << 20
 BITS_A_ROW = 12
+SLICE = 1 << 16
 
 
 def fingerprint(text: Column | str) -> Column:
@@ -83,8 +84,9 @@ def _fold(n_segments: int):
     def fold(batches):
         planes = _Planes()
         for batch in batches:
-            if batch.num_rows:
-                planes.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n_segments)
+            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, len(h), SLICE):  # bounds the arrays that are sorted
+                planes.add(h[lo : lo + SLICE], n_segments)
         for s in planes.once:
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(planes.once[s].tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(planes.twice[s].tobytes(), 1)], pa.binary())})
 

@@ -215,21 +215,27 @@ def _groups(reps: DataFrame, n_rows: int) -> DataFrame:
     return alone.unionByName(met.select("n", "prefix", "members", "many"))
 
 
+def _slices(batches, rows: int = 256):
+    """Record batches in slices of few rows, whose entries make up one batch each."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _lists(groups: DataFrame, n_rows: int) -> DataFrame:
     """(token, part, side, n, members): a scratch table of index entries of the shingles that several members have."""
 
     def tokens(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
 
     groups = materialise(groups, "groups")
     entries = groups.select("prefix").mapInArrow(tokens, "h bigint")
     bits, n_segments = repeated_bits(entries, groups.agg(F.sum(F.octet_length("prefix") / 8).cast("long")).first()[0] or 0)
 
     def unpack(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             parts = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
             at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             if len(at):
@@ -345,22 +351,15 @@ def _verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int, num: in
     rows = flag_repeats(docs.withColumn("h", F.xxhash64("key")), "h", bits, n_segments, "maybe").filter("maybe").select("text", "key")
 
     def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([shingles(t, words).tobytes() for t in texts_of(batch.column(0))], pa.binary())], names=["key", "s"])
-
-    found = materialise(rows.mapInArrow(sets, "key bigint, s binary").distinct(), "sets", "none")
-    both = pairs.join(found.withColumnsRenamed({"key": "a", "s": "s"}), "a").join(found.withColumnsRenamed({"key": "b", "s": "z"}), "b")
-
-    def run(batches):
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(met * den >= num * (len(x) + len(y) - met) and met > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    got = both.select("a", "b", "s", "z").mapInArrow(run, "a bigint, b bigint, linked boolean")
+        for batch in _slices(batches):
+            found = [shingles(t, words).view(np.int64) for t in texts_of(batch.column(0))]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["key", "s"])
+
+    found = materialise(rows.mapInArrow(sets, "key bigint, s array<bigint>"), "sets", "none")
+    both = pairs.join(found.select(F.col("key").alias("a"), "s"), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("z")), "b")
+    met = F.size(F.array_intersect("s", "z")).cast("long")
+    got = both.select("a", "b", ((met > 0) & (met * den >= (F.size("s") + F.size("z") - met) * num)).alias("linked"))
     return materialise(got.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
