@@ -157,20 +157,27 @@ def walk(q: Tree, q_points: np.ndarray, q_ids: np.ndarray, d: Tree, points: np.n
             dl += 1
     order = np.lexsort((-bound, a)) if len(a) else np.zeros(0, np.int64)
     a, b, bound = a[order], b[order], bound[order]
+    centres, radius, norms = d.vectors[dl], d.levels[dl][2], d.norms[dl]
     for leaf in np.unique(a):
         lo, hi = np.searchsorted(a, [leaf, leaf + 1])
-        mine = q.leaf(int(leaf))
-        vectors, at = q_points[mine], lo
-        step = 4
+        mine, at, step = q.leaf(int(leaf)), lo, 4
+        # with its own vector in place of the leaf's centre, a query's bound is tighter
+        own_bound, norm = q_points[mine].astype(np.float64) @ centres[b[lo:hi]].T, np.sqrt((q_points[mine].astype(np.float64) ** 2).sum(axis=1))
+        slack = norm[:, None] * radius[b[lo:hi]][None]
+        own_bound += slack + 1e-9 * (norm[:, None] * norms[b[lo:hi]][None] + slack) + 1e-6
         while at < hi and bound[at] >= best.kth[mine].min():
-            rows = np.concatenate([d.leaf(int(j)) for j in b[at : min(hi, at + step)]])
-            scores, own = products(vectors, points[rows]), ids[rows]
+            nodes = slice(at - lo, min(hi, at + step) - lo)
+            open_ = own_bound[:, nodes] >= best.kth[mine][:, None]
+            at, step = at + step, min(64, step * 2)
+            who, what = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(who):
+                continue
+            rows = np.concatenate([d.leaf(int(j)) for j in b[lo:hi][nodes][what]])
+            scores, own = products(q_points[mine[who]], points[rows]), ids[rows]
             scored += scores.size
-            for i, s in zip(mine.tolist(), scores, strict=True):
+            for i, s in zip(mine[who].tolist(), scores, strict=True):
                 other = own != q_ids[i]
                 best.offer(i, s[other], own[other])
-            at += step
-            step = min(64, step * 2)
     return scored
 
 
