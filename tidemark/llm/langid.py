@@ -2,8 +2,8 @@
 
 A word that the model knows adds its log relative frequency in each language. An unseen word is scored by its
 longest character n-grams that are known, going down from MAX_GRAM to single characters: each position of the
-padded word takes the longest known n-gram that begins there. What no level knows takes the same floor in every
-language. The language with the largest sum wins; its score is its share under a softmax of the mean per word,
+padded word takes the longest known n-gram that begins there. Where no level knows anything a
+position adds nothing to any language. The language with the largest sum wins; its score is its share under a softmax of the mean per word,
 sharpened by the number of words up to SHARP.
 
 Counts cover all training rows. The model keeps a word or n-gram whose share of its language's tokens is at
@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,18 +45,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     """Fit on all rows with a text and a language. Counts are added up on each task, then by term over the cluster."""
 
     def count(batches):
-        held: dict[str, Counter] = defaultdict(Counter)
+        held: dict[str, Counter] = defaultdict(Counter)  # what stands between white space, as it stands
 
         def flush():
             for lang, c in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+                by_word: Counter = Counter()
+                for chunk, n in c.items():
+                    for w in words(chunk):
+                        by_word[w] += n
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(by_word), pa.string()), pa.array(list(by_word), pa.string()), pa.array(list(by_word.values()), pa.int64())], names=["lang", "word", "n"])
             held.clear()
 
         for batch in batches:
-            for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[language].update(words(t))
-            if sum(map(len, held.values())) > CACHE_WORDS:
-                yield from flush()
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                for t, language in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held[language].update(t.split())
+                if sum(map(len, held.values())) > CACHE_WORDS:
+                    yield from flush()
         yield from flush()
 
     def count_grams(batches):
@@ -78,12 +85,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
 
 
 class Model:
-    """levels[k]: term to a row of log shares, one per language; level 0 has words."""
+    """levels[k]: term to a row of log shares, one per language; level 0 has words. The rows of all levels are one
+    matrix, so a text is a sum over rows. Chunks of text between white space are kept in two generations of
+    CACHE_WORDS each: the row that holds the sum of a chunk's words, and how many words it has."""
 
-    def __init__(self, languages: list[str], levels: list[dict[str, int]], logs: list[np.ndarray], floor: float) -> None:
-        self.languages, self.levels, self.logs, self.floor = languages, levels, logs, floor
-        self.cache: dict[str, int] = {}  # word to its row of seen
-        self.seen = np.zeros((1024, len(languages)), np.float32)
+    def __init__(self, languages: list[str], levels: list[dict[str, int]], logs: np.ndarray) -> None:
+        self.languages, self.levels, self.logs = languages, levels, logs
+        self._start()
+
+    def _start(self) -> None:
+        self.chunks: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.seen = np.zeros((1024, len(self.languages) + 1), np.float64)  # the last column counts words
+        self.old_seen = self.seen
 
     @classmethod
     def of(cls, got, min_share: float) -> Model:
@@ -91,55 +105,81 @@ class Model:
         at = {x: i for i, x in enumerate(languages)}
         floor = math.log(min_share / 10)
         levels: list[dict[str, int]] = []
-        logs: list[np.ndarray] = []
+        parts, n = [np.zeros((0, len(languages)))], 0
         for k in range(MAX_GRAM + 1):
             part = got[got["k"] == k]
             terms = sorted(part["term"].unique().tolist())
             index = {t: i for i, t in enumerate(terms)}
-            m = np.full((len(terms), len(languages)), floor, np.float32)
+            m = np.full((len(terms), len(languages)), floor)
             if len(terms):
                 m[part["term"].map(index).to_numpy(), part["lang"].map(at).to_numpy()] = np.log(part["share"].to_numpy())
-            levels.append(index)
-            logs.append(m)
-        return cls(languages, levels, logs, floor)
+            levels.append({t: n + i for t, i in index.items()})
+            parts.append(m)
+            n += len(terms)
+        return cls(languages, levels, np.concatenate(parts))
 
-    def word(self, w: str) -> np.ndarray:
+    def rows_of(self, w: str) -> tuple[list[int], int]:
+        """The rows of the matrix a word is scored by, and how many they are averaged over."""
         if (i := self.levels[0].get(w)) is not None:
-            return self.logs[0][i]
-        padded = f"\x02{w}\x03"
-        total, n = np.zeros(len(self.languages), np.float32), 0
-        for a in range(len(padded) - 1):
-            for k in range(min(MAX_GRAM, len(padded) - a), 0, -1):
-                if (i := self.levels[k].get(padded[a : a + k])) is not None:
-                    total += self.logs[k][i]
+            return [i], 1
+        padded, out = f"\x02{w}\x03", []
+        longest, n = self.levels[1:], len(padded)
+        for a in range(n - 1):
+            for k in range(min(MAX_GRAM, n - a), 0, -1):
+                if (i := longest[k - 1].get(padded[a : a + k])) is not None:
+                    out.append(i)
                     break
-            n += 1
-        return total / max(n, 1)
-
-    def _remember(self, w: str) -> int:
-        i = len(self.cache)
-        if i == len(self.seen):
+        return out, n - 1
+
+    def _remember(self, missing: set[str]) -> None:
+        """Add the sums of chunks that have none yet, all in one go."""
+        if len(self.chunks) > CACHE_WORDS:
+            self.old, self.old_seen = self.chunks, self.seen
+            self.chunks, self.seen = {}, np.zeros((1024, self.seen.shape[1]))
+        known = [c for c in missing if c in self.old]
+        new = [c for c in missing if c not in self.old]
+        flat, at, weight, counts = [], [], [], np.zeros(len(new))
+        for i, chunk in enumerate(new):
+            for w in words(chunk):
+                rows, n = self.rows_of(w)
+                flat += rows
+                at += [i] * len(rows)
+                weight += [1 / n] * len(rows)
+                counts[i] += 1
+        sums = np.zeros((len(new), len(self.languages)))
+        if flat:
+            values, at_ = self.logs[flat] * np.array(weight)[:, None], np.array(at)
+            for j in range(len(self.languages)):
+                sums[:, j] = np.bincount(at_, values[:, j], minlength=len(new))
+        first, last = len(self.chunks), len(self.chunks) + len(known) + len(new)
+        while last > len(self.seen):
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-        self.seen[i] = self.word(w)
-        self.cache[w] = i
-        return i
+        self.seen[first : first + len(known)] = self.old_seen[[self.old[c] for c in known]]
+        self.seen[first + len(known) : last, :-1] = sums
+        self.seen[first + len(known) : last, -1] = counts
+        self.chunks.update(zip(known + new, range(first, last), strict=True))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        parts = [t.split() if t else [] for t in texts]
+        missing = set(chain.from_iterable(parts)).difference(self.chunks)
+        if len(self.chunks) > CACHE_WORDS:  # a new generation begins: all of these texts' chunks move to it
+            missing = set(chain.from_iterable(parts))
+        if missing:
+            self._remember(missing)
+        get, out = self.chunks.__getitem__, []
+        for chunks in parts:
+            total = self.seen[list(map(get, chunks))].sum(axis=0) if chunks and self.languages else np.zeros(1)
+            if not (n := int(total[-1])):
+                out.append(("und", 0.0))
+                continue
+            z = total[:-1] / n * min(n, SHARP)
+            p = np.exp(z - z.max())
+            best = int(np.argmax(total[:-1]))
+            out.append((self.languages[best], float(p[best] / p.sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found = words(text) if text else []
-        if not found or not self.languages:
-            return "und", 0.0
-        get, at = self.cache.get, []
-        for w in found:
-            if (i := get(w)) is None:
-                i = self._remember(w)
-            at.append(i)
-        total = self.seen[at].sum(axis=0, dtype=np.float64)
-        z = total / len(found) * min(len(found), SHARP)
-        p = np.exp(z - z.max())
-        best = int(np.argmax(total))
-        return self.languages[best], float(p[best] / p.sum())
+        return self.predict_all([text])[0]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -149,13 +189,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     language that sorts first. Whole texts are read. Output names that docs has already are refused by Spark's
     rules; give others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.levels, model.logs, model.floor))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.levels, model.logs))
 
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _cached(shared)
         for s in batches:
-            out = [own.predict(t) for t in s]
+            texts = s.tolist()
+            out = [x for lo in range(0, len(texts), 500) for x in own.predict_all(texts[lo : lo + 500])]
             yield pd.DataFrame({"lang": [x[0] for x in out], "score": [x[1] for x in out]})
 
     got = fresh(docs.columns, "got_")
