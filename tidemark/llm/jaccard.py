@@ -30,7 +30,7 @@ from .common import join_groups, materialise
 from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
-TABLE_BITS, CHUNK, LIST_BLOCK, ALL_AT, BROADCAST_LISTS = 20, 64, 4096, 4, 100_000
+TABLE_BITS, CHUNK, LIST_BLOCK, ALL_AT = 20, 64, 4096, 4
 NULL_KEY = -(1 << 63)
 
 _U = np.uint64
@@ -222,46 +222,39 @@ def _slices(batches, rows: int = 256):
             yield batch.slice(lo, rows)
 
 
-def _lists(groups: DataFrame, n_rows: int) -> DataFrame:
-    """(token, part, side, n, members): a scratch table of index entries of the shingles that several members have."""
+def _lists(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, part, side, g): index entries of the shingles that several members have; (g, n, members) of the groups.
+
+    Entries are narrow until the lists are known. Shingles whose lists hold the same groups give the same
+    candidates, so one of them is kept; sameness is that of two independent 64-bit parities and the count.
+    """
 
     def tokens(batches):
         for batch in _slices(batches):
             out = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
 
-    groups = materialise(groups, "groups")
-    entries = groups.select("prefix").mapInArrow(tokens, "h bigint")
-    bits, n_segments = repeated_bits(entries, groups.agg(F.sum(F.octet_length("prefix") / 8).cast("long")).first()[0] or 0)
+    groups = groups.withColumn("g", F.xxhash64("prefix", "n", F.transform("members", lambda m: m["rep"])))
+    groups = materialise(groups.withColumn("size", F.size("members")), "groups")
+    bits, n_segments = repeated_bits(groups.select("prefix").mapInArrow(tokens, "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 8).cast("long")).first()[0] or 0)
 
     def unpack(batches):
         for batch in _slices(batches):
             parts = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
-            at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            if len(at):
-                place = np.concatenate([np.arange(len(p)) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(place == 0), batch.column(1).take(pa.array(at))], names=["token", "first", "g"])
-
-    # the tokens travel with the group's number only; its members join once the tokens that stand alone are gone
-    numbered = groups.withColumn("g", F.xxhash64("prefix", "n", F.transform("members", lambda m: m["rep"])))
-    entries = numbered.select("prefix", "g").mapInArrow(unpack, "token bigint, first boolean, g bigint")
-    entries = flag_repeats(entries, "token", bits, n_segments, "maybe")
-    rich = numbered.select(F.col("g").alias("g_"), "n", "members", "many")
-    entries = entries.filter("maybe").join(rich, F.col("g") == F.col("g_")).select("token", "n", "members")
-    inner = numbered.filter("many").select("prefix", "n", "members")  # a group's own members meet under its first token at least
-    inner = inner.select(F.xxhash64("prefix", "n").alias("token"), "n", "members")
-    entries = materialise(entries.unionByName(inner), "entries")
-    sizes = entries.groupBy("token").agg(F.sum(F.size("members")).alias("size"), F.count("*").alias("rows"))
-    used = materialise(sizes.filter("rows > 1 or size > 1"), "list-sizes")
-    long = used.filter(F.col("size") > LIST_BLOCK).select("token", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    if long.count() <= BROADCAST_LISTS:
-        long = F.broadcast(long)
-    entries = entries.join(used.select("token"), "token", "left_semi").join(long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("members", "n"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    entries = entries.select("token", "n", "members", "block", other)
-    entries = entries.select("token", F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("part"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "n", "members")
-    return materialise(entries, "lists")
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), batch.column(1).take(at), batch.column(2).take(at)], names=["token", "g", "size"])
+
+    entries = groups.select("prefix", "g", "size").mapInArrow(unpack, "token bigint, g bigint, size int")
+    entries = flag_repeats(entries, "token", bits, n_segments, "maybe").filter("maybe").drop("maybe")
+    # a group's own members meet under a shingle of their own
+    entries = materialise(entries.unionByName(groups.filter("many").select(F.xxhash64("prefix", "n").alias("token"), "g", "size")), "entries")
+    sizes = entries.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.bit_xor("g").alias("x"), F.bit_xor(F.xxhash64("g")).alias("y")).filter("rows > 1 or size > 1")
+    used = sizes.groupBy("rows", "size", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
+    entries = entries.join(used, "token").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    entries = entries.select("token", "g", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return materialise(entries.select("token", part.alias("part"), side.alias("side"), "g"), "lists"), groups.select("g", "n", "members")
 
 
 def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int, every: bool) -> tuple[list[int], list[int]]:
@@ -309,16 +302,18 @@ def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, co
     return a, b
 
 
-def _candidates(lists: DataFrame, state: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
+def _candidates(lists: DataFrame, groups: DataFrame, state: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
     """Distinct (a, b) of all lists. state: (rep, component, tested: partners of tested pairs that failed)."""
-    rows = lists.select("token", "part", "side", "n", F.explode("members").alias("m")).select("token", "part", "side", "n", "m.rep", "m.bitmap")
+    members = groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap")
     if state is None:
-        rows = rows.withColumn("component", F.col("rep")).withColumn("tested", F.lit(None).cast("array<bigint>"))
+        members = members.withColumn("component", F.col("rep")).withColumn("tested", F.lit(None).cast("array<bigint>"))
     else:
-        rows = rows.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = rows.groupBy("token", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "part")
+        members = materialise(members.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled-members")
+        ends = lists.join(members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "g")
+        open_ = ends.groupBy("token", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token", "part")
         # written, since Spark may drop a repartition above a join that has the same keys and then change the join
-        rows = materialise(rows.join(open_, ["token", "part"], "left_semi"), "open-lists")
+        lists = materialise(lists.join(open_, ["token", "part"], "left_semi"), "open-lists")
+    rows = lists.join(members, "g")
     names = ["token", "part", "side", "n", "rep", "bitmap", "component", "tested"]
 
     def run(batches):
@@ -378,10 +373,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     n_rows = rows.count()
     members, reps = _representatives(rows, n_rows)
     members = materialise(members, "membership")
-    lists = _lists(_groups(reps, n_rows), n_rows)
+    lists, groups = _lists(_groups(reps, n_rows))
     tested, state, labels = None, None, None
     for turn in range(1, ALL_AT + 2):
-        pairs = materialise(_candidates(lists, state, num, den, every=turn >= ALL_AT), "candidates")
+        pairs = materialise(_candidates(lists, groups, state, num, den, every=turn >= ALL_AT), "candidates")
         if not (n_pairs := pairs.count()):
             break
         new = _verify(own, pairs, n_pairs, words, num, den)
