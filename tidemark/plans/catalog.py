@@ -1,11 +1,688 @@
-"""The registered queries of the analytics engine and their SQL."""
+"""The registered queries of the analytics engine and their SQL.
+
+Rounded to six decimals where sums of doubles are involved, since their order isn't fixed in either engine. Bucket
+starts are epoch seconds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import expressions as X
+from tidemark.operators import baseline as B
+from tidemark.operators import buckets as K
+from tidemark.operators import evaluation as E
+from tidemark.operators import forecasting as S
+from tidemark.operators import incidents as I
+from tidemark.operators import multiple as M
+from tidemark.operators import population as P
+from tidemark.operators import rules as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "job_mean_anomalies"
+HOUR, DAY = 3600, 86400
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(0.0), 6)
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """The event stream as data points: time, value, and its dimensions as columns."""
+    e = read(spark, sf, "events")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("time"), "value", "event_type", F.col("user_id").cast("string").alias("user"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+def hourly(spark: SparkSession, sf: str) -> DataFrame:
+    return K.aggregate(points(spark, sf), HOUR, ["event_type"], ("mean", "value", "v"), ("count", "value", "n"))
+
+
+def daily_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily order totals as one series with a dense index."""
+    o = read(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("time"), F.col("o_totalprice").alias("value"))
+    return K.aggregate(o, DAY, [], ("sum", "value", "v"), ("count", "value", "n")).withColumn("idx", F.floor(F.col("bucket") / DAY).cast("long"))
+
+
+PTS = "SELECT event_id, ts AS time, value, event_type, CAST(user_id AS VARCHAR) AS usr, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket FROM events"
+HRS = f"SELECT bucket, event_type, avg(value) AS v, CAST(count(*) AS DOUBLE) AS n FROM ({PTS}) GROUP BY ALL"
+DLY = "SELECT CAST(floor(epoch(o_orderdate) / 86400) * 86400 AS BIGINT) AS bucket, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS idx, sum(o_totalprice) AS v, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL"
+
+
+# ---- aggregation per bucket and series ------------------------------------------------------------------------
+
+_AGGS = {
+    "count": ("CAST(count(*) AS DOUBLE)", "count", "value"),
+    "distinct": ("CAST(count(DISTINCT usr) AS DOUBLE)", "distinct_count", "user"),
+    "nonzero": ("CAST(count(*) FILTER (value <> 0) AS DOUBLE)", "non_zero_count", "value"),
+    "sum": ("round(sum(value), 6)", "sum", "value"),
+    "mean": ("round(avg(value), 6)", "mean", "value"),
+    "min": ("min(value)", "min", "value"),
+    "max": ("max(value)", "max", "value"),
+    "median": ("round(median(value), 6)", "median", "value"),
+    "varp": ("round(var_pop(value), 6)", "varp", "value"),
+    "rate": ("round(sum(value) / 3600, 6)", "rate", "value"),
+    "row_rate": ("round(count(*) / 3600.0, 6)", "row_rate", "value"),
+}
+
+
+def _bucket_query(name: str, fn: str, field: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return K.aggregate(points(spark, sf), HOUR, ["event_type"], (fn, field, "v")).select("bucket", "event_type", r6("v").alias("v"))
+
+    run.__name__ = f"bucket_{name}"
+    return run
+
+
+for _name, (_sql, _fn, _field) in _AGGS.items():
+    query(f"SELECT bucket, event_type, {_sql} AS v FROM ({PTS}) GROUP BY ALL")(_bucket_query(_name, _fn, _field))
+
+
+@query(f"SELECT CAST(floor((epoch(time) + 62135596800 % 604800) / 604800) * 604800 - 62135596800 % 604800 AS BIGINT) AS bucket, count(*) AS n FROM ({PTS}) GROUP BY ALL")
+def bucket_week_alignment(spark, sf):
+    """Seven-day buckets begin on Mondays, since buckets align to the calendar's first day."""
+    return points(spark, sf).groupBy(X.bucket_of("time", 7 * DAY).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT bucket, round(num / den, 6) AS ratio FROM (SELECT bucket, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS num, sum(value) AS den FROM ({PTS}) GROUP BY ALL) WHERE den <> 0")
+def bucket_ratio(spark, sf):
+    got = K.ratio(points(spark, sf), HOUR, [], F.when(F.col("event_type") == "error", F.col("value")), F.col("value"))
+    return got.select("bucket", r6("ratio").alias("ratio"))
+
+
+@query(f"SELECT bucket, round(-sum(n / t * log2(n / t)) + 0.0, 6) AS entropy FROM (SELECT bucket, n, sum(n) OVER (PARTITION BY bucket) AS t FROM (SELECT bucket, usr, CAST(count(*) AS DOUBLE) AS n FROM ({PTS}) GROUP BY ALL)) GROUP BY bucket")
+def bucket_entropy(spark, sf):
+    return K.entropy(points(spark, sf), HOUR, "user").select("bucket", r6(F.greatest("entropy", F.lit(0.0))).alias("entropy"))
+
+
+@query(f"SELECT bucket, event_type, round(n / t, 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY bucket) AS t, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, event_type) AS rn FROM (SELECT bucket, event_type, count(*) AS n FROM ({PTS}) GROUP BY ALL)) WHERE rn = 1")
+def bucket_dominant(spark, sf):
+    return K.dominant(points(spark, sf), HOUR, "event_type").select("bucket", "event_type", r6("share").alias("share"))
+
+
+@query(f"SELECT bucket, count(*)::DOUBLE AS n, CAST(hour(to_timestamp(bucket) AT TIME ZONE 'UTC') AS INTEGER) AS slot FROM ({PTS}) GROUP BY ALL")
+def time_of_day_counts(spark, sf):
+    return K.slot_counts(points(spark, sf), HOUR)
+
+
+@query(f"SELECT bucket, count(*)::DOUBLE AS n, CAST(dayofweek(to_timestamp(bucket) AT TIME ZONE 'UTC') * 24 + hour(to_timestamp(bucket) AT TIME ZONE 'UTC') AS INTEGER) AS slot FROM ({PTS}) GROUP BY ALL")
+def time_of_week_counts(spark, sf):
+    return K.slot_counts(points(spark, sf), HOUR, weekly=True)
+
+
+@query(f"WITH b AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS n FROM ({PTS}) WHERE event_type = 'error' AND value > 60 GROUP BY ALL), s AS (SELECT unnest(generate_series(min(bucket), max(bucket), 3600)) AS bucket FROM b) SELECT s.bucket, coalesce(n, 0) AS n FROM s LEFT JOIN b USING (bucket)")
+def gap_fill_count(spark, sf):
+    n = K.aggregate(points(spark, sf).filter("event_type = 'error' and value > 60"), HOUR, [], ("count", "value", "n"))
+    return K.gap_fill(n, HOUR, "n")
+
+
+@query(f"WITH b AS (SELECT bucket, usr, CAST(count(*) AS DOUBLE) AS n FROM ({PTS}) GROUP BY ALL), f AS (SELECT usr, min(bucket) AS lo FROM b GROUP BY ALL), s AS (SELECT DISTINCT bucket FROM b) SELECT s.bucket, f.usr AS user_key, coalesce(n, 0) AS n FROM f JOIN s ON s.bucket >= lo LEFT JOIN b ON b.bucket = s.bucket AND b.usr = f.usr")
+def zero_fill_by_series(spark, sf):
+    n = K.aggregate(points(spark, sf), HOUR, ["user"], ("count", "value", "n"))
+    return K.zero_fill(n, ["user"], "n").select("bucket", F.col("user").alias("user_key"), "n")
+
+
+@query(f"SELECT usr AS user_key, round(age_s, 3) AS age_s FROM (SELECT usr, (max(max(epoch_us(time))) OVER () - max(epoch_us(time))) / 1e6 AS age_s FROM ({PTS}) GROUP BY usr) WHERE age_s > 18000")
+def stale_series(spark, sf):
+    return K.stale(points(spark, sf), ["user"], 5 * HOUR).select(F.col("user").alias("user_key"), F.round("age_s", 3).alias("age_s"))
+
+
+@query(f"SELECT event_type, CAST(count(*) AS BIGINT) AS records, max(score) AS max_score, round(sum(score * CASE WHEN share > 0 THEN share ELSE 1 END), 6) AS total, CAST(row_number() OVER (ORDER BY round(sum(score * CASE WHEN share > 0 THEN share ELSE 1 END), 6) DESC, max(score) DESC, event_type) AS INTEGER) AS rank FROM (SELECT event_type, value AS score, k / 100 AS share FROM ({PTS})) GROUP BY event_type")
+def influencer_rank(spark, sf):
+    rec = points(spark, sf).select(F.lit("event_type").alias("field"), F.col("event_type").alias("item"), F.col("value").alias("score"), (F.col("k") / 100).alias("share"))
+    return K.influencer_rank(rec, "field", "item", "score", "share").select(F.col("item").alias("event_type"), "records", "max_score", r6("total").alias("total"), "rank")
+
+
+# ---- baselines ------------------------------------------------------------------------------------------------
+
+def zsql(rows: str, key: str, value: str, order: str, window: int = 1024, warm: int = 20) -> str:
+    """typical, scale and z by frames; the MAD is taken over a list of the frame."""
+    part = f"PARTITION BY {key} ORDER BY {order} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING"
+    return f"""(SELECT *, ({value} - typical) / scale AS z FROM (SELECT *, CASE WHEN mad > 0 THEN 1.4826 * mad WHEN ints THEN greatest(1.0, sqrt(abs(typical))) ELSE greatest(0.02 * abs(typical), 1e-9) END AS scale
+      FROM (SELECT *, list_median(list_transform(past, lambda x: abs(x - typical))) AS mad, coalesce(list_bool_and(list_transform(past, lambda x: x = floor(x))), true) AS ints
+      FROM (SELECT *, CASE WHEN n_past >= {warm} THEN list_median(past) END AS typical
+      FROM (SELECT *, coalesce(len(past), 0) AS n_past FROM (SELECT *, list({value}) OVER ({part}) AS past FROM ({rows})))))))"""
+
+
+@query(f"SELECT bucket, event_type, round(typical, 6) AS typical, round(scale, 6) AS scale, round(z, 6) AS z FROM {zsql(HRS, 'event_type', 'v', 'bucket')} WHERE z IS NOT NULL")
+def baseline_zscore(spark, sf):
+    return B.zscore(hourly(spark, sf), ["event_type"], "v").filter("z is not null").select("bucket", "event_type", r6("typical").alias("typical"), r6("scale").alias("scale"), r6("z").alias("z"))
+
+
+@query(f"SELECT bucket, event_type, round(typical - 1.96 * scale, 6) AS lower, round(typical + 1.96 * scale, 6) AS upper FROM {zsql(HRS, 'event_type', 'v', 'bucket')} WHERE z IS NOT NULL")
+def baseline_bounds(spark, sf):
+    return B.bounds(B.zscore(hourly(spark, sf), ["event_type"], "v")).filter("z is not null").select("bucket", "event_type", r6("lower").alias("lower"), r6("upper").alias("upper"))
+
+
+@query(f"SELECT bucket, event_type, round(z, 6) AS z FROM {zsql(HRS, 'event_type', 'n', 'bucket')} WHERE z > 2")
+def count_high_zscore(spark, sf):
+    """Counts are integers: where the MAD is 0 the floor of integer series applies. High side only."""
+    return B.zscore(hourly(spark, sf), ["event_type"], "n", side="high").filter("z > 2").select("bucket", "event_type", r6("z").alias("z"))
+
+
+ERFC = "(CASE WHEN x >= 0 THEN y ELSE 2 - y END)"
+
+
+def psql(z: str) -> str:
+    """Two-sided probability of a z score, by the same fit as the engine's."""
+    a = f"(abs({z}) / sqrt(2))"
+    t = f"(1 / (1 + 0.5 * {a}))"
+    poly = f"(1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * (-0.18628806 + {t} * (0.27886807 + {t} * (-1.13520398 + {t} * (1.48851587 + {t} * (-0.82215223 + {t} * 0.17087277))))))))"
+    return f"least(1.0, {t} * exp(-{a} * {a} - 1.26551223 + {t} * {poly}))"
+
+
+def scoresql(p: str) -> str:
+    return f"(CASE WHEN {p} <= 0 THEN 100.0 WHEN {p} >= 1 THEN 0.0 ELSE greatest(0.0, least(100.0, -log10({p}) / 12 * 100)) END)"
+
+
+REC = f"SELECT bucket, event_type, v, typical, z, p, {scoresql('p')} AS score FROM (SELECT *, {psql('z')} AS p FROM {zsql(HRS, 'event_type', 'v', 'bucket')} WHERE z IS NOT NULL)"
+
+
+def records(spark, sf) -> DataFrame:
+    z = B.zscore(hourly(spark, sf), ["event_type"], "v").filter("z is not null")
+    return z.withColumn("p", X.z_probability("z")).withColumn("score", X.score_from_p("p"))
+
+
+@query(f"SELECT bucket, event_type, round(v, 6) AS actual, round(typical, 6) AS typical, round(score, 4) AS score, CASE WHEN v >= typical THEN 'up' ELSE 'down' END AS direction FROM ({REC}) WHERE score >= 10")
+def job_mean_anomalies(spark, sf):
+    """Anomaly records of the job mean(value) by event_type over hourly buckets."""
+    up = F.when(F.col("v") >= F.col("typical"), "up").otherwise("down")
+    return records(spark, sf).filter("score >= 10").select("bucket", "event_type", r6("v").alias("actual"), r6("typical").alias("typical"), F.round("score", 4).alias("score"), up.alias("direction"))
+
+
+@query(f"SELECT bucket, round(max(score), 4) AS score, count(*) AS records FROM ({REC}) WHERE score >= 5 GROUP BY bucket")
+def bucket_scores(spark, sf):
+    return records(spark, sf).filter("score >= 5").groupBy("bucket").agg(F.round(F.max("score"), 4).alias("score"), F.count("*").alias("records"))
+
+
+@query(f"SELECT bucket, event_type, round(mb, 6) AS mb_z FROM (SELECT *, list_median(run) * sqrt(2 * 12 / pi()) AS mb FROM (SELECT bucket, event_type, list(z) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS run FROM {zsql(HRS, 'event_type', 'v', 'bucket')} WHERE z IS NOT NULL)) WHERE len(run) = 12")
+def multi_bucket_z(spark, sf):
+    z = B.zscore(hourly(spark, sf), ["event_type"], "v")
+    return B.multi_bucket(z, ["event_type"]).filter("mb_z is not null").select("bucket", "event_type", r6("mb_z").alias("mb_z"))
+
+
+_PH = f"SELECT *, CAST((bucket // 3600) % 24 AS INTEGER) AS phase FROM ({HRS})"
+
+
+@query(f"SELECT bucket, event_type, phase, round(z, 6) AS z FROM {zsql(_PH, 'event_type, phase', 'v', 'bucket', warm=4)} WHERE z IS NOT NULL")
+def seasonal_phase_zscore(spark, sf):
+    return B.seasonal_zscore(hourly(spark, sf), ["event_type"], "v", 24, HOUR).filter("z is not null").select("bucket", "event_type", "phase", r6("z").alias("z"))
+
+
+_USR = f"SELECT bucket, usr, sum(value) AS v FROM (SELECT *, CAST(floor(epoch(time) / 86400) * 86400 AS BIGINT) AS day FROM ({PTS})) GROUP BY ALL"
+_POP = f"SELECT CAST(floor(epoch(time) / 86400) * 86400 AS BIGINT) AS bucket, usr, sum(value) AS v FROM ({PTS}) GROUP BY ALL"
+
+
+@query(f"""WITH d AS ({_POP}), b AS (SELECT DISTINCT bucket FROM d), pool AS (
+  SELECT b.bucket, count(p.v) AS n_past, median(p.v) AS typical, mad(p.v) AS m FROM b LEFT JOIN d p ON p.bucket < b.bucket GROUP BY b.bucket)
+SELECT bucket, usr AS user_key, round((v - typical) / (1.4826 * m), 6) AS z FROM d JOIN pool USING (bucket) WHERE n_past >= 20 AND (v - typical) / (1.4826 * m) > 6""")
+def population_zscore(spark, sf):
+    """Users whose daily sum stands out from all users' earlier days."""
+    d = K.aggregate(points(spark, sf), DAY, ["user"], ("sum", "value", "v"))
+    return B.population_zscore(d, [], "v").filter("z > 6").select("bucket", F.col("user").alias("user_key"), r6("z").alias("z"))
+
+
+_RARE = f"""SELECT b.bucket, grp, n, turn, row_number() OVER (PARTITION BY grp ORDER BY b.bucket) AS seen FROM
+ (SELECT bucket, grp, count(*) AS n FROM (SELECT *, event_type || '-' || CAST(floor(value / 20) AS INTEGER) AS grp FROM ({PTS})) GROUP BY ALL) b
+ JOIN (SELECT bucket, row_number() OVER (ORDER BY bucket) AS turn FROM (SELECT DISTINCT bucket FROM ({PTS}))) t USING (bucket)"""
+
+
+def _rare_rows(spark, sf):
+    p = points(spark, sf).withColumn("bucket", X.bucket_of("time", HOUR))
+    return p.withColumn("grp", F.concat_ws("-", "event_type", F.floor(F.col("value") / 20).cast("int").cast("string")))
+
+
+@query(f"SELECT bucket, grp, round(least(100.0, 50 - 15 * log10(seen / turn)), 6) AS score FROM ({_RARE}) WHERE turn > 20 AND seen <= 2")
+def rare_values(spark, sf):
+    return B.rare(_rare_rows(spark, sf), "grp").select("bucket", "grp", r6("score").alias("score"))
+
+
+@query(f"SELECT bucket, grp, round(least(100.0, 50 - 15 * log10(seen / turn) + 10 * log2(n + 1)), 6) AS score FROM ({_RARE}) WHERE turn > 20 AND seen <= 2")
+def freq_rare_values(spark, sf):
+    return B.rare(_rare_rows(spark, sf), "grp", frequent=True).select("bucket", "grp", r6("score").alias("score"))
+
+
+_XYZ = f"SELECT CAST(floor(epoch(time) / 86400) * 86400 AS BIGINT) AS bucket, event_type, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM (SELECT *, k / 2 AS lat, value / 4 AS lon FROM ({PTS})) GROUP BY ALL"
+
+
+@query(f"""SELECT bucket, event_type, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(clat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin((radians(clon) - radians(lon)) / 2), 2)))), 4) AS km
+FROM (SELECT bucket, event_type, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lon, degrees(atan2(cz, sqrt(cx * cx + cy * cy))) AS clat, degrees(atan2(cy, cx)) AS clon
+FROM (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy, avg(z) OVER w AS cz FROM ({_XYZ}) WINDOW w AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) WHERE clat IS NOT NULL""")
+def geo_centroid_distance(spark, sf):
+    p = points(spark, sf).withColumn("lat", F.col("k") / 2).withColumn("lon", F.col("value") / 4)
+    return B.centroid_distance(K.spherical_mean(p, DAY, "lat", "lon", ["event_type"]), ["event_type"]).filter("km is not null").select("bucket", "event_type", F.round("km", 4).alias("km"))
+
+
+@query(f"SELECT idx, round(avg(v) OVER (ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS ma FROM ({DLY})")
+def moving_average(spark, sf):
+    return B.moving_average(daily_orders(spark, sf), [], "v", "idx", 3).select("idx", F.round("ma", 4).alias("ma"))
+
+
+@query(f"SELECT idx, round(coalesce(n - avg(n) OVER (ORDER BY idx ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 0), 6) AS residual FROM ({DLY})")
+def rolling_mean_residual(spark, sf):
+    return B.mean_residual(daily_orders(spark, sf), [], "n", "idx", 24).select("idx", r6("residual").alias("residual"))
+
+
+@query(f"SELECT idx, round(CASE WHEN len(past) >= 2 THEN n - list_median(past) ELSE 0 END, 6) AS residual FROM (SELECT idx, n, list(n) OVER (PARTITION BY idx % 7 ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS past FROM ({DLY}))")
+def deseasonalize(spark, sf):
+    return B.deseasonalise(daily_orders(spark, sf), [], "n", "idx", "idx", 7).select("idx", r6("residual").alias("residual"))
+
+
+@query(f"SELECT bucket, event_type, round(CASE WHEN len(past) >= 24 THEN (1 + len(list_filter(past, lambda x: x >= v))) / (len(past) + 1) ELSE 1 END, 6) AS p FROM (SELECT bucket, event_type, v, list(v) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS past FROM ({HRS}))")
+def empirical_tail_p(spark, sf):
+    return B.empirical_tail(hourly(spark, sf), ["event_type"], "v", "bucket", 200, 24).select("bucket", "event_type", r6("p").alias("p"))
+
+
+# ---- predicates, rules, post-processing -----------------------------------------------------------------------
+
+@query(f"SELECT bucket, event_type, round(score, 4) AS score FROM ({REC}) WHERE score >= 3 AND NOT (abs(v - typical) < 5 OR CAST((bucket // 3600) % 24 AS INTEGER) IN (2, 3) OR event_type = 'signup')")
+def rules_filter(spark, sf):
+    rules = [R.Rule(diff_below=5), R.Rule(hours=(2, 3)), R.Rule(series=("signup",))]
+    rec = records(spark, sf).withColumn("actual", F.col("v")).withColumn("series", F.col("event_type")).filter("score >= 3")
+    return R.suppress(rec, rules).select("bucket", "event_type", F.round("score", 4).alias("score"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def scope_semi(spark, sf):
+    keep = read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return R.in_scope(read(spark, sf, "orders"), keep, "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def scope_anti(spark, sf):
+    keep = read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return R.in_scope(read(spark, sf, "orders"), keep, "o_custkey", "c_custkey", include=False).select("o_orderkey")
+
+
+@query(f"SELECT event_id FROM ({PTS}) WHERE NOT (epoch(time) >= 1704499200 AND epoch(time) < 1704585600) AND NOT (CAST(floor(epoch(time)) AS BIGINT) % 86400 BETWEEN 7200 AND 10799) AND NOT (dayofweek(time) = 0 AND hour(time) < 6)")
+def calendar_anti(spark, sf):
+    """Points outside a one-off day, a nightly hour, and Sunday mornings."""
+    cal = [R.Calendar(1704499200, 1704585600), R.Calendar(7200, 10800, "daily"), R.Calendar(0, 6 * HOUR, "weekly")]
+    return R.outside(points(spark, sf), cal, "time").select("event_id")
+
+
+@query(f"SELECT bucket, event_type, round(score, 4) AS score FROM ({REC}) WHERE score >= 3 + CASE event_type WHEN 'error' THEN 8 WHEN 'view' THEN 40 ELSE 0 END")
+def feedback_penalty(spark, sf):
+    marks = spark.createDataFrame([("error", 1), ("view", 9)], "event_type string, marks int")
+    return R.penalised(records(spark, sf), marks, ["event_type"], 3.0).select("bucket", "event_type", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT bucket, event_type, round(score, 4) AS score FROM (SELECT *, row_number() OVER w AS n, quantile_cont(score, 0.9) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 511 PRECEDING AND CURRENT ROW) AS q FROM ({REC}) WHERE score >= 1 WINDOW w AS (PARTITION BY event_type ORDER BY bucket)) WHERE n <= 20 OR score >= q")
+def adaptive_sensitivity(spark, sf):
+    return R.adaptive(records(spark, sf).filter("score >= 1"), ["event_type"], "score", 0.9).select("bucket", "event_type", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT bucket, event_type, round(score, 4) AS initial_score, round(greatest(0.0, least(100.0, CASE WHEN p < 1e-12 THEN 12.0 ELSE -log10(p) END / greatest(12.0, max(CASE WHEN p < 1e-12 THEN 12.0 ELSE -log10(p) END) OVER (PARTITION BY event_type)) * 100)), 4) AS score FROM ({REC}) WHERE score > 0")
+def renormalize(spark, sf):
+    got = B.renormalise(records(spark, sf).filter("score > 0"), ["event_type"], "p", "score")
+    return got.select("bucket", "event_type", F.round("initial_score", 4).alias("initial_score"), F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT bucket, round(least(1.0, exp(-h) * (1 + h + h * h / 2 + h * h * h / 6 + h * h * h * h / 24)), 9) AS p FROM (SELECT bucket, -sum(ln(greatest(p, 1e-12))) AS h, count(*) AS m FROM ({REC}) GROUP BY bucket) WHERE m = 5")
+def ensemble_fisher(spark, sf):
+    """Buckets where all five series have a score, combined by Fisher's method."""
+    g = records(spark, sf).groupBy("bucket").agg(F.sum(-2 * F.log(F.greatest("p", F.lit(1e-12)))).alias("x"), F.count("*").alias("m")).filter("m = 5")
+    return g.select("bucket", F.round(X.chi2_sf_even("x", 5), 9).alias("p"))
+
+
+@query(f"SELECT bucket, event_type, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, bucket, event_type) AS INTEGER) AS rank FROM ({REC}) QUALIFY rank <= 10")
+def top_k_records(spark, sf):
+    from pyspark.sql import Window
+
+    top = records(spark, sf).orderBy(F.desc("score"), "bucket", "event_type").limit(10)
+    return top.select("bucket", "event_type", F.round("score", 4).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "bucket", "event_type")).alias("rank"))
+
+
+@query(f"SELECT bucket * 1000 AS time_ms, event_type AS target, round(score, 4) AS value FROM ({REC}) WHERE bucket >= 1705276800 AND bucket < 1705881600")
+def grafana_rows(spark, sf):
+    return records(spark, sf).filter("bucket >= 1705276800 and bucket < 1705881600").select((F.col("bucket") * 1000).alias("time_ms"), F.col("event_type").alias("target"), F.round("score", 4).alias("value"))
+
+
+# ---- series models --------------------------------------------------------------------------------------------
+
+@query(f"SELECT CAST(l AS INTEGER) AS lag, round(sum((a.v - m) * (b.v - m)) / max(s), 6) AS acf FROM (SELECT idx, n AS v FROM ({DLY})) a JOIN (SELECT idx, n AS v FROM ({DLY})) b ON b.idx - a.idx BETWEEN 1 AND 30 CROSS JOIN (SELECT avg(n) AS m, var_pop(n) * count(*) AS s FROM ({DLY})) CROSS JOIN LATERAL (SELECT b.idx - a.idx AS l) GROUP BY l")
+def acf(spark, sf):
+    return S.acf(daily_orders(spark, sf), "n", "idx", 30).select("lag", r6("acf").alias("acf"))
+
+
+_TWO = f"SELECT bucket, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'error') AS b FROM ({PTS}) GROUP BY bucket"
+
+
+def _two(spark, sf):
+    h = hourly(spark, sf).groupBy("bucket").pivot("event_type", ["click", "error"]).agg(F.first("v"))
+    return h.select((F.col("bucket") / HOUR).cast("long").alias("idx"), F.col("click").alias("a"), F.col("error").alias("b"))
+
+
+_XC = f"SELECT CAST(l AS INTEGER) AS lag, corr(x.a, y.b) AS r FROM (SELECT bucket // 3600 AS idx, a FROM ({_TWO})) x CROSS JOIN range(-6, 7) t(l) JOIN (SELECT bucket // 3600 AS idx, b FROM ({_TWO})) y ON y.idx = x.idx + l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY l"
+
+
+@query(f"SELECT lag, round(r, 6) AS r FROM ({_XC})")
+def cross_correlation(spark, sf):
+    return S.cross_correlation(_two(spark, sf), "a", "b", "idx", 6).select("lag", r6("r").alias("r"))
+
+
+@query(f"SELECT lag, round(r, 6) AS r FROM ({_XC}) ORDER BY abs(round(r, 9)) DESC, lag LIMIT 1")
+def lead_lag(spark, sf):
+    return S.lead_lag(_two(spark, sf), "a", "b", "idx", 6).select("lag", r6("r").alias("r"))
+
+
+@query(f"SELECT h AS step, round(i + s * (hi + h), 4) AS forecast FROM (SELECT regr_slope(v, idx) AS s, regr_intercept(v, idx) AS i, max(idx) AS hi FROM ({DLY})) CROSS JOIN (SELECT CAST(unnest(range(1, 15)) AS INTEGER) AS h)")
+def linear_forecast(spark, sf):
+    return S.linear_forecast(daily_orders(spark, sf), [], "v", "idx", 14).select("step", F.round("forecast", 4).alias("forecast"))
+
+
+@query(f"""WITH d AS (SELECT row_number() OVER (ORDER BY idx) AS i, n AS v FROM ({DLY})), t AS (SELECT count(*) AS n, sum(v) AS s, sum(v * v) AS q, regr_sxx(v, i) AS sxx, regr_sxy(v, i) AS sxy, regr_syy(v, i) AS syy FROM d),
+c AS (SELECT i, sum(v) OVER (ORDER BY i) AS ls, sum(v * v) OVER (ORDER BY i) AS lq FROM d), x AS (SELECT i, (lq - ls * ls / i) + ((q - lq) - (s - ls) * (s - ls) / (n - i)) AS sse, syy - sxy * sxy / sxx AS line, n FROM c, t WHERE i >= 5 AND n - i >= 5)
+SELECT CAST(i AS BIGINT) AS split, round((line - sse) / (sse / (n - 2) + 1e-9), 6) AS score FROM x ORDER BY sse, i LIMIT 1""")
+def change_point_single(spark, sf):
+    return S.best_split(daily_orders(spark, sf), "n", "idx").select("split", r6("score").alias("score"))
+
+
+# ---- combination of p-values, false discovery, conformal -----------------------------------------------------
+
+_P3 = "SELECT event_id, greatest(1e-9, least(1.0, exp(-value / 50))) AS p1, greatest(1e-9, least(1.0, (event_id % 997 + 1) / 998.0)) AS p2, greatest(1e-9, least(1.0, pow((event_id % 61 + 1) / 62.0, 2))) AS p3 FROM events"
+
+
+def _p3(spark, sf):
+    e, lo = read(spark, sf, "events"), lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1.0), c))
+    i = F.col("event_id")
+    return e.select("event_id", lo(F.exp(-F.col("value") / 50)).alias("p1"), lo((i % 997 + 1) / 998.0).alias("p2"), lo(F.pow((i % 61 + 1) / 62.0, F.lit(2))).alias("p3"))
+
+
+def _combine(name: str, expr: Callable[[], Column], sql: str):
+    def run(spark, sf):
+        return _p3(spark, sf).select("event_id", F.round(expr(), 8).alias("p"))
+
+    run.__name__ = name
+    query(f"SELECT event_id, round({sql}, 8) AS p FROM ({_P3})")(run)
+
+
+_combine("fisher", lambda: X.fisher("p1", "p2", "p3"), "least(1.0, p1 * p2 * p3 * (1 - ln(p1 * p2 * p3) + pow(ln(p1 * p2 * p3), 2) / 2))")
+_combine("cauchy", lambda: X.cauchy("p1", "p2", "p3"), "greatest(0.0, least(1.0, 0.5 - atan((tan((0.5 - p1) * pi()) + tan((0.5 - p2) * pi()) + tan((0.5 - p3) * pi())) / 3) / pi()))")
+_combine("harmonic", lambda: X.harmonic("p1", "p2", "p3"), "least(1.0, 3 / (1 / p1 + 1 / p2 + 1 / p3))")
+_combine("kofm_agree", lambda: X.agree(2, "p1", "p2", "p3"), "3 * pow(list_sort([p1, p2, p3])[2], 2) * (1 - list_sort([p1, p2, p3])[2]) + pow(list_sort([p1, p2, p3])[2], 3)")
+_combine("sidak_span", lambda: X.sidak("p1", F.lit(24)), "least(1.0, 1 - pow(1 - p1, 24))")
+
+
+def _step(kind: str) -> str:
+    c = "(SELECT sum(1.0 / i) FROM range(1, m + 1) t(i))" if kind == "by" else "1.0"
+    pi0 = "greatest(1.0 / m, least(1.0, (above + 1) / (m * 0.5)))" if kind == "storey" else "1.0"
+    base = f"SELECT event_id, event_type, greatest(1e-300, least(1.0, exp(-value / 50))) AS p FROM ({PTS})"
+    return f"""WITH b AS ({base}), r AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY p) AS rk, count(*) OVER (PARTITION BY event_type) AS m, count(*) FILTER (p > 0.5) OVER (PARTITION BY event_type) AS above FROM b),
+    l AS (SELECT *, rk * 0.05 / (m * {c} * {pi0}) AS lvl FROM r), c AS (SELECT event_type, max(p) FILTER (p <= lvl) AS cut FROM l GROUP BY event_type)
+    SELECT event_id, coalesce(p <= cut, false) AS rejected FROM l JOIN c USING (event_type)"""
+
+
+def _ps(spark, sf):
+    return points(spark, sf).select("event_id", "event_type", F.exp(-F.col("value") / 50).alias("p"))
+
+
+@query(_step("bh"))
+def bh(spark, sf):
+    return M.step_up(_ps(spark, sf), ["event_type"], "p", 0.05).select("event_id", "rejected")
+
+
+@query(_step("by"))
+def by(spark, sf):
+    return M.step_up(_ps(spark, sf), ["event_type"], "p", 0.05, dependent=True).select("event_id", "rejected")
+
+
+@query(_step("storey"))
+def storey_bh(spark, sf):
+    p = _ps(spark, sf)
+    return M.step_up(p.join(M.storey_pi0(p, ["event_type"], "p"), "event_type"), ["event_type"], "p", 0.05, pi0="pi0").select("event_id", "rejected")
+
+
+_CAL = f"SELECT event_id, event_type, value AS s, event_id % 2 = 0 AS cal, hour(time) AS slot FROM ({PTS})"
+
+
+def _conf(keys: str) -> str:
+    return f"SELECT a.event_id, round((1 + (SELECT count(*) FROM ({_CAL}) b WHERE b.cal AND {keys} AND b.s >= a.s)) / (1.0 + (SELECT count(*) FROM ({_CAL}) b WHERE b.cal AND {keys})), 6) AS p FROM ({_CAL}) a WHERE NOT a.cal"
+
+
+def _conf_rows(spark, sf, keys):
+    p = points(spark, sf).select("event_id", "event_type", F.col("value").alias("s"), F.hour("time").alias("slot"))
+    return M.conformal_p(p.filter("event_id % 2 <> 0"), p.filter("event_id % 2 = 0"), keys, "s").select("event_id", r6("p").alias("p"))
+
+
+@query(_conf("b.event_type = a.event_type"))
+def conformal_p(spark, sf):
+    return _conf_rows(spark, sf, ["event_type"])
+
+
+@query(_conf("b.event_type = a.event_type AND b.slot = a.slot"))
+def mondrian_p(spark, sf):
+    return _conf_rows(spark, sf, ["event_type", "slot"])
+
+
+# ---- alarm policy ---------------------------------------------------------------------------------------------
+
+_IDX = f"SELECT event_type, bucket // 3600 AS idx, v FROM ({HRS})"
+
+
+def _idx(spark, sf):
+    return hourly(spark, sf).select("event_type", (F.col("bucket") / HOUR).cast("long").alias("idx"), "v")
+
+
+@query(f"SELECT event_type, CAST(idx AS BIGINT) AS idx FROM (SELECT *, sum(CAST(v > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS k FROM ({_IDX})) WHERE k >= 4")
+def guard_kofn(spark, sf):
+    return B.persistence(_idx(spark, sf), ["event_type"], F.col("v") > 60, "idx", 4, 10).filter("fires").select("event_type", "idx")
+
+
+@query(f"SELECT event_type, CAST(min(idx) AS BIGINT) AS start, CAST(max(idx) AS BIGINT) AS stop, round(max(v), 6) AS peak, count(*) AS hits FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY idx) AS region FROM (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY event_type ORDER BY idx) <= 10 THEN 0 ELSE 1 END AS new FROM ({_IDX}) WHERE v > 75)) GROUP BY event_type, region")
+def candidates_gap(spark, sf):
+    return B.candidates(_idx(spark, sf), ["event_type"], F.col("v") > 75, "v", "idx", 10).select("event_type", "start", "stop", r6("peak").alias("peak"), "hits")
+
+
+@query(f"SELECT bucket, event_type, round(v, 6) AS v FROM {zsql(HRS, 'event_type', 'v', 'bucket', 200, 20)} WHERE abs(z) >= 2 AND abs(v - typical) >= 10")
+def effect_gate(spark, sf):
+    z = B.zscore(hourly(spark, sf), ["event_type"], "v", window=200)
+    return z.filter((F.abs("z") >= 2) & (F.abs(F.col("v") - F.col("typical")) >= 10)).select("bucket", "event_type", r6("v").alias("v"))
+
+
+# ---- peers and outliers ---------------------------------------------------------------------------------------
+
+_KNN = "SELECT a.s_suppkey AS key, b.s_suppkey AS nb, sqrt(pow(a.s_acctbal - b.s_acctbal, 2) + pow(100.0 * (a.s_nationkey - b.s_nationkey), 2)) AS d FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey"
+
+
+def _sup(spark, sf):
+    return read(spark, sf, "supplier").select("s_suppkey", "s_acctbal", (100.0 * F.col("s_nationkey")).alias("nat"))
+
+
+@query(f"SELECT key, round(avg(d), 6) AS knn, round(max(d), 6) AS kth_nn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, nb) AS rn FROM ({_KNN})) WHERE rn <= 5 GROUP BY key")
+def outliers_knn(spark, sf):
+    return P.nearest(_sup(spark, sf), "s_suppkey", ["s_acctbal", "nat"], 5).groupBy("key").agg(r6(F.avg("distance")).alias("knn"), r6(F.max("distance")).alias("kth_nn"))
+
+
+@query()
+def outliers_ensemble(spark, sf):
+    """Outlier scores and feature influence of suppliers within each nation group."""
+    s = read(spark, sf, "supplier").withColumn("grp", F.lit(0))
+    return P.outliers(s, ["grp"], "s_suppkey", ["s_acctbal", "s_nationkey"]).select("s_suppkey", r6("score").alias("score"))
+
+
+@query(f"SELECT bucket, event_type, round(v / m, 6) AS relative FROM ({HRS}) JOIN (SELECT bucket, median(v) AS m FROM ({HRS}) GROUP BY bucket) USING (bucket)")
+def peer_relative(spark, sf):
+    return P.relative(hourly(spark, sf), "v").select("bucket", "event_type", r6("relative").alias("relative"))
+
+
+@query(f"SELECT bucket, event_type, round(CASE WHEN s > 0 THEN abs(v - m) / s ELSE 0 END, 6) AS deviation FROM ({HRS}) JOIN (SELECT bucket, median(v) AS m, 1.4826 * mad(v) AS s FROM ({HRS}) GROUP BY bucket) USING (bucket)")
+def peer_deviation(spark, sf):
+    return P.deviation(hourly(spark, sf), "v").select("bucket", "event_type", r6("deviation").alias("deviation"))
+
+
+@query(f"SELECT event_type, count(*) AS length, round(regr_slope(v, bucket / 3600), 9) AS trend, round(stddev_pop(v), 6) AS noise, round(sum(pow(v - m, 3)) / count(*) / pow(stddev_pop(v), 3), 6) AS skew, round(sum(pow(v - m, 4)) / count(*) / pow(stddev_pop(v), 4) - 3, 6) AS kurt FROM ({HRS}) JOIN (SELECT event_type, avg(v) AS m FROM ({HRS}) GROUP BY ALL) USING (event_type) GROUP BY event_type")
+def series_features(spark, sf):
+    return S.features(hourly(spark, sf).withColumn("idx", F.col("bucket") / HOUR), ["event_type"], "v", "idx").select("event_type", "length", F.round("trend", 9).alias("trend"), r6("noise").alias("noise"), r6("skew").alias("skew"), r6("kurt").alias("kurt"))
+
+
+@query(f"SELECT event_type, CAST(CASE WHEN d >= 3600 THEN 3600 WHEN d >= 900 THEN 900 WHEN d >= 300 THEN 300 ELSE 60 END AS BIGINT) AS span_s FROM (SELECT event_type, quantile_disc(dt, 0.5) AS d FROM (SELECT event_type, (epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY event_type ORDER BY time)) / 1e6 AS dt FROM ({PTS})) WHERE dt > 0 GROUP BY ALL)")
+def autopilot_span(spark, sf):
+    return S.suggest_span(points(spark, sf), ["event_type"], [60, 300, 900, 3600])
+
+
+# ---- correlation, topology, objectives ------------------------------------------------------------------------
+
+_EDG = "SELECT n_name AS caller, p_brand AS callee, count(*) AS calls, CAST(sum(CAST(l_returnflag = 'R' AS INTEGER)) AS BIGINT) AS errors, round(median(l_quantity), 6) AS p50 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey GROUP BY ALL"
+
+
+@query(_EDG)
+def span_edges(spark, sf):
+    """Each line item as a trace of two spans: the supplier's nation calls the part's brand."""
+    j = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", F.monotonically_increasing_id().alias("row"))
+    j = j.join(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
+    j = j.join(read(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("s_nationkey"))
+    j = j.join(read(spark, sf, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    two = F.array(
+        F.struct(F.lit("a").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.col("n_name").alias("service"), F.lit(False).alias("error"), F.col("l_quantity").alias("duration")),
+        F.struct(F.lit("b").alias("span_id"), F.lit("a").alias("parent_id"), F.col("p_brand").alias("service"), (F.col("l_returnflag") == "R").alias("error"), F.col("l_quantity").alias("duration")),
+    )
+    spans = j.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "row").alias("trace_id"), F.explode(two).alias("s")).select("trace_id", "s.*")
+    return I.span_edges(spans).select("caller", "callee", "calls", "errors", r6("p50").alias("p50"))
+
+
+_RE = "SELECT DISTINCT 'n' || n_nationkey AS caller, 'n' || (n_nationkey * 3 + 1) % 25 AS callee FROM nation"
+
+
+@query(f"WITH RECURSIVE e AS ({_RE}), r AS (SELECT caller AS src, callee AS dst, 1 AS hops FROM e UNION SELECT r.src, e.callee, r.hops + 1 FROM r JOIN e ON e.caller = r.dst WHERE r.hops < 4) SELECT src, dst, CAST(min(hops) AS INTEGER) AS hops FROM r WHERE src <> dst GROUP BY ALL")
+def reachability(spark, sf):
+    n = F.col("n_nationkey")
+    e = read(spark, sf, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("caller"), F.concat(F.lit("n"), ((n * 3 + 1) % 25).cast("string")).alias("callee"))
+    return I.reachable(e)
+
+
+_SYM = f"SELECT event_id AS id, epoch(time) AS ts, event_type AS job, usr AS entity FROM ({PTS}) WHERE value > 180"
+_LNK = f"SELECT a.id AS a, b.id AS b FROM ({_SYM}) a JOIN ({_SYM}) b ON a.id < b.id AND abs(a.ts - b.ts) <= 7200 AND (a.entity = b.entity OR (abs(a.ts - b.ts) <= 3600 AND a.job <> b.job))"
+
+
+def _symptoms(spark, sf):
+    return points(spark, sf).filter("value > 180").select(F.col("event_id").alias("id"), (F.unix_micros("time") / 1e6).alias("ts"), F.col("event_type").alias("job"), F.col("user").alias("entity"))
+
+
+@query(_LNK)
+def symptom_links(spark, sf):
+    return I.symptom_links(_symptoms(spark, sf), 7200)
+
+
+@query(f"WITH RECURSIVE l AS ({_LNK}), n AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT id, id AS c FROM ({_SYM}) UNION SELECT r.id, n.y FROM r JOIN n ON n.x = r.c) SELECT id, min(c) AS component FROM r GROUP BY id")
+def incident_components(spark, sf):
+    s = _symptoms(spark, sf)
+    return I.label_components(s, I.symptom_links(s, 7200))
+
+
+_SLO = f"SELECT event_type AS slo, epoch(time) AS ts, CAST(value < 150 AS DOUBLE) AS good, 1.0 AS total FROM ({PTS})"
+
+
+@query(f"SELECT slo, round(sum(good) / sum(total), 6) AS sli, round((1 - sum(good) / sum(total)) / 0.05, 6) AS consumed FROM (SELECT *, max(ts) OVER (PARTITION BY slo) - ts AS age FROM ({_SLO})) WHERE age <= 2592000 GROUP BY slo")
+def slo_report(spark, sf):
+    got = I.slo_report(_slo(spark, sf), 0.95, 30 * DAY)
+    return got.select("slo", r6("sli").alias("sli"), r6("consumed").alias("consumed"))
+
+
+def _slo(spark, sf):
+    return points(spark, sf).select(F.col("event_type").alias("slo"), (F.unix_micros("time") / 1e6).alias("ts"), (F.col("value") < 150).cast("double").alias("good"), F.lit(1.0).alias("total"))
+
+
+@query(f"SELECT slo, w AS window_s, round(coalesce(sum(total - good) FILTER (age <= w) / nullif(sum(total) FILTER (age <= w), 0), 0) / 0.05, 6) AS burn FROM (SELECT *, max(ts) OVER (PARTITION BY slo) - ts AS age FROM ({_SLO})) CROSS JOIN (SELECT CAST(unnest([3600, 21600, 259200]) AS BIGINT) AS w) GROUP BY slo, w")
+def burn_windows(spark, sf):
+    over = [3600, 21600, 259200]
+    b = I.burn(_slo(spark, sf), 0.95, 30 * DAY, over)
+    return b.select("slo", F.explode(F.array(*(F.struct(F.lit(w).cast("long").alias("window_s"), r6(f"burn_{w}").alias("burn")) for w in over))).alias("x")).select("slo", "x.*")
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------
+
+_LAB = f"SELECT event_type, CAST(bucket // 3600 AS BIGINT) AS idx, v, v > 70 AS fired, (bucket // 3600) % 24 BETWEEN 9 AND 12 AS label FROM ({HRS})"
+
+
+def _labelled(spark, sf):
+    return _idx(spark, sf).withColumn("fired", F.col("v") > 70).withColumn("label", (F.col("idx") % 24).between(9, 12))
+
+
+_F1 = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall"
+
+
+@query(f"SELECT event_type, tp, fp, fn, tn, {_F1} FROM (SELECT event_type, count(*) FILTER (label AND fired) AS tp, count(*) FILTER (NOT label AND fired) AS fp, count(*) FILTER (label AND NOT fired) AS fn, count(*) FILTER (NOT label AND NOT fired) AS tn FROM ({_LAB}) GROUP BY ALL)")
+def confusion(spark, sf):
+    return E.confusion(_labelled(spark, sf), ["event_type"], "label", "fired").select("event_type", "tp", "fp", "fn", "tn", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+def _adj(k: float) -> str:
+    return f"SELECT event_type, idx, CASE WHEN label THEN fired OR (sum(CAST(fired AS INTEGER)) OVER s > 0 AND avg(CAST(fired AS INTEGER)) OVER s >= {k}) ELSE fired END AS adjusted FROM (SELECT *, idx - row_number() OVER (PARTITION BY event_type, label ORDER BY idx) AS seg FROM ({_LAB})) WINDOW s AS (PARTITION BY event_type, label, seg)"
+
+
+@query(_adj(0))
+def point_adjust(spark, sf):
+    return E.point_adjust(_labelled(spark, sf), ["event_type"], "label", "fired", "idx").select("event_type", "idx", "adjusted")
+
+
+@query(_adj(0.5))
+def point_adjust_k(spark, sf):
+    return E.point_adjust(_labelled(spark, sf), ["event_type"], "label", "fired", "idx", 0.5).select("event_type", "idx", "adjusted")
+
+
+@query(f"SELECT event_type, round(sum(pos / tot * tp / seen), 6) AS auc_pr FROM (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY event_type) AS tot FROM (SELECT event_type, v, CAST(count(*) FILTER (label) AS DOUBLE) AS pos, count(*) AS n FROM ({_LAB}) GROUP BY ALL) WINDOW w AS (PARTITION BY event_type ORDER BY v DESC)) GROUP BY event_type")
+def auc_pr(spark, sf):
+    return E.auc_pr(_labelled(spark, sf), ["event_type"], "label", "v").select("event_type", r6("auc_pr").alias("auc_pr"))
+
+
+def _regions(col: str) -> str:
+    return f"SELECT event_type, min(idx) AS start, max(idx) AS stop FROM (SELECT event_type, idx, idx - row_number() OVER (PARTITION BY event_type ORDER BY idx) AS seg FROM ({_LAB}) WHERE {col}) GROUP BY event_type, seg"
+
+
+def _cover(a: str, b: str) -> str:
+    return f"SELECT r.event_type, r.start, r.stop, coalesce(sum(least(r.stop, f.stop) - greatest(r.start, f.start) + 1), 0) / (r.stop - r.start + 1) AS coverage, count(f.start) AS overlaps FROM ({_regions(a)}) r LEFT JOIN ({_regions(b)}) f ON f.event_type = r.event_type AND f.start <= r.stop AND f.stop >= r.start GROUP BY ALL"
+
+
+@query(f"SELECT event_type, round(recall, 6) AS recall, round(precision, 6) AS precision FROM (SELECT event_type, avg(0.5 * CAST(overlaps > 0 AS INTEGER) + 0.5 * coverage / greatest(1, overlaps)) AS recall FROM ({_cover('label', 'fired')}) GROUP BY ALL) JOIN (SELECT event_type, avg(coverage / greatest(1, overlaps)) AS precision FROM ({_cover('fired', 'label')}) GROUP BY ALL) USING (event_type)")
+def range_f1(spark, sf):
+    rows = _labelled(spark, sf)
+    part = lambda c: E.segments(rows, ["event_type"], c, "idx").groupBy("event_type", "segment").agg(F.min("idx").alias("start"), F.max("idx").alias("stop")).drop("segment")
+    return E.range_f1(part("label"), part("fired"), ["event_type"]).select("event_type", r6("recall").alias("recall"), r6("precision").alias("precision"))
+
+
+@query(f"SELECT event_id, EXISTS (SELECT 1 FROM (SELECT event_type AS key, min(time) + INTERVAL 1 DAY AS a, min(time) + INTERVAL 3 DAY AS b FROM ({PTS}) GROUP BY event_type) w WHERE w.key = p.event_type AND p.time BETWEEN a AND b) AS label FROM ({PTS}) p")
+def label_range_join(spark, sf):
+    p = points(spark, sf).withColumn("key", F.col("event_type"))
+    w = p.groupBy("key").agg((F.min("time") + F.expr("interval 1 day")).alias("start"), (F.min("time") + F.expr("interval 3 days")).alias("stop"))
+    return E.label_points(p, w).select("event_id", "label")
+
+
+# ---- text -----------------------------------------------------------------------------------------------------
+
+_MASK = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\b', '<*>', 'g'), '\b[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}(:[0-9]+)?\b', '<*>', 'g'), '\b0[xX][0-9a-fA-F]+\b', '<*>', 'g'), '\b[0-9]+(\.[0-9]+)?\b', '<*>', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+
+
+@query("SELECT template, count(*) AS n FROM (SELECT " + _MASK.format(c="'user ' || CAST(user_id AS VARCHAR) || '  did ' || event_type || ' at 10.0.0.' || CAST(user_id % 7 AS VARCHAR) || ':80 code 0x1f' ") + " AS template FROM events) GROUP BY ALL")
+def log_mask_templates(spark, sf):
+    e = read(spark, sf, "events")
+    m = F.format_string("user %s  did %s at 10.0.0.%s:80 code 0x1f ", F.col("user_id").cast("string"), "event_type", (F.col("user_id") % 7).cast("string"))
+    return e.select(X.mask_template(m).alias("template")).groupBy("template").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda s: CASE WHEN len(s) > 0 AND (len(regexp_replace(s, '[^0-9]', '', 'g')) * 2 >= len(s) OR (len(s) >= 16 AND regexp_full_match(s, '[0-9a-fA-F-]+'))) THEN ':id' ELSE s END), '/') AS path FROM pages")
+def url_normalize(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.normalise_path("url").alias("path"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props_extract(spark, sf):
+    return points(spark, sf).groupBy("event_type", (F.col("k").cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
