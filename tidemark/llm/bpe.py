@@ -19,14 +19,16 @@ from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: The split of byte-level BPE before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LIN}{NIN}]+|\s+(?!\S)|\s+"
 
@@ -180,29 +182,45 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+SLICE = 256  # rows encoded or decoded at a time, which bounds a worker's memory
+
+
+def _mapped(docs: DataFrame, column: str, out: str, kind: T.DataType, fn) -> DataFrame:
+    """docs with a column that fn makes of another, slice by slice; an existing column of that name is replaced."""
+    rest = [c for c in docs.columns if c.lower() != out.lower()]
+    rows = docs.select(*rest) if column in rest else docs.select(*rest, column)
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(out, kind)])
+    at = rows.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], fn(part.column(at))], names=[*rest, out])
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of token ids (array<int>). A null text counts as empty and gives no ids; other columns stay."""
-    ids = F.pandas_udf(lambda s: _encode_series(s, path), "array<int>")
-    return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
-
 
-def _encode_series(s, path):
-    import pandas as pd
+    def run(texts):
+        bpe = load(path)
+        ids = [np.array(bpe.encode(t or ""), np.int32) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
-    bpe = load(path)
-    return pd.Series([bpe.encode(t) for t in s], dtype=object)
+    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), run)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """docs with the text of a column of token ids; null ids give null, bytes that are no UTF-8 the replacement character."""
 
-    def run(s):
-        import pandas as pd
-
+    def run(lists):
         bpe = load(path)
-        return pd.Series([None if x is None else bpe.decode(x) for x in s], dtype=object)
+        return pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], pa.string())
 
-    return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(ids)))
+    return _mapped(docs, ids, out, T.StringType(), run)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

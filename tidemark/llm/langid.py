@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 200_000
+MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
