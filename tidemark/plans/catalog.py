@@ -17,6 +17,7 @@ from tidemark.operators import buckets as K
 from tidemark.operators import evaluation as E
 from tidemark.operators import forecasting as S
 from tidemark.operators import incidents as I
+from tidemark.operators import kernels as N
 from tidemark.operators import multiple as M
 from tidemark.operators import population as P
 from tidemark.operators import rules as R
@@ -649,10 +650,10 @@ def _regions(col: str) -> str:
 
 
 def _cover(a: str, b: str) -> str:
-    return f"SELECT r.event_type, r.start, r.stop, coalesce(sum(least(r.stop, f.stop) - greatest(r.start, f.start) + 1), 0) / (r.stop - r.start + 1) AS coverage, count(f.start) AS overlaps FROM ({_regions(a)}) r LEFT JOIN ({_regions(b)}) f ON f.event_type = r.event_type AND f.start <= r.stop AND f.stop >= r.start GROUP BY ALL"
+    return f"SELECT r.event_type, r.start, r.stop, coalesce(sum(least(r.stop, f.stop) - greatest(r.start, f.start) + 1), 0) / max(r.stop - r.start + 1) AS coverage, count(f.start) AS cnt FROM ({_regions(a)}) r LEFT JOIN ({_regions(b)}) f ON f.event_type = r.event_type AND f.start <= r.stop AND f.stop >= r.start GROUP BY r.event_type, r.start, r.stop"
 
 
-@query(f"SELECT event_type, round(recall, 6) AS recall, round(precision, 6) AS precision FROM (SELECT event_type, avg(0.5 * CAST(overlaps > 0 AS INTEGER) + 0.5 * coverage / greatest(1, overlaps)) AS recall FROM ({_cover('label', 'fired')}) GROUP BY ALL) JOIN (SELECT event_type, avg(coverage / greatest(1, overlaps)) AS precision FROM ({_cover('fired', 'label')}) GROUP BY ALL) USING (event_type)")
+@query(f"SELECT event_type, round(recall, 6) AS recall, round(precision, 6) AS precision FROM (SELECT event_type, avg(0.5 * CAST(cnt > 0 AS INTEGER) + 0.5 * coverage / greatest(1, cnt)) AS recall FROM ({_cover('label', 'fired')}) GROUP BY ALL) JOIN (SELECT event_type, avg(coverage / greatest(1, cnt)) AS precision FROM ({_cover('fired', 'label')}) GROUP BY ALL) USING (event_type)")
 def range_f1(spark, sf):
     rows = _labelled(spark, sf)
     part = lambda c: E.segments(rows, ["event_type"], c, "idx").groupBy("event_type", "segment").agg(F.min("idx").alias("start"), F.max("idx").alias("stop")).drop("segment")
@@ -686,3 +687,31 @@ def url_normalize(spark, sf):
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_props_extract(spark, sf):
     return points(spark, sf).groupBy("event_type", (F.col("k").cast("long") % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
+# ---- sequential models: one kernel per series, no SQL equivalent -----------------------------------------------
+
+def _kernel(name: str, fn: Callable, doc: str):
+    def run(spark, sf):
+        return N.per_series(_idx(spark, sf), ["event_type"], "idx", "v", fn)
+
+    run.__name__, run.__doc__ = name, doc
+    query()(run)
+
+
+_kernel("temporal_model", N.temporal, "Median and MAD baseline with trend, warm-up ramp, multi-bucket scores and drift rebase.")
+_kernel("evt_dspot", N.dspot_scores, "Streaming peaks over threshold on drift-corrected values.")
+_kernel("half_space_trees", N.half_space_scores, "Streaming half-space forest.")
+_kernel("matrix_profile", N.matrix_profile_scores, "Distance to the nearest other subsequence.")
+_kernel("left_matrix_profile", N.left_profile_scores, "Distance to the nearest earlier subsequence.")
+_kernel("sub_knn", N.sub_knn_scores, "Mean distance of subsequences to their five nearest.")
+_kernel("holt_winters", N.holt_winters_residuals, "One-step residuals of the best additive seasonal smoothing of a small grid.")
+_kernel("change_points", N.change_point_scores, "Scores of the splits of recursive binary segmentation, 0 elsewhere.")
+_kernel("lord_online", N.lord_decisions, "Online false-discovery control over empirical tail probabilities.")
+
+
+@query()
+def drain_templates(spark, sf):
+    """Log templates of conversation turns, one tree per token count."""
+    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("message"))
+    return N.drain(rows, "key", "message").groupBy("template").agg(F.count("*").alias("n"))
