@@ -41,10 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and whether decoding them gives the text back."""
-    path = vocabulary()
-    rows = bpe.encode(docs, path, out="ids")
-    rows = bpe.decode(rows, path, "ids", "decoded_")
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded_") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    rows = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import resident
+
 
 
 CACHE_WORDS = 250_000
@@ -176,10 +178,9 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def load(path: str) -> Bpe:
     """One per worker process; the path must hold on every executor."""
-    return Bpe(path)
+    return resident(("bpe", path), lambda: Bpe(path))
 
 
 SLICE = 256  # rows encoded or decoded at a time, which bounds a worker's memory
@@ -223,6 +224,28 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     return _mapped(docs, ids, out, T.StringType(), run)
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text", out: str = "ids", check: str = "round_trip") -> DataFrame:
+    """docs with the ids in place of the text, and whether decoding them gives it back, in one pass over one worker.
+
+    A null text counts as empty. Columns called as the new ones are replaced.
+    """
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), out.lower(), check.lower())]
+    fields = [*docs.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]
+
+    def run(batches):
+        bpe = load(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
+                ids = [np.array(bpe.encode(t), np.int32) for t in texts]
+                same = [bpe.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], lists, pa.array(same, pa.bool_())], names=[*rest, out, check])
+
+    return docs.select(*rest, text).mapInArrow(run, T.StructType(fields))
+
+
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode, then decode every whole text; per row: key, n_tokens, ids_sha256, decoded_sha256.
 

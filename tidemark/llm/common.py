@@ -98,3 +98,14 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+_resident: dict = {}
+
+
+def resident(key, make):
+    """The one large model this worker process keeps; another takes its place. Workers outlive tasks and stages."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

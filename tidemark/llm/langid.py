@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, resident
 
 MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 100_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -203,12 +203,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     return docs.withColumn(got, run(F.col(text))).withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
 
 
-_models: dict[int, Model] = {}
-
-
 def _cached(shared) -> Model:
-    """One model for each broadcast and worker process, with the words it has met."""
-    if shared._path not in _models:
-        _models.clear()
-        _models[shared._path] = Model(*shared.value)
-    return _models[shared._path]
+    """One model for each broadcast and worker process, with the chunks it has met."""
+    return resident(("langid", shared._path), lambda: Model(*shared.value))

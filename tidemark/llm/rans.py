@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, resident
 
 LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
 SCALE_BITS, LOW = 20, 1 << 31
@@ -227,9 +226,8 @@ class _Tokenizer:
 MARKS = frozenset(",.;:!?|")
 
 
-@lru_cache(1)
 def _tokenizer(path: str) -> _Tokenizer:
-    return _Tokenizer(path)
+    return resident(("tokenizer", path), lambda: _Tokenizer(path))
 
 
 def tokenise(docs: DataFrame, path: str, text: str, key: str, end_id: int, n_shards: int) -> DataFrame:
