@@ -31,12 +31,16 @@ def _nanos(c):
     return F.when(n > 0, F.timestamp_micros((n / 1000).cast("long")))
 
 
+def _tagged(points: str, kind: str):
+    return F.transform(F.coalesce(F.col(points), F.array().cast(f"array<{_NUMBER}>")), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
+
+
 def otlp_metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     """(time, metric, value, fields) of metric payloads; a histogram's value is its mean. Points without a time, or
     histograms without a count, are left out."""
     r = bodies.select(F.explode(F.from_json(column, OTLP_METRICS)["resourceMetrics"]).alias("r"))
     m = r.select("r.resource", F.explode("r.scopeMetrics").alias("s")).select("resource", F.explode("s.metrics").alias("m"))
-    kinds = [F.transform(F.coalesce(F.col(f"m.{k}.dataPoints"), F.array().cast(f"array<{_NUMBER}>")), lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("p"))) for k in ("gauge", "sum", "histogram")]
+    kinds = [_tagged(f"m.{k}.dataPoints", k) for k in ("gauge", "sum", "histogram")]
     p = m.select("resource", F.col("m.name").alias("metric"), F.explode(F.concat(*kinds)).alias("x")).select("resource", "metric", "x.kind", "x.p.*")
     value = F.when(F.col("kind") == "histogram", F.col("sum") / F.nullif(F.col("count").try_cast("double"), F.lit(0.0))).otherwise(F.coalesce("asDouble", F.col("asInt").try_cast("double")))
     out = p.select(_nanos("timeUnixNano").alias("time"), "metric", value.alias("value"), _attributes(F.col("resource.attributes"), F.col("attributes")).alias("fields"))
