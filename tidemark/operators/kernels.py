@@ -121,8 +121,8 @@ def fit_gpd(excess: np.ndarray) -> tuple[float, float]:
         y = 1 + theta * x
         if (y <= 0).any():
             return math.inf
-        k = float(np.log(y).mean())
-        return math.log(k / theta) + k + 1 if k / theta > 0 else math.inf
+        k = float(np.log(y).mean())  # below -0.5 the likelihood has no regular maximum and runs to the largest peak
+        return math.log(k / theta) + k + 1 if k / theta > 0 and k > -0.5 else math.inf
 
     grid = np.concatenate([-np.geomspace(0.999, 1e-4, 40) / top, [0.0], np.geomspace(1e-4, 20, 60) / mean])
     costs = [loss(t) for t in grid]
