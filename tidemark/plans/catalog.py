@@ -19,6 +19,7 @@ from tidemark.operators import forecasting as S
 from tidemark.operators import incidents as I
 from tidemark.operators import kernels as N
 from tidemark.operators import multiple as M
+from tidemark.operators import policy as A
 from tidemark.operators import population as P
 from tidemark.operators import rules as R
 
@@ -715,3 +716,17 @@ def drain_templates(spark, sf):
     """Log templates of conversation turns, one tree per token count."""
     rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("message"))
     return N.drain(rows, "key", "message").groupBy("template").agg(F.count("*").alias("n"))
+
+
+@query()
+def detect_scan(spark, sf):
+    """Alarms of every series: combined detectors, budget, guard, effect gate and shape."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("idx")
+        idx, found = pdf["idx"].to_numpy(), A.scan(pdf["v"].to_numpy(float), rate=1 / 100, least_effect=2.0)
+        return pd.DataFrame([(pdf["event_type"].iloc[0], int(idx[a]), int(idx[b]), s, e, k) for a, b, s, e, k in found], columns=["event_type", "start", "stop", "score", "effect", "shape"])
+
+    return _idx(spark, sf).groupBy("event_type").applyInPandas(run, "event_type string, start bigint, stop bigint, score double, effect double, shape string")
