@@ -45,6 +45,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     """Fit on all rows with a text and a language. Counts are added up on each task, then by term over the cluster."""
 
     def count(batches):
+        resident("counting", dict)  # a worker that comes from another stage lets its model go
         held: dict[str, Counter] = defaultdict(Counter)  # what stands between white space, as it stands
 
         def flush():
@@ -66,13 +67,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
         yield from flush()
 
     def count_grams(batches):
+        resident("counting", dict)
         for batch in batches:
-            c: Counter = Counter()
-            for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for k in range(1, MAX_GRAM + 1):
-                    for g in grams(word, k):
-                        c[language, k, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.int32()), pa.array([x[2] for x in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "k", "term", "n"])
+            for lo in range(0, batch.num_rows, 1000):
+                part, c = batch.slice(lo, 1000), Counter()
+                for language, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    for k in range(1, MAX_GRAM + 1):
+                        for g in grams(word, k):
+                            c[language, k, g] += n
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.int32()), pa.array([x[2] for x in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "k", "term", "n"])
 
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     by_word = materialise(rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
