@@ -69,8 +69,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     def count_grams(batches):
         resident("counting", dict)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part, c = batch.slice(lo, 1000), Counter()
+            for lo in range(0, batch.num_rows, 5000):
+                part, c = batch.slice(lo, 5000), Counter()
                 for language, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     for k in range(1, MAX_GRAM + 1):
                         for g in grams(word, k):
