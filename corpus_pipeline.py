@@ -1,7 +1,8 @@
 """The corpus pipeline: language identification, exact dedup, near dedup, mixing, tokens.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+as Parquet and read again as the next one's docs. All but the last return the columns of documents; mixing adds
+`shard`, the output shard of each copy, which the tokens keep.
 """
 
 from __future__ import annotations
@@ -35,14 +36,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it: not at all, once or twice."""
-    return mixing.mix(docs)
+    """Every document as often as the mixture takes it: not at all, once or twice; rows lie by output shard."""
+    return mixing.mix(docs, shard_out="shard")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and whether decoding them gives the text back."""
-    rows = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary())
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    shard = [c for c in docs.columns if c == "shard"]
+    rows = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text", *shard), vocabulary())
+    return rows.select("doc_id", "lang", "source", *shard, F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

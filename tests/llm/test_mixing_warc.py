@@ -40,6 +40,33 @@ def test_plan_meets_targets_and_reruns_agree(spark):
     assert mixed.columns == [*docs.columns, "shard"] and mixed.count() == got["copies"].sum()
 
 
+def test_every_shard_has_the_target_mixture(spark):
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 9)) AS text", "substr('abc', int(1 + id % 3), 1) AS source")
+    got = mixing.plan(docs, weights=(3.0, 1.0, 1.5), share=0.6, n_shards=4).toPandas()  # every source by a partial pass
+    assert set(got["copies"]) == {0, 1, 2} and (got["copies"] == got["shards"].map(len)).all()
+    goal = got.groupby("source")["target"].first()
+    dealt = got[["source", "size", "shards"]].explode("shards").dropna()
+    assert dealt["size"].sum() == got["taken"].sum()
+    held = dealt.groupby(["shards", "source"])["size"].sum().unstack(fill_value=0)
+    assert held.shape == (4, 3)
+    # a shard draws some 600 blocks, so the deviation of a share is 0.02 at most; without replacement it is less
+    assert (abs(held.div(held.sum(axis=1), axis=0) - goal / goal.sum()) < 0.06).all(axis=None)
+    assert (abs(held.sum(axis=1) / held.to_numpy().sum() - 0.25) < 0.02).all()
+
+
+def test_quota_of_a_pass_is_what_it_takes():
+    assert mixing.pass_quotas([0, 1, 2], [1000, 50, 7], [400, 3, 1], 2).tolist() == [[400, 50, 7], [0, 3, 7]]
+
+
+def test_pipeline_keeps_the_shards(spark):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame([(i, f"some text {i}", "en", f"s{i % 2}", 11) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = C.mix_sources(spark, docs, "")
+    assert mixed.columns == [*docs.columns, "shard"] and mixed.select("shard").distinct().count() > 4
+    assert "shard" in C.encode_tokens(spark, mixed, "").columns
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0

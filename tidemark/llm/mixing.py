@@ -5,10 +5,12 @@ source's target gives whole passes over it and the quota of blocks of a further,
 taken are the quota; the block where the target falls is taken document by document, in permuted order, each
 that still fits, so that a source misses its target by less than its smallest document left out of that block.
 
-The output shards share the quota through a binary tree: at each node a multivariate-hypergeometric draw splits
-the blocks of all sources between the left and the right shards, so each shard's mixture is that of one random
-draw without replacement. A shard then takes the next blocks of each source's permutation, disjoint from those
-of the others, and shuffles locally. All draws are keyed by the seed: reruns agree.
+The output shards share the quota of each pass (all blocks in a whole pass, the blocks it takes in the partial
+one) through a binary tree: at each node a multivariate-hypergeometric draw splits the blocks of all sources
+between the left and the right shards, so each shard's mixture is that of one random draw without replacement.
+A shard then takes the next blocks of each source's permutation, disjoint from those of the others, and shuffles
+locally. A document is taken as often as shards draw it. All draws are keyed by the seed: reruns agree. Blocks
+are the unit: a source with fewer blocks in its quota than there are shards is missing from some of them.
 
 The driver holds the sources' sizes and quotas only (one row a source, at most MAX_SOURCES). All sources together
 have MAX_BLOCKS blocks at most, which bounds the table of blocks that is broadcast; blocks grow instead.
@@ -73,8 +75,21 @@ def split_tree(quotas: np.ndarray, n_shards: int, rng: np.random.Generator) -> n
     return out
 
 
+def pass_quotas(passes: list[int], n_blocks: list[int], n_partial: list[int], repeats: int) -> np.ndarray:
+    """(repeats, sources): how many blocks each pass takes, which are the first of the source's permutation."""
+    whole, n, part = (np.asarray(a, np.int64) for a in (passes, n_blocks, n_partial))
+    return np.stack([np.where(p < whole, n, np.where(p == whole, part, 0)) for p in range(repeats)])
+
+
+def _held(blocks: DataFrame, sources: list) -> tuple[list[int], list[int]]:
+    """By source the number of blocks that hold documents, and of those that the partial pass takes, the edge block among them."""
+    took = F.sum(F.when(F.col("whole") | F.col("edge"), 1).otherwise(0))
+    got = {r["src"]: (r["n"], r["took"]) for r in blocks.groupBy("src").agg(F.count("*").alias("n"), took.alias("took")).collect()}
+    return [got[s][0] for s in sources], [got[s][1] for s in sources]
+
+
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, n_shards: int = 16, seed: int = 42) -> DataFrame:
-    """One row per row of docs: key, size, source, source_size, target, copies, taken, shards (array, one entry a copy).
+    """One row per row of docs: key, size, source, source_size, target, copies, taken, shards (array, the shard of each copy).
 
     Sources are taken in order of code point, null last, with the weights repeating. A null or empty text has
     size 0 and is taken as its block is. Rows repeated with the same key and text are decided alike, so that both
@@ -123,14 +138,15 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     fits = edge.groupBy("src").applyInPandas(take, f"key {key_type}, place bigint, fits boolean").filter("fits").select(F.col("key").alias("key_"), F.col("place").alias("place_"), "fits").distinct()
     on_edge = rows.filter("edge").join(fits, same("key", "key_") & (F.col("place") == F.col("place_")), "left").drop("key_", "place_")
     rows = rows.filter("not edge").withColumn("fits", F.lit(False)).unionByName(on_edge.withColumn("fits", F.coalesce("fits", F.lit(False))))
-    rows = rows.withColumn("copies", F.col("passes") + F.when(F.col("whole") | F.col("fits"), 1).otherwise(0))
-    # output shards: each pass deals each source's permuted blocks by its own tree
+    # output shards: each pass deals the blocks that it takes of each source, in permuted order, by its own tree
     rng = np.random.default_rng(seed)
-    quotas = np.array([f[3] for f in facts], np.int64)
-    ends = [np.cumsum(split_tree(quotas, n_shards, rng), axis=0) if len(facts) else np.zeros((n_shards, 0), np.int64) for _ in range(3)]
+    quotas = pass_quotas([f[4] for f in facts], *_held(blocks, [f[0] for f in facts]), int(repeats))
+    ends = [np.cumsum(split_tree(q, n_shards, rng), axis=0) if len(facts) else np.zeros((n_shards, 0), np.int64) for q in quotas]
     dealt = spark.createDataFrame([(f[0], [[int(x) for x in e[:, i]] for e in ends]) for i, f in enumerate(facts)], f"src {docs.schema[source].dataType.simpleString()}, ends array<array<bigint>>")
     rows = rows.join(F.broadcast(dealt.select(F.col("src").alias("src_"), "ends")), same("src", "src_")).drop("src_")
-    rows = rows.withColumn("shards", F.transform(F.slice("ends", F.lit(1), F.col("copies")), lambda e: F.size(F.filter(e, lambda x: x < F.col("turn")))))
+    drawn = lambda e, i: (F.col("turn") <= F.element_at(e, -1)) & (~F.col("edge") | (i != F.col("passes")) | F.col("fits"))
+    shard = lambda e, i: F.when(drawn(e, i), F.size(F.filter(e, lambda x: x < F.col("turn"))))
+    rows = rows.withColumn("shards", F.filter(F.transform("ends", shard), lambda x: x.isNotNull())).withColumn("copies", F.size("shards"))
     return rows.select(F.col("key").alias(key), "size", F.col("src").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", "place")
 
 
