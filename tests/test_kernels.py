@@ -93,6 +93,21 @@ def test_templates():
     assert got == ["login", "by", "<*>", "from", "host"] or len(t.tree["login"]["by"]) == 3
 
 
+def test_templates_read_every_line(spark):
+    from tidemark.plans import catalog
+
+    texts = ["first line\n second one ends here\n", "first line\n\nsecond one ends there", "\u00a0one\u2003two\x1fthree ", "one two three", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key int, message string")
+    got = {r["key"]: r["template"] for r in N.drain(rows, "key", "message").collect()}
+    assert got == {0: "first line second one ends <*>", 1: "first line second one ends <*>", 2: "one two three", 3: "one two three", 4: "", 5: ""}
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("text").toPandas()["text"]
+    have = catalog.QUERIES["drain_templates"](spark, sf).toPandas()
+    assert have["n"].sum() == len(turns)
+    assert (have["template"].str.split().str.len() * have["n"]).sum() == turns.str.split().str.len().sum()
+
+
 def test_outliers_stand_out():
     rng = np.random.default_rng(7)
     x = np.r_[rng.normal((50, 60, 10), 3, (200, 3)), np.array([[90, 60, 10], [50, 99, 10], [50, 60, 60], [5, 5, 5], [80, 80, 50]])]

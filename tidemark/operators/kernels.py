@@ -390,7 +390,8 @@ def drain(df: DataFrame, key: str, message: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     kind = dict(df.dtypes)[key]
-    tokens = F.size(F.split(F.trim(F.coalesce(F.col(message), F.lit(""))), r"\s+"))
+    # the white space of str.split(), so that messages of one tree have one token count
+    tokens = F.size(F.filter(F.split(F.coalesce(F.col(message), F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, model, found = pdf.sort_values(key), Templates(), []

@@ -713,8 +713,8 @@ _kernel("lord_online", N.lord_decisions, "Online false-discovery control over em
 
 @query()
 def drain_templates(spark, sf):
-    """Log templates of conversation turns, one tree per token count."""
-    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("message"))
+    """Log templates of whole conversation turns, all their lines, one tree per token count."""
+    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("text").alias("message"))
     return N.drain(rows, "key", "message").groupBy("template").agg(F.count("*").alias("n"))
 
 
