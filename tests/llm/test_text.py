@@ -98,3 +98,13 @@ def test_revealing_terms_are_found_and_replaced(spark):
 def test_copies_add_no_evidence(spark):
     rows = [(i, "same copy zorblax wrote jo@ex.org today") for i in range(30)] + [(99, "zorblax elsewhere")]
     assert pii.revealing_terms(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_copies_take_no_evidence_away(spark):
+    fill = ["stone river cloud", "green window paper", "seven little lamps", "over distant hills", "under quiet bridges"]
+    rows = [(i, f"{fill[i]} zorblax wrote jo@ex.org about {fill[-1 - i]}") for i in range(5)] + [(10 + i, f"plain text {i} stands here") for i in range(2000)]
+    copies = [(10_000 + i, rows[0][1].replace(" ", " \n" if i % 2 else " ")) for i in range(1000)]
+    schema = "doc_id long, text string"
+    want = {r["term"]: r["disclosure"] for r in pii.revealing_terms(spark.createDataFrame(rows, schema)).collect()}
+    got = {r["term"]: r["disclosure"] for r in pii.revealing_terms(spark.createDataFrame(rows + copies, schema)).collect()}
+    assert got == want and got["zorblax"] == pytest.approx(1.0)

@@ -154,6 +154,18 @@ def decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", max_filt
     return out.select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def distinct_texts(texts: DataFrame, text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """One text of each group that is equal with white space normalised: those alone by the filter stay in place, one
+    text of each other group is written to the shared folder."""
+    rows = texts.select(F.col(text).alias("text")).withColumn("h", F.xxhash64(fingerprint("text")))
+    hashes = materialise(rows.select("h"), "hashes")
+    bits, n_segments = repeated_bits(hashes, hashes.count(), max_filter_bytes)
+    flagged = flag_repeats(rows, "h", bits, n_segments, "maybe")
+    # a hot group is one row a task after the map side's aggregation
+    once = flagged.filter("maybe").groupBy(fingerprint("text").alias("sha")).agg(F.min("text").alias("text"))
+    return flagged.filter("not maybe").select(F.col("text").alias(text)).unionByName(materialise(once.select(F.col("text").alias(text)), "texts"))
+
+
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The rows of docs that stay, all columns as they were. Rows alone by the filter pass without a shuffle.
 

@@ -6,8 +6,9 @@ reveals an entity e as far as seeing t removes the uncertainty about e,
 
     disclosure(e, t) = log2(P(e | t) / P(e)) / -log2(P(e)),
 
-which is 1 where t occurs with e only. P(e | t) is the number of distinct windows that hold both over the number
-of documents that hold t, so copies of one document add no evidence; a pair needs MIN_SUPPORT windows. Terms
+which is 1 where t occurs with e only. Documents count once for each distinct text (white space normalised), so
+copies of one add no evidence and take none away: P(e | t) is the number of documents with both in one window over
+the number of documents that hold t. A pair needs MIN_SUPPORT distinct windows. Terms
 whose disclosure reaches GENERALISE for some entity are spans of kind ``term`` wherever they occur; sanitise()
 puts the kind of what they reveal in their place, and drops them altogether from REMOVE on.
 
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
+from .exact_dedup import distinct_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, MIN_SUPPORT, GENERALISE, REMOVE, BLOCK_TERMS = 8, 3, 0.9, 0.97, 500_000
@@ -111,25 +113,31 @@ def revealing_terms(docs: DataFrame, text: str = "text", min_support: int = MIN_
 
     def pairs(batches):
         for batch in batches:
-            e, t, h = [], [], []
+            e, t, h, d = [], [], [], []
             for x in batch.column(0).to_pylist():
+                met: set[tuple[str, str | None]] = set()
                 for name, terms, ctx in contexts(x):
-                    e += [name] * (len(terms) + 1)
-                    t += [None, *terms]  # null: the entity itself
-                    h += [ctx] * (len(terms) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(h, pa.int64())], names=["entity", "term", "ctx"])
-
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+                    for term in (None, *terms):  # null: the entity itself
+                        e.append(name)
+                        t.append(term)
+                        h.append(ctx)
+                        d.append(int((name, term) not in met))  # a document counts at the first window that holds both
+                        met.add((name, term))
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(h, pa.int64()), pa.array(d, pa.int64())], names=["entity", "term", "ctx", "first"])
+
+    texts = distinct_texts(docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")))
     # a text without @ or digit has no entity: it doesn't leave the JVM
-    found = texts.filter(F.col("text").rlike("[@0-9]")).mapInArrow(pairs, "entity string, term string, ctx bigint")
-    seen = materialise(found.distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support), "pairs")
+    found = texts.filter(F.col("text").rlike("[@0-9]")).mapInArrow(pairs, "entity string, term string, ctx bigint, first bigint")
+    windows = found.groupBy("entity", "term", "ctx").agg(F.sum("first").alias("n"))
+    seen = windows.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
+    seen = materialise(seen.filter(F.col("windows") >= min_support).drop("windows"), "pairs")
     both = seen.filter("term is not null")
     terms = materialise(both.select("term").distinct(), "terms")
     counts = None
     for block in _blocks(terms):
         one = _documents_with(texts, block)
         counts = one if counts is None else counts.unionByName(one)
-    n_docs = docs.count()
+    n_docs = texts.count()
     schema = "term string, kind string, disclosure double"
     if counts is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -149,7 +157,7 @@ def _blocks(terms: DataFrame) -> Iterator[DataFrame]:
 
 
 def _documents_with(texts: DataFrame, block: DataFrame) -> DataFrame:
-    """How many documents hold each term of a block."""
+    """How many of the texts, which are distinct, hold each term of a block."""
     shared = texts.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in block.collect()))
 
     def run(batches):
