@@ -108,3 +108,11 @@ def test_copies_take_no_evidence_away(spark):
     want = {r["term"]: r["disclosure"] for r in pii.revealing_terms(spark.createDataFrame(rows, schema)).collect()}
     got = {r["term"]: r["disclosure"] for r in pii.revealing_terms(spark.createDataFrame(rows + copies, schema)).collect()}
     assert got == want and got["zorblax"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("sep", [" ", "\n", "\t", "\n" + " " * 50, " 1234567890 " * 5, "\u3000"])
+def test_windows_hold_eight_terms_on_each_side(sep):
+    words = [f"{w}{'x' * 30}" for w in "abcdefghij"]
+    text = sep.join(["\u00df" * 3, *words, "jo@ex.org", *words[::-1], "jo@ex.org", "\u00df" * 3])
+    (_, first, _), (_, last, _) = [c for c in pii.contexts(text) if c[0] == "email:jo@ex.org"]
+    assert first == sorted(words[2:]) and last == sorted([*words[:8], "ssssss"])

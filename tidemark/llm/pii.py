@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -91,18 +93,23 @@ def entity(kind: int, value: str) -> str:
 
 
 def contexts(text: str, window: int = WINDOW) -> list[tuple[str, list[str], int]]:
-    """Each entity of a text with the distinct terms of the window around it and a hash of the window."""
+    """Each entity of a text with the distinct terms of the window around it and a hash of the window.
+
+    The window is the last `window` terms that end before the entity and the first that begin after it, however far
+    away; terms are those of the whole folded text, as in the counts.
+    """
     out = []
-    reach = 24 * window
-    spans = base_spans(text)
+    if not (spans := base_spans(text)):
+        return out
+    folded = text.casefold()
+    # where folding makes a text longer (ß), offsets are carried over
+    at = None if len(folded) == len(text) else [0, *accumulate(len(c.casefold()) for c in text)]
+    found = list(TERM.finditer(folded))
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
     for a, k, b in spans:
-        cut = lambda s: TERM.findall(s.casefold())
-        before, after = text[max(0, a - reach) : a], text[b : b + reach]
-        if a > reach:
-            before = before.partition(" ")[2]  # a word that is cut is left out
-        if b + reach < len(text):
-            after = after.rpartition(" ")[0]
-        near = cut(before)[-window:] + cut(after)[:window]
+        lo, hi = (a, b) if at is None else (at[a], at[b])
+        i, j = bisect_right(ends, lo), bisect_left(starts, hi)
+        near = [m[0] for m in found[max(0, i - window) : i]] + [m[0] for m in found[j : j + window]]
         h = int.from_bytes(hashlib.blake2b("\0".join(near).encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
         out.append((entity(k, text[a:b]), sorted(set(near)), h))
     return out
