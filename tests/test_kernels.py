@@ -108,6 +108,21 @@ def test_templates_read_every_line(spark):
     assert (have["template"].str.split().str.len() * have["n"]).sum() == turns.str.split().str.len().sum()
 
 
+def test_population_pools_all_earlier_buckets(spark):
+    from tidemark.operators import baseline as B
+
+    rng = np.random.default_rng(10)
+    rows = [(s, d, u, float(rng.normal(10 * (d < 60) + 5 * (s == "b"), 3))) for s in "ab" for d in range(150) for u in range(3)] + [("a", 40, 9, None)]
+    got = B.population_zscore(spark.createDataFrame(rows, "s string, bucket long, user int, v double"), ["s"], "v").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        past = np.array([v for s, d, _, v in rows if s == r["s"] and d < r["bucket"] and v is not None])
+        assert r["n_past"] == len(past)
+        if len(past) >= 20:
+            m = np.median(past)
+            assert r["typical"] == pytest.approx(m) and r["scale"] == pytest.approx(1.4826 * np.median(abs(past - m)), rel=1e-6)
+
+
 def test_outliers_stand_out():
     rng = np.random.default_rng(7)
     x = np.r_[rng.normal((50, 60, 10), 3, (200, 3)), np.array([[90, 60, 10], [50, 99, 10], [50, 60, 60], [5, 5, 5], [80, 80, 50]])]

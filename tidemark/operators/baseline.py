@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,31 @@ def seasonal_zscore(df: DataFrame, by: list[str], value: str, period: int, span_
     return zscore(df.withColumn("phase", phase), [*by, "phase"], value, order, warm_up=warm_up)
 
 
-def population_zscore(df: DataFrame, split: list[str], value: str, order: str = "bucket", warm_up: int = WARM_UP, buckets: int = 64) -> DataFrame:
-    """Each entity's value against the pool of all entities' values in earlier buckets of the same split.
+def population_zscore(df: DataFrame, split: list[str], value: str, order: str = "bucket", warm_up: int = WARM_UP) -> DataFrame:
+    """Each entity's value against the pool of all entities' values in all earlier buckets of the same split.
 
-    The pool of a bucket is gathered once and joined to the bucket's rows, not to every entity by itself.
+    The pool of a bucket is summed up once and joined to the bucket's rows, not to every entity by itself. It grows
+    from bucket to bucket in one sorted array, so a split's values are held once; null and NaN don't count.
     """
-    per_bucket = df.groupBy(*split, order).agg(F.collect_list(value).alias("values"))
-    w = Window.partitionBy(*split).orderBy(order).rowsBetween(-buckets, -1)
-    pool = per_bucket.withColumn("past", F.flatten(F.collect_list("values").over(w)))
-    pool = pool.withColumn("n_past", F.size("past")).withColumn("typical", F.when(F.col("n_past") >= warm_up, array_median(F.col("past"))))
-    pool = pool.withColumn("scale", robust_scale(F.col("typical"), array_mad(F.col("past"), F.col("typical")), F.forall("past", lambda x: x == F.floor(x))))
+
+    def pools(pdf):
+        out, past, whole = [], np.zeros(0), True
+        for bucket, v in pdf.groupby(order, sort=True)[value]:
+            typical = mad = None
+            if len(past) >= warm_up:
+                typical = float(past[(len(past) - 1) // 2] + past[len(past) // 2]) / 2
+                off = np.abs(past - typical)
+                off.partition([(len(past) - 1) // 2, len(past) // 2])
+                mad = float(off[(len(past) - 1) // 2] + off[len(past) // 2]) / 2
+            out.append((*(pdf[c].iloc[0] for c in split), bucket, len(past), typical, mad, whole))
+            new = v.dropna().to_numpy(float)
+            past, whole = np.sort(np.concatenate([past, new]), kind="stable"), whole and bool((new == np.floor(new)).all())
+        return pd.DataFrame(out, columns=[*split, order, "n_past", "typical", "mad", "integers"])
+
+    kind = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in [*split, order]) + ", n_past int, typical double, mad double, integers boolean"
+    pool = df.select(*split, order, F.col(value).cast("double").alias(value)).groupBy(*split).applyInPandas(pools, schema)
+    pool = pool.withColumn("scale", robust_scale(F.col("typical"), F.col("mad"), F.col("integers")))
     rows = df.join(pool.select(*split, order, "n_past", "typical", "scale"), [*split, order])
     return rows.withColumn("z", (F.col(value) - F.col("typical")) / F.col("scale"))
 
