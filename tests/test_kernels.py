@@ -64,6 +64,21 @@ def test_profiles_match_brute_force():
     assert np.allclose(N.mass(x[30:38], x), d[30], atol=1e-5)
 
 
+def test_damp_is_the_left_profile_where_it_matters(monkeypatch):
+    x = np.sin(np.arange(1500) / 5) * 10 + np.random.default_rng(4).normal(0, 0.5, 1500)
+    x[700:760], x[1000:1016] = 3.0, x[1000:1016][::-1] * 2
+    got, m = N.damp_scores(x), 16
+    z = N._profile(x, m, True)
+    want = np.r_[np.zeros(m - 1), z]
+    best = np.maximum.accumulate(got)
+    assert (got[:271] == 0).all() and (got[271:] >= want[271:] - 1e-6).all()
+    record = np.flatnonzero(np.r_[False, got[1:] > best[:-1]])
+    flat = np.array([np.ptp(x[i - m + 1 : i + 1]) == 0 for i in record])  # _profile puts those at sqrt(m)
+    assert len(record) > 2 and np.allclose(got[record][~flat], want[record][~flat], atol=1e-5)
+    monkeypatch.setattr(N, "MAX_POINTS", 100)
+    assert not N.matrix_profile_scores(x).any() and N.left_profile_scores(x).any()
+
+
 def test_detectors_find_a_planted_anomaly():
     x = np.sin(np.arange(1200) / 5) * 10 + np.random.default_rng(4).normal(0, 0.5, 1200)
     x[900:908] += 40

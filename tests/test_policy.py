@@ -35,3 +35,9 @@ def test_scan_finds_a_shift_and_says_what_it_is():
     alarms = A.scan(x)
     (hit,) = [a for a in alarms if 2190 <= a[0] <= 2232]
     assert hit[3] >= 3 and hit[4] in ("spike", "unknown", "level_down", "variance")
+
+
+def test_scan_of_a_long_series():
+    x = np.random.default_rng(3).normal(100, 1, 100_200)
+    x[90_000:90_030] += 50
+    assert any(89_990 <= a[0] <= 90_032 and a[2] > 2 for a in A.scan(x))

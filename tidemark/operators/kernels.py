@@ -229,6 +229,10 @@ def half_space_scores(x: np.ndarray, trees: int = 25, height: int = 8, window: i
     return out
 
 
+#: Fixed value: longer series get no matrix profile.
+MAX_POINTS = 100_000
+
+
 def _profile(x: np.ndarray, m: int, left: bool) -> np.ndarray:
     """Smallest z-normalised distance of each subsequence to another, further than m // 4 away, or before it."""
     n = len(x) - m + 1
@@ -239,13 +243,16 @@ def _profile(x: np.ndarray, m: int, left: bool) -> np.ndarray:
     flat = sd <= 1e-7 * max(1e-300, float(np.abs(x).max()))
     z = np.where(flat[:, None], 0.0, (w - mu[:, None]) / np.where(flat, 1, sd)[:, None])
     gap, out, i = max(1, m // 4), np.full(n, np.inf), np.arange(n)
-    for lo in range(0, n, 512):  # blocks of rows bound the memory
-        d = 2 * m - 2 * z[lo : lo + 512] @ z.T
-        a = i[lo : lo + 512][:, None]
-        either = flat[lo : lo + 512][:, None] | flat[None]
-        d = np.where(either, np.where(flat[lo : lo + 512][:, None] & flat[None], 0.0, float(m)), np.maximum(d, 0))
-        d[(i[None] > a - gap) & ((i[None] < a + gap) if not left else True)] = np.inf
-        out[lo : lo + 512] = np.sqrt(d.min(axis=1))
+    step = max(1, min(512, (1 << 26) // n))
+    for lo in range(0, n, step):  # blocks of rows bound the memory
+        hi = min(lo + step, n)
+        to = hi if left else n
+        d = 2 * m - 2 * z[lo:hi] @ z[:to].T
+        a, b = i[lo:hi][:, None], i[None, :to]
+        either = flat[lo:hi][:, None] | flat[None, :to]
+        d = np.where(either, np.where(flat[lo:hi][:, None] & flat[None, :to], 0.0, float(m)), np.maximum(d, 0))
+        d[(b > a - gap) & ((b < a + gap) if not left else True)] = np.inf
+        out[lo:hi] = np.sqrt(d.min(axis=1))
     return np.where(np.isfinite(out), out, 0.0)
 
 
@@ -258,11 +265,41 @@ def _spread(p: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def matrix_profile_scores(x: np.ndarray, m: int = 8) -> np.ndarray:
-    return _spread(_profile(x, m, False), len(x), m) if 2 * m <= len(x) <= 100_000 else np.zeros(len(x))
+    return _spread(_profile(x, m, False), len(x), m) if 2 * m <= len(x) <= MAX_POINTS else np.zeros(len(x))
 
 
 def left_profile_scores(x: np.ndarray, m: int = 8) -> np.ndarray:
-    return np.r_[np.zeros(m - 1), _profile(x, m, True)] if 2 * m <= len(x) <= 100_000 else np.zeros(len(x))
+    return np.r_[np.zeros(m - 1), _profile(x, m, True)] if 2 * m <= len(x) else np.zeros(len(x))
+
+
+def damp_scores(x: np.ndarray, m: int = 16, warm_up: int | None = None) -> np.ndarray:
+    """Discords by DAMP, at the last point of each subsequence: its distance to the nearest earlier one, sought backwards
+    in doubling stretches until one is nearer than the largest distance so far. 0 up to the warm-up (16 m)."""
+    warm_up, out = max(2 * m, 16 * m if warm_up is None else warm_up), np.zeros(len(x))
+    if len(x) < warm_up + m:
+        return out
+    w = np.lib.stride_tricks.sliding_window_view(x, m)
+    mu, sd = w.mean(axis=1), w.std(axis=1)
+    flat = sd <= 1e-7 * max(1e-300, float(np.abs(x).max()))
+    z = np.where(flat[:, None], 0.0, (w - mu[:, None]) / np.where(flat, 1, sd)[:, None])
+    n_flat, gap, best = np.r_[0, np.cumsum(flat)], max(1, m // 4), 0.0
+
+    def nearest(i: int, lo: int, hi: int) -> float:
+        if flat[i] and n_flat[hi] > n_flat[lo]:
+            return 0.0
+        return math.sqrt(max(0.0, 2 * m - 2 * float((z[lo:hi] @ z[i]).max())))
+
+    for i in range(warm_up, len(z)):
+        hi, reach, d = i - gap, 2 * m, math.inf
+        while hi > 0:
+            lo = max(0, i - reach + 1)
+            d = min(d, nearest(i, lo, hi))
+            if d < best:
+                break
+            hi, reach = lo, 2 * reach
+        out[i + m - 1] = d
+        best = max(best, d)
+    return out
 
 
 def mass(query: np.ndarray, x: np.ndarray) -> np.ndarray:

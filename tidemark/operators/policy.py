@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from tidemark.functions.expressions import MAD_SCALE
-from tidemark.operators.kernels import dspot_scores, half_space_scores, left_profile_scores
+from tidemark.operators.kernels import damp_scores, dspot_scores, half_space_scores
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,9 @@ def scan(x: np.ndarray, rate: float = 1 / 2000, least_effect: float = 3.0, gap:
     if len(x) < 400:
         return []
     warm = max(200, len(x) // 4)
-    ps = np.stack([10.0 ** -dspot_scores(x, warm), tail_ranks(left_profile_scores(x), warm), tail_ranks(half_space_scores(x), warm)])
+    # a detector that gave no score at all did not run and has no say
+    ranks = [tail_ranks(s, warm) for s in (damp_scores(x), half_space_scores(x)) if s.any()]
+    ps = np.stack([10.0 ** -dspot_scores(x, warm), *ranks])
     score = -np.log10(cauchy_p(np.maximum(ps, 1 / (10 * len(x)))))
     k, n, refractory = PRESETS[policy]
     g = Guard(0, k, n, refractory, warm)
