@@ -109,3 +109,19 @@ def test_empty_pages(spark):
     folder = scratch_path(spark, "none")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.read(spark, folder).count() == 0
+
+
+def test_links_count_in_both_directions_and_through_the_request(spark, tmp_path):
+    def record(name, kind, *to):
+        head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{name}>"), *(("WARC-Concurrent-To", f"<urn:{t}>") for t in to)]
+        return warc._member([*head, ("Content-Type", "application/warc-fields" if kind == "metadata" else f"application/http; msgtype={kind}")], b"x: y\r\n\r\n")
+
+    (tmp_path / "w").mkdir()
+    parts = [record("a", "response", "a-req", "a-meta"), record("a-req", "request"), record("a-meta", "metadata", "a"), record("a-next", "metadata", "a-req")]
+    parts += [record("b-meta", "metadata", "b-req"), record("b-req", "request", "b"), record("b", "revisit", "b-req")]
+    parts += [record("c", "response"), record("c-req", "request", "c-meta", "c"), record("c-meta", "metadata")]
+    parts += [record("d", "response"), record("lost", "request", "gone"), record("lost-meta", "metadata", "lost")]
+    (tmp_path / "w" / "part-0").write_bytes(b"".join(parts))
+    got = {r["record_id"][5:-1]: r for r in warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).collect()}
+    held = {k: [r[c] and r[c]["record_id"][5:-1] for c in ("request", "metadata")] + [x["record_id"][5:-1] for x in r["others"]] for k, r in got.items()}
+    assert held == {"a": ["a-req", "a-meta", "a-next"], "b": ["b-req", "b-meta"], "c": ["c-req", "c-meta"], "d": [None, None]}

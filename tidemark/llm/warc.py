@@ -8,7 +8,8 @@ the text sink holds the members of one capture, and an empty gzip member ends it
 sink's separator. Concatenated, the file is plain multi-member gzip.
 
 Reading: files are parsed record by record where they lie, whatever their order. Assembly then joins the request
-and metadata records to the response or revisit they are concurrent to, and emits one nested row per capture.
+and metadata records to the response or revisit they are concurrent to, whichever of them names the other, and emits
+one nested row per capture.
 Only what is asked for moves in that join: payload bytes and digests are worked out at the parser, and bodies
 join only with ``bodies=True``.
 """
@@ -147,7 +148,10 @@ def members(content: memoryview) -> Iterator[bytes]:
 
 
 def records(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive; damage raises ValueError."""
+    """Headers (names in lower case) and block of each record of an archive; damage raises ValueError.
+
+    WARC-Concurrent-To may be repeated: its values come with spaces between, which no URI holds.
+    """
     for data in members(content):
         at = 0
         while at < len(data):
@@ -157,7 +161,8 @@ def records(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
             head: dict[str, str] = {}
             for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
                 k, _, v = line.partition(":")
-                head[k.strip().lower()] = v.strip()
+                k, v = k.strip().lower(), v.strip()
+                head[k] = f"{head[k]} {v}" if k == "warc-concurrent-to" and k in head else v
             n = int(head["content-length"])
             block = data[end + 4 : end + 4 + n]
             if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
@@ -166,7 +171,7 @@ def records(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
             at = end + 8 + n
 
 
-RECORD = "record_id string, type string, concurrent_to string, url string, date string, refers_to_id string, payload_digest string, payload_bytes bigint, http_head string, fields map<string,string>, body binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, url string, date string, refers_to_id string, payload_digest string, payload_bytes bigint, http_head string, fields map<string,string>, body binary"
 
 
 def read_records(spark: SparkSession, folder: str, bodies: bool = False) -> DataFrame:
@@ -204,7 +209,7 @@ def read_records(spark: SparkSession, folder: str, bodies: bool = False) -> Data
                         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if k.strip()]
                     else:
                         body = block
-                    rows.append((head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-refers-to"), digest, size, http, fields, body if bodies else None))
+                    rows.append((head.get("warc-record-id"), kind, head.get("warc-concurrent-to", "").split(), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-refers-to"), digest, size, http, fields, body if bodies else None))
                     held += len(body or b"") if bodies else 100
                     if len(rows) >= 5000 or held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=names)
@@ -215,21 +220,43 @@ def read_records(spark: SparkSession, folder: str, bodies: bool = False) -> Data
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, RECORD)
 
 
-TYPES = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+TYPES = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 4 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
 
 def assemble(recs: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with the request and metadata concurrent to it.
 
-    A capture without request or metadata has null there; where several name it, the one with the smallest record
-    id counts. Requests and metadata whose capture isn't in the archives are left out. Captures repeated with one
-    record id stay as many rows.
+    Records are concurrent where either names the other, or where both name or are named by a third, such as metadata
+    of the request. A capture without request or metadata has null there; where it has several, the one with the
+    smallest record id is there and the rest are in `others`, by kind and record id. Requests and metadata whose
+    capture isn't in the archives are left out. Captures repeated with one record id stay as many rows.
     """
-    main = recs.filter(F.col("type").isin("response", "revisit")).select("record_id", F.col("type").alias("record_type"), "url", "date", "refers_to_id", "payload_digest", "payload_bytes", "http_head", "body")
-    side = recs.filter(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).groupBy("concurrent_to").agg(
-        *(F.min_by(F.when(F.col("type") == k, F.struct("record_id", "http_head", "fields", "body")), F.when(F.col("type") == k, F.col("record_id"))).alias(k) for k in ("request", "metadata"))
-    )
-    return main.join(side, main["record_id"] == side["concurrent_to"], "left").drop("concurrent_to")
+    main, side = F.col("type").isin("response", "revisit"), F.col("type").isin("request", "metadata")
+    heads = materialise(recs.filter(main | side).select("record_id", "type", "concurrent_to"), "heads")
+    own = heads.filter(side).select("record_id", F.explode("concurrent_to").alias("to"))
+    named = heads.filter(main).select(F.col("record_id").alias("capture"), F.explode("concurrent_to").alias("side"))
+    # links to what isn't a capture, a request say: whatever that is concurrent to
+    loose = materialise(own.join(heads.filter(main).select(F.col("record_id").alias("to")), "to", "left_anti"), "links")
+    pairs = own.select(F.col("record_id").alias("side"), F.col("to").alias("capture")).unionByName(named)
+    both = loose.select(F.col("record_id").alias("x"), F.col("to").alias("y")).unionByName(loose.select(F.col("to").alias("x"), F.col("record_id").alias("y")))
+    through = both.join(pairs, F.col("y") == F.col("side")).filter("x <> capture").select(F.col("x").alias("side"), "capture")
+    more = named.unionByName(through).distinct()
+
+    rows = recs.filter(side)
+    record = F.struct("type", "record_id", "http_head", "fields", "body").alias("record")
+    links = rows.select(F.explode("concurrent_to").alias("capture"), record)
+    links = links.unionByName(rows.join(more, F.col("record_id") == F.col("side")).select("capture", record))
+    name = lambda x: F.concat_ws(" ", x["type"], x["record_id"])
+    sorted_ = F.array_sort(F.collect_list("record"), lambda x, y: F.when(name(x) < name(y), -1).when(name(x) > name(y), 1).otherwise(0))
+    held = links.groupBy("capture").agg(sorted_.alias("all"))
+    # a record that is linked in several ways is there several times
+    held = held.withColumn("all", F.filter("all", lambda x, i: (i == 0) | x["record_id"].isNull() | (name(x) != name(F.get("all", i - 1)))))
+    first = lambda kind: F.get(F.filter("all", lambda x: x["type"] == kind), F.lit(0))
+    bare = lambda kind: F.when(first(kind).isNotNull(), F.struct(*(first(kind)[c].alias(c) for c in ("record_id", "http_head", "fields", "body")))).alias(kind)
+    others = F.filter("all", lambda x, i: (i > 0) & (x["type"] == F.get("all", i - 1)["type"]))
+    held = held.select(F.col("capture").alias("capture_"), bare("request"), bare("metadata"), others.alias("others"))
+    got = recs.filter(main).select("record_id", F.col("type").alias("record_type"), "url", "date", "refers_to_id", "payload_digest", "payload_bytes", "http_head", "body")
+    return got.join(held, got["record_id"] == held["capture_"], "left").drop("capture_").withColumn("others", F.coalesce("others", F.array().cast(held.schema["others"].dataType)))
 
 
 def read(spark: SparkSession, folder: str, bodies: bool = False) -> DataFrame:
