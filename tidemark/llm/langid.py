@@ -6,16 +6,17 @@ padded word takes the longest known n-gram that begins there. Where no level kno
 position adds nothing to any language. The language with the largest sum wins; its score is its share under a softmax of the mean per word,
 sharpened by the number of words up to SHARP.
 
-Counts cover all training rows. The model keeps a word or n-gram whose share of its language's tokens is at
-least MIN_SHARE, so that a language has at most 1 / MIN_SHARE of each level at any input size; rarer ones are
-treated as unseen, which the backoff is for. That bounds what is collected and broadcast, at 18 languages to
-about 100 MB.
+Counts cover all training rows. The model knows a word or n-gram whose share of its level's tokens is at least
+MIN_SHARE in some language, with its true share in every language; rarer ones are unseen words, which the backoff is
+for. This is the least relative frequency of the model, the same at any input size: a language knows 1 / MIN_SHARE
+terms a level at most, which bounds what is collected and broadcast, at 18 languages to about 100 MB.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, resident
 
 MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 100_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Digits in the wide sense (fractions, superscripts, Roman numerals) that `\w` takes in and that are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words(text: str) -> list[str]:
@@ -82,8 +85,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     by_gram = by_word.mapInArrow(count_grams, "lang string, k int, term string, n bigint").groupBy("lang", "k", "term").agg(F.sum("n").alias("n"))
     terms = materialise(by_word.select("lang", F.lit(0).alias("k"), F.col("word").alias("term"), "n").unionByName(by_gram), "terms")
     totals = terms.groupBy("lang", "k").agg(F.sum("n").alias("total"))
-    kept = terms.join(F.broadcast(totals), ["lang", "k"]).filter(F.col("n") >= F.col("total") * min_share)
-    got = kept.select("lang", "k", "term", (F.col("n") / F.col("total")).alias("share")).toPandas()
+    shares = terms.join(F.broadcast(totals), ["lang", "k"]).select("lang", "k", "term", (F.col("n") / F.col("total")).alias("share"))
+    known = shares.filter(F.col("share") >= min_share).select("k", "term").distinct()  # bounded as the model is
+    got = shares.join(F.broadcast(known), ["k", "term"]).toPandas()
     return Model.of(got, min_share)
 
 
@@ -189,13 +193,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     """docs with lang_pred and score (0 to 1), all other columns as they were.
 
     A text that is null or has no letter, or a model without languages, gives `und` and 0. Equal sums go to the
-    language that sorts first. Whole texts are read. Output names that docs has already are refused by Spark's
-    rules; give others.
+    language that sorts first. Whole texts are read, rows repeated with one text get one answer, and an empty table
+    gives no rows. An input column with the name of an output (in any case) gives way to it; pass other output names
+    to keep it.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.levels, model.logs))
 
     @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _cached(shared)
         for s in batches:
             texts = s.tolist()
@@ -203,7 +208,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
             yield pd.DataFrame({"lang": [x[0] for x in out], "score": [x[1] for x in out]})
 
     got = fresh(docs.columns, "got_")
-    return docs.withColumn(got, run(F.col(text))).withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
+    return docs.withColumn(got, score(F.col(text))).withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
 
 
 def _cached(shared) -> Model:
