@@ -124,3 +124,16 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components.components(spark.createDataFrame([], "a long, b long")).filter(F.lit(True)).count() == 0
+
+
+def test_a_filter_too_large_to_broadcast_meets_its_rows_by_segment(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BITS_A_ROW", 4096)  # many segments of few rows, one of them hot
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i // 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.decisions(df, max_filter_bytes=1 << 14).collect()}
+    groups: dict[str, list[int]] = {}
+    for k, t in rows:
+        groups.setdefault(t, []).append(k)
+    assert got == {k: (min(groups[t]), len(groups[t])) for k, t in rows}
+    plan = exact_dedup.decisions(df, max_filter_bytes=1 << 14)._jdf.queryExecution().toString()
+    assert "copy" in plan

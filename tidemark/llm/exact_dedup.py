@@ -5,10 +5,11 @@ second plane is set once two rows have set the same bit of the first. Pass two t
 second plane. A row that fails the test certainly stands alone and goes straight through; only the rest, the
 rows of real groups and a few false alarms, shuffle by their SHA-256 for the exact decision.
 
-The filter is cut into segments of 8 KB. A hash picks one segment, and all of its bits lie there. Tasks send
-compressed segments, which are merged by segment, so no task holds more than the filter, whose size is bounded
-by ``max_filter_bytes`` whatever the input (beyond about 40 million rows a filter of the default size lets more
-rows shuffle; the result stays exact). The bound is what makes its broadcast safe.
+The filter is cut into segments of 8 KB, as many as the rows need. A hash picks one segment, and all of its bits lie
+there. Tasks send compressed segments, at most ``max_filter_bytes`` of them at a time, which are merged by segment. A
+filter of up to ``max_filter_bytes`` is broadcast. A larger one stays where it was merged, and the rows to be tested,
+narrow fingerprints in dedup, go to their segment; a segment that a hot hash fills is copied to several places, over
+which its rows are spread.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, join_groups, materialise, normalised
@@ -56,11 +57,13 @@ class _Planes:
     def __init__(self) -> None:
         self.once: dict[int, np.ndarray] = {}
         self.twice: dict[int, np.ndarray] = {}
+        self.n: dict[int, int] = {}
 
     def _get(self, seg: int) -> tuple[np.ndarray, np.ndarray]:
         if seg not in self.once:
             self.once[seg] = np.zeros(SEGMENT_BITS // 8, np.uint8)
             self.twice[seg] = np.zeros(SEGMENT_BITS // 8, np.uint8)
+            self.n[seg] = 0
         return self.once[seg], self.twice[seg]
 
     def add(self, h: np.ndarray, n_segments: int) -> None:
@@ -72,23 +75,31 @@ class _Planes:
             new, again = np.zeros(SEGMENT_BITS, np.uint8), np.zeros(SEGMENT_BITS, np.uint8)
             new[bit] = 1
             again[bit[many]] = 1
-            self.merge(int(s), np.packbits(new, bitorder="little"), np.packbits(again, bitorder="little"))
+            self.merge(int(s), np.packbits(new, bitorder="little"), np.packbits(again, bitorder="little"), int(n[lo:hi].sum()) // N_HASHES)
 
-    def merge(self, seg: int, once: np.ndarray, twice: np.ndarray) -> None:
+    def merge(self, seg: int, once: np.ndarray, twice: np.ndarray, n: int) -> None:
         a, b = self._get(seg)
+        self.n[seg] += n
         b |= twice | (a & once)
         a |= once
 
 
-def _fold(n_segments: int):
+def _fold(n_segments: int, max_filter_bytes: int):
     def fold(batches):
         planes = _Planes()
+
+        def send():
+            for s in planes.once:
+                yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(planes.once[s].tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(planes.twice[s].tobytes(), 1)], pa.binary()), "n": pa.array([planes.n[s]], pa.int64())})
+
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo in range(0, len(h), SLICE):  # bounds the arrays that are sorted
                 planes.add(h[lo : lo + SLICE], n_segments)
-        for s in planes.once:
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(planes.once[s].tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(planes.twice[s].tobytes(), 1)], pa.binary())})
+                if len(planes.once) * SEGMENT_BITS // 8 > max_filter_bytes:
+                    yield from send()
+                    planes = _Planes()
+        yield from send()
 
     return fold
 
@@ -96,38 +107,50 @@ def _fold(n_segments: int):
 def _merge(batches):
     planes = _Planes()
     for batch in batches:
-        for s, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            planes.merge(s, np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8))
+        for s, a, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            planes.merge(s, np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8), n)
     for s, b in planes.twice.items():
         if b.any():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "words": pa.array([b.view(np.int64)], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "words": pa.array([b.view(np.int64)], pa.list_(pa.int64())), "n": pa.array([planes.n[s]], pa.int64())})
 
 
 def repeated_bits(hashes: DataFrame, n_rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[DataFrame, int]:
-    """The second plane of the filter over a one-column frame of 64-bit hashes: (seg, words), and the number of segments."""
-    wanted = max(1, math.ceil(n_rows * BITS_A_ROW / SEGMENT_BITS))
-    n_segments = min(wanted, max(1, max_filter_bytes * 8 // SEGMENT_BITS))
-    parts = hashes.mapInArrow(_fold(n_segments), "seg int, once binary, twice binary")
-    return materialise(parts.repartition(min(64, n_segments), "seg").mapInArrow(_merge, "seg int, words array<bigint>"), "bloom"), n_segments
+    """The second plane of the filter over a one-column frame of 64-bit hashes: (seg, words, n: its rows), and the
+    number of segments."""
+    n_segments = max(1, math.ceil(n_rows * BITS_A_ROW / SEGMENT_BITS))
+    parts = hashes.mapInArrow(_fold(n_segments, max_filter_bytes), "seg int, once binary, twice binary, n bigint")
+    merged = parts.repartition(max(min(64, n_segments), math.ceil(n_segments / 1024)), "seg").mapInArrow(_merge, "seg int, words array<bigint>, n bigint")
+    return materialise(merged, "bloom"), n_segments
 
 
-def flag_repeats(rows: DataFrame, hash_col: str, bits: DataFrame, n_segments: int, flag: str) -> DataFrame:
+def flag_repeats(rows: DataFrame, hash_col: str, bits: DataFrame, n_segments: int, flag: str, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """rows with a boolean column: false only where the hash occurs once."""
-    seg, words = fresh(rows.columns, "seg"), fresh(rows.columns, "words")
-    bits = F.broadcast(bits.select(F.col("seg").alias(seg), F.col("words").alias(words)))
+    seg, words, copy = fresh(rows.columns, "seg"), fresh(rows.columns, "words"), fresh(rows.columns, "copy")
     h = F.col(hash_col)
     hit = F.lit(True)
     for i in range(N_HASHES):
         bit = _bit(h, i)
         hit = hit & (F.getbit(F.get(F.col(words), F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1)
-    return rows.withColumn(seg, _segment(h, n_segments)).join(bits, seg, "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop(seg, words)
+    out = rows.withColumn(seg, _segment(h, n_segments))
+    if n_segments * SEGMENT_BITS // 8 <= max_filter_bytes:
+        out = out.join(F.broadcast(bits.select(F.col("seg").alias(seg), F.col("words").alias(words))), seg, "left")
+    else:
+        usual = SEGMENT_BITS // BITS_A_ROW
+        copies = F.when(F.col("n") < 16 * usual, 1).otherwise(F.ceil(F.col("n") / (4 * usual))).cast("int")
+        spread = bits.select(F.col("seg").alias(seg), F.col("words").alias(words), F.explode(F.sequence(F.lit(0), copies - 1)).alias(copy))
+        # segments of 16 times their usual rows, at most one for each 90 000 rows
+        hot = F.broadcast(bits.select(F.col("seg").alias(seg), copies.alias(copy)).filter(F.col(copy) > 1))
+        salt = F.xxhash64(*[f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+        out = out.join(hot, seg, "left").withColumn(copy, F.pmod(salt, F.coalesce(F.col(copy), F.lit(1))).cast("int"))
+        out = out.join(spread.hint("merge"), [seg, copy], "left")
+    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(seg, words, copy)
 
 
 def _prepare(docs: DataFrame, text: str, key: str, max_filter_bytes: int):
     prints = materialise(docs.select(F.col(key).alias("key"), fingerprint(text).alias("sha")), "fingerprints").withColumn("h", F.xxhash64("sha"))
     n_rows = prints.count()
     bits, n_segments = repeated_bits(prints.select("h"), n_rows, max_filter_bytes)
-    flagged = flag_repeats(prints, "h", bits, n_segments, "maybe").drop("h")
+    flagged = flag_repeats(prints, "h", bits, n_segments, "maybe", max_filter_bytes).drop("h")
     suspects = flagged.filter("maybe").drop("maybe")
     groups = suspects.groupBy("sha", "key").agg(F.count("*").alias("n")).groupBy("sha").agg(F.min("key").alias("keep"), F.sum("n").alias("size"), F.max(F.when(F.col("n") > 1, F.struct("key", "n")).isNotNull()).alias("tied"))
     return flagged, materialise(groups, "groups"), bits, n_segments, n_rows
@@ -146,8 +169,6 @@ def decisions(docs: DataFrame, text: str = "text", key: str = "doc_id", max_filt
     met = join_groups(flagged.filter("maybe").drop("maybe"), groups, "sha", "size", n_rows)
     met = met.withColumn("kept", F.col("key").eqNullSafe(F.col("keep")))
     ties = met.filter(F.col("kept") & F.col("tied"))
-    from pyspark.sql import Window
-
     ties = ties.withColumn("kept", F.row_number().over(Window.partitionBy("sha").orderBy("key")) == 1)
     met = met.filter(~(F.col("kept") & F.col("tied"))).unionByName(ties)
     out = alone.unionByName(met.select("key", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", "sha"))
@@ -160,7 +181,7 @@ def distinct_texts(texts: DataFrame, text: str = "text", max_filter_bytes: int =
     rows = texts.select(F.col(text).alias("text")).withColumn("h", F.xxhash64(fingerprint("text")))
     hashes = materialise(rows.select("h"), "hashes")
     bits, n_segments = repeated_bits(hashes, hashes.count(), max_filter_bytes)
-    flagged = flag_repeats(rows, "h", bits, n_segments, "maybe")
+    flagged = flag_repeats(rows, "h", bits, n_segments, "maybe", max_filter_bytes)
     # a hot group is one row a task after the map side's aggregation
     once = flagged.filter("maybe").groupBy(fingerprint("text").alias("sha")).agg(F.min("text").alias("text"))
     return flagged.filter("not maybe").select(F.col("text").alias(text)).unionByName(materialise(once.select(F.col("text").alias(text)), "texts"))
@@ -174,7 +195,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     _, groups, bits, n_segments, n_rows = _prepare(docs, text, key, max_filter_bytes)
     sha, h, maybe = (fresh(docs.columns, c) for c in ("sha_", "h_", "maybe_"))
     rows = docs.withColumn(sha, fingerprint(text))
-    rows = flag_repeats(rows.withColumn(h, F.xxhash64(sha)), h, bits, n_segments, maybe).drop(h)
+    rows = flag_repeats(rows.withColumn(h, F.xxhash64(sha)), h, bits, n_segments, maybe, max_filter_bytes).drop(h)
     keep, size, tied = (fresh([*docs.columns, sha, maybe], c) for c in ("keep_", "size_", "tied_"))
     groups = groups.select(F.col("sha").alias(sha), F.col("keep").alias(keep), F.col("size").alias(size), F.col("tied").alias(tied))
     met = join_groups(rows.filter(F.col(maybe)), groups, sha, size, n_rows).filter(F.col(key).eqNullSafe(F.col(keep)))
