@@ -83,20 +83,47 @@ class _Planes:
         b |= twice | (a & once)
         a |= once
 
+    def parts(self):
+        for s in self.once:
+            yield s, self.once[s], self.twice[s], self.n[s]
+
+
+class _Flat:
+    """Both planes of a filter small enough to be held whole, as arrays of bytes."""
+
+    def __init__(self, n_segments: int) -> None:
+        self.once, self.twice = (np.zeros(n_segments * SEGMENT_BITS // 8, np.uint8) for _ in range(2))
+        self.n = np.zeros(n_segments, np.int64)
+
+    def add(self, h: np.ndarray, n_segments: int) -> None:
+        seg = ((h.view(np.uint64) >> np.uint64(40)) % np.uint64(n_segments)).astype(np.int64)
+        self.n += np.bincount(seg, minlength=n_segments)
+        at, n = np.unique((seg * SEGMENT_BITS + _bits(h)).ravel(), return_counts=True)
+        byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+        again = (n > 1) | (self.once[byte] & bit > 0)
+        np.bitwise_or.at(self.twice, byte[again], bit[again])
+        np.bitwise_or.at(self.once, byte, bit)
+
+    def parts(self):
+        size = SEGMENT_BITS // 8
+        for s in np.flatnonzero(self.n).tolist():
+            yield s, self.once[s * size : (s + 1) * size], self.twice[s * size : (s + 1) * size], int(self.n[s])
+
 
 def _fold(n_segments: int, max_filter_bytes: int):
     def fold(batches):
-        planes = _Planes()
+        whole = n_segments * SEGMENT_BITS // 8 <= max_filter_bytes
+        planes = _Flat(n_segments) if whole else _Planes()
 
         def send():
-            for s in planes.once:
-                yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(planes.once[s].tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(planes.twice[s].tobytes(), 1)], pa.binary()), "n": pa.array([planes.n[s]], pa.int64())})
+            for s, once, twice, n in planes.parts():
+                yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary()), "n": pa.array([n], pa.int64())})
 
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo in range(0, len(h), SLICE):  # bounds the arrays that are sorted
                 planes.add(h[lo : lo + SLICE], n_segments)
-                if len(planes.once) * SEGMENT_BITS // 8 > max_filter_bytes:
+                if not whole and len(planes.once) * SEGMENT_BITS // 8 > max_filter_bytes:
                     yield from send()
                     planes = _Planes()
         yield from send()

@@ -8,13 +8,15 @@ rising frequency, read off a hashed table of TABLE counts over all documents, th
    without a shuffle).
 2. Representatives with an identical prefix and size collapse into a group, which is indexed once per prefix
    shingle, its members riding along in chunks of CHUNK. A Bloom filter drops the shingles that only one group has.
-3. For each shared shingle the groups are filtered by size, then expanded, and their members compared by parity
-   bitmaps: the Hamming distance of two bitmaps never exceeds the sets' symmetric difference, so no link is lost.
+3. The groups of a shared shingle are filtered by size: they fall into lists of one class of sizes, which hold the
+   class below as well, as 1 / t is the width of a class. Of two sets the smaller one needs the shingle in its first
+   n - ceil(2 t n / (1 + t)) + 1. The groups are then expanded, and their members compared by parity bitmaps: the Hamming distance of two bitmaps never exceeds the sets' symmetric difference, so no link is lost.
    The members are walked breadth first, and only the edges of a spanning forest become candidates, so a list of
    m members gives m - 1 rows and not m squared. Long lists are cut into blocks and compared pair of blocks by pair.
-4. Candidates are verified on the whole sets. Then the lists whose members lie in different components are walked
-   again, leaving out pairs already tested, until no candidate between components is left. From round ALL_AT on a
-   round hands on every such pair at once, so the number of rounds is bounded and no link is lost.
+4. Candidates are verified on the whole sets, star by star: each text travels packed, to the hub it is compared
+   with. A list whose candidates all hold is settled, for its forest joined whatever its filters let through. The
+   others are walked again, each leaving out what it has tested, with GROWTH times as many forests every round, so
+   the rounds grow with the logarithm of a list's members at most, and no link is lost.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
+from .common import join_groups, let_go, materialise
 from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
-TABLE_BITS, CHUNK, LIST_BLOCK, ALL_AT = 20, 64, 4096, 4
+TABLE_BITS, CHUNK, LIST_BLOCK, STAR, GROWTH, MAX_BITS = 20, 64, 2048, 64, 8, 1 << 16
 NULL_KEY = -(1 << 63)
 
 _U = np.uint64
@@ -97,9 +100,9 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: a power of two of bits, about as many as it has members, 256 to 4096."""
+    """Parity bitmap of a set: a power of two of bits, about as many as it has members, from 256 to MAX_BITS."""
     bits = 256
-    while bits < len(s) and bits < 4096:
+    while bits < len(s) and bits < MAX_BITS:
         bits *= 2
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -165,7 +168,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         rank = table.value
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             n, sig, prefix, maps = [], [], [], []
             for t in texts_of(batch.column(0)):
                 s = shingles(t, words)
@@ -181,6 +184,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 prefix.append(s[order].tobytes())
                 maps.append(bitmap(s))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(maps, pa.binary())], names=["key", "n", "sig", "prefix", "bitmap"])
+        let_go()
 
     return materialise(docs.mapInArrow(run, "key bigint, n bigint, sig binary, prefix binary, bitmap binary"), "signatures")
 
@@ -222,62 +226,76 @@ def _slices(batches, rows: int = 256):
             yield batch.slice(lo, rows)
 
 
-def _lists(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, part, side, g): index entries of the shingles that several members have; (g, n, members) of the groups.
+def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets whose sizes are within num / den of each other lie in one class or in neighbouring ones."""
+    return n if num >= den else np.floor(np.log(n) / (np.log(den / num) * (1 + 1e-9))).astype(np.int64)
 
-    Entries are narrow until the lists are known. Shingles whose lists hold the same groups give the same
-    candidates, so one of them is kept; sameness is that of two independent 64-bit parities and the count.
-    """
 
-    def tokens(batches):
-        for batch in _slices(batches):
-            out = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
+def _lists(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(token, part, side, low, short, g): entries of the lists, one for a shingle and a size class, in which some pair
+    may link; (g, n, members) of the groups.
 
+    low: of the class below the list's, there to meet the list's own groups only. short: its shingle lies in the
+    shorter prefix that the smaller one of two sets needs. Entries are narrow until the lists are known. Lists that
+    hold the same entries give the same candidates, so one of them is kept; sameness is that of two independent
+    64-bit parities and the count.
+    """
     groups = groups.withColumn("g", F.xxhash64("prefix", "n", F.transform("members", lambda m: m["rep"])))
     groups = materialise(groups.withColumn("size", F.size("members")), "groups")
-    bits, n_segments = repeated_bits(groups.select("prefix").mapInArrow(tokens, "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 8).cast("long")).first()[0] or 0)
+
+    def entries_of(part):
+        prefixes, n = [np.frombuffer(p, np.uint64) for p in part.column(0).to_pylist()], part.column(1).to_numpy()
+        lengths = np.array([len(p) for p in prefixes])
+        at = np.repeat(np.arange(len(prefixes)), lengths)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        short = place < (n - -(-2 * num * n // (num + den)) + 1)[at]
+        token, kind = np.concatenate(prefixes), size_class(n, num, den)[at]
+        up = np.flatnonzero(short)  # these meet larger sets as well
+        lists = np.concatenate([_mix(token * _U(_BASE) + kind.astype(np.uint64)), _mix(token[up] * _U(_BASE) + (kind[up] + 1).astype(np.uint64))])
+        low = np.concatenate([np.zeros(len(at), bool), np.ones(len(up), bool)])
+        return lists.view(np.int64), np.concatenate([at, at[up]]), low, np.concatenate([short, short[up]])
+
+    def tokens(batches):
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(entries_of(batch)[0])], names=["h"])
 
     def unpack(batches):
         for batch in _slices(batches):
-            parts = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), batch.column(1).take(at), batch.column(2).take(at)], names=["token", "g", "size"])
+            token, at, low, short = entries_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(2).take(pa.array(at)), pa.array(low), pa.array(short)], names=["token", "g", "low", "short"])
 
-    entries = groups.select("prefix", "g", "size").mapInArrow(unpack, "token bigint, g bigint, size int")
+    bits, n_segments = repeated_bits(groups.select("prefix", "n").mapInArrow(tokens, "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 5).cast("long")).first()[0] or 0)
+    entries = groups.select("prefix", "n", "g").mapInArrow(unpack, "token bigint, g bigint, low boolean, short boolean")
     entries = flag_repeats(entries, "token", bits, n_segments, "maybe").filter("maybe").drop("maybe")
-    # a group's own members meet under a shingle of their own
-    entries = materialise(entries.unionByName(groups.filter("many").select(F.xxhash64("prefix", "n").alias("token"), "g", "size")), "entries")
-    sizes = entries.groupBy("token").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.bit_xor("g").alias("x"), F.bit_xor(F.xxhash64("g")).alias("y")).filter("rows > 1 or size > 1")
-    used = sizes.groupBy("rows", "size", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks"))
-    entries = entries.join(used, "token").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    entries = entries.select("token", "g", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # a group's own members meet in a list of their own
+    own = groups.filter("many").select(F.xxhash64("prefix", "n").alias("token"), "g", F.lit(False).alias("low"), F.lit(True).alias("short"))
+    entries = materialise(entries.unionByName(own.withColumn("many", F.lit(True)), allowMissingColumns=True).withColumn("many", F.coalesce("many", F.lit(False))), "entries")
+    count = lambda c: F.count_if(F.expr(c))
+    sizes = entries.groupBy("token").agg(F.count("*").alias("rows"), count("not low").alias("core"), count("not low and short").alias("short"), count("many").alias("many"), F.bit_xor(F.xxhash64("g", "low", "short")).alias("x"), F.bit_xor(F.xxhash64("short", "g", "low")).alias("y"))
+    sizes = sizes.filter("many > 0 or core > 1 and short > 0 or core > 0 and rows > core")
+    used = sizes.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks"))
+    entries = entries.drop("many").join(used, "token").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    return materialise(entries.select("token", part.alias("part"), side.alias("side"), "g"), "lists"), groups.select("g", "n", "members")
+    return materialise(entries.select("token", part.alias("part"), side.alias("side"), "low", "short", "g"), "lists"), groups.select("g", "n", "members")
 
 
-def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int, every: bool) -> tuple[list[int], list[int]]:
-    """Candidate edges of one list: a spanning forest of the pairs that pass the filters, or every pair between
-    components. Pairs of one component, or tested before, are no candidates."""
-    order = np.lexsort((rep, n))
-    rep, n, maps, side, comp = rep[order], n[order], maps[order], side[order], comp[order]
-    left, a, b = np.ones(len(rep), bool), [], []
+def _forest(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, low: np.ndarray, short: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one list that pass the filters; rows lie by rising n. Pairs of one component
+    are joined already, and those of `tested` are known to fail."""
+    left, out = np.ones(len(rep), bool), []
     two_sided = side.max() > 0
-    first = 0
-    while first < len(rep):
+    for first in range(len(rep)):
         if not left[first]:
-            first += 1
             continue
-        queue = [first]
-        left[first] = False
-        if not every:  # members of one component are reached together
-            same = np.flatnonzero(left & (comp == comp[first]))
-            left[same] = False
-            queue += same.tolist()
+        queue = np.flatnonzero(left & (comp == comp[first])).tolist()  # members of one component are reached together
+        left[queue] = False
         while queue:
             v = queue.pop()
-            ok = left & (n * den >= n[v] * num) & (n[v] * den >= n * num) & (comp != comp[v])
+            ok = left & (n * den >= n[v] * num) & (n[v] * den >= n * num) & (((n <= n[v]) & short) | ((n >= n[v]) & short[v]))
+            if low[v]:
+                ok &= ~low
             if two_sided:
                 ok &= side != side[v]
             (at,) = np.nonzero(ok)
@@ -286,47 +304,58 @@ def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, co
             limit = (n[at] + n[v]) * (den - num) // (den + num)
             at = at[np.bitwise_count(maps[at] ^ maps[v]).sum(axis=1) <= limit]
             for u in at.tolist():
-                if not left[u]:
-                    continue
                 pair = (int(min(rep[v], rep[u])), int(max(rep[v], rep[u])))
-                if pair in tested or pair[0] == pair[1]:
+                if not left[u] or pair[0] == pair[1] or pair in tested:
                     continue
-                a.append(pair[0])
-                b.append(pair[1])
-                if not every:
-                    left[u] = False
-                    queue.append(u)
-                    same = np.flatnonzero(left & (comp == comp[u]))
-                    left[same] = False
-                    queue += same.tolist()
-    return a, b
-
-
-def _candidates(lists: DataFrame, groups: DataFrame, state: DataFrame | None, num: int, den: int, every: bool) -> DataFrame:
-    """Distinct (a, b) of all lists. state: (rep, component, tested: partners of tested pairs that failed)."""
-    members = groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap")
-    if state is None:
-        members = members.withColumn("component", F.col("rep")).withColumn("tested", F.lit(None).cast("array<bigint>"))
-    else:
-        members = materialise(members.join(state, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled-members")
-        ends = lists.join(members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "g")
-        open_ = ends.groupBy("token", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token", "part")
-        # written, since Spark may drop a repartition above a join that has the same keys and then change the join
-        lists = materialise(lists.join(open_, ["token", "part"], "left_semi"), "open-lists")
-    rows = lists.join(members, "g")
-    names = ["token", "part", "side", "n", "rep", "bitmap", "component", "tested"]
+                out.append(pair)
+                same = np.flatnonzero(left & (comp == comp[u]))
+                left[same] = False
+                queue += same.tolist()
+    return out
+
+
+def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, low: np.ndarray, short: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int, forests: int) -> list[tuple[int, int]]:
+    """Candidate edges of one list: so many edge-disjoint spanning forests, or fewer when no pair is left."""
+    order = np.lexsort((rep, n))
+    rep, n, maps, side, low, short, comp = (x[order] for x in (rep, n, maps, side, low, short, comp))
+    out: list[tuple[int, int]] = []
+    for _ in range(forests):
+        new = _forest(rep, n, maps, side, low, short, comp, tested, num, den)
+        if not new:
+            break
+        out += new
+        tested = tested.union(new)
+    return out
+
+
+def _candidates(lists: DataFrame, groups: DataFrame, labels: DataFrame | None, failed: DataFrame | None, num: int, den: int, forests: int) -> DataFrame:
+    """(token, part, a, b) of all lists, as a scratch table. labels: (node, component) of the representatives that
+    have links; failed: (token, part, a, b) that these lists have tested in vain."""
+    none = F.lit(None).cast("bigint")
+    if labels is None:
+        members = groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap", F.col("m.rep").alias("component"))
+    else:  # only the groups of lists that are still open
+        open_groups = groups.join(lists.select("g").distinct(), "g", "left_semi")
+        members = open_groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap")
+        members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = lists.join(members, "g").select("token", "part", "side", "n", "rep", "bitmap", "component", none.alias("with"), "low", "short")
+    if failed is not None:
+        rows = rows.unionByName(failed.select("token", "part", F.lit(-1).alias("side"), none.alias("n"), F.col("a").alias("rep"), F.lit(None).cast("binary").alias("bitmap"), none.alias("component"), F.col("b").alias("with"), F.lit(False).alias("low"), F.lit(False).alias("short")))
 
     def run(batches):
         held: list[tuple] = []
 
         def close():
-            rep, n, side, comp = (np.array([h[i] for h in held], np.int64) for i in (4, 3, 2, 6))
-            tested = {(min(h[4], x), max(h[4], x)) for h in held if h[7] for x in h[7]}
-            a, b = _walk(rep, n, _widen([h[5] for h in held]), side, comp, tested, num, den, every)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            tested = {(h[4], h[7]) for h in held if h[2] < 0}
+            own = [h for h in held if h[2] >= 0]
+            rep, n, side, comp = (np.array([h[i] for h in own], np.int64) for i in (4, 3, 2, 6))
+            low, short = (np.array([h[i] for h in own], bool) for i in (8, 9))
+            found = _walk(rep, n, _widen([h[5] for h in own]), side, low, short, comp, tested, num, den, forests) if len(own) > 1 else []
+            a, b = ([x[i] for x in found] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(a), pa.int64()), pa.array([held[0][1]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "part", "a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if held and (row[0] != held[0][0] or row[1] != held[0][1]):
                     if len(held) > 1:
                         yield close()
@@ -335,27 +364,53 @@ def _candidates(lists: DataFrame, groups: DataFrame, state: DataFrame | None, nu
         if len(held) > 1:
             yield close()
 
-    rows = rows.select(*names).repartition("token", "part").sortWithinPartitions("token", "part")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = rows.repartition("token", "part").sortWithinPartitions("token", "part")
+    return materialise(rows.mapInArrow(run, "token bigint, part string, a bigint, b bigint"), "candidates")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of pairs of keys, by their whole sets. Only texts that are in a pair are read again into sets."""
-    ids = pairs.select(F.xxhash64("a").alias("h")).unionByName(pairs.select(F.xxhash64("b").alias("h"))).distinct()
+    """(a, b, linked) of distinct pairs of keys, by their whole sets, as a scratch table.
+
+    Of a pair the key in more pairs is the hub. A hub's pairs fall into stars of about STAR; a text travels, packed,
+    once to its key's stars and from there to each of them, so a task holds a hub's sets and one other text at a time.
+    """
+    degree = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree.select(F.col("key").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("key").alias("b"), F.col("d").alias("db")), "b")
+    hub = F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b"))
+    star = ranked.select(hub.alias("hub"), (F.col("a") + F.col("b") - hub).alias("key"), F.greatest("da", "db").alias("d"))
+    star = materialise(star.select("hub", F.pmod(F.xxhash64("key"), F.ceil(F.col("d") / STAR)).alias("star"), "key"), "stars")
+    needs = star.unionByName(star.select("hub", "star", F.col("hub").alias("key")).distinct())
+    ids = degree.select(F.xxhash64("key").alias("h"))
     bits, n_segments = repeated_bits(ids.unionByName(ids), 2 * n_pairs)
     rows = flag_repeats(docs.withColumn("h", F.xxhash64("key")), "h", bits, n_segments, "maybe").filter("maybe").select("text", "key")
 
-    def sets(batches):
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in _slices(batches):
-            found = [shingles(t, words).view(np.int64) for t in texts_of(batch.column(0))]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([squeeze.compress(t.tobytes()) for t in texts_of(batch.column(0))], pa.binary())], names=["key", "z"])
 
-    found = materialise(rows.mapInArrow(sets, "key bigint, s array<bigint>"), "sets", "none")
-    both = pairs.join(found.select(F.col("key").alias("a"), "s"), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("z")), "b")
-    met = F.size(F.array_intersect("s", "z")).cast("long")
-    got = both.select("a", "b", ((met > 0) & (met * den >= (F.size("s") + F.size("z") - met) * num)).alias("linked"))
-    return materialise(got.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    def compare(batches):
+        unpack, hub, own = zstandard.ZstdDecompressor(), None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, a, b, linked = batch.slice(lo, 256), [], [], []
+                for h, s, k, z in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    mine = shingles(np.frombuffer(unpack.decompress(z), np.uint8), words)
+                    if (h, s) != hub:
+                        hub, own = (h, s), []
+                    if k == h:  # sorts before the star's other rows
+                        own.append(mine)
+                        continue
+                    met = [len(np.intersect1d(mine, x, assume_unique=True)) for x in own]
+                    a.append(min(h, k))
+                    b.append(max(h, k))
+                    linked.append(any(m and m * den >= (len(mine) + len(x) - m) * num for m, x in zip(met, own, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    packed = rows.mapInArrow(pack, "key bigint, z binary")
+    sent = packed.hint("merge").join(needs, "key").select("hub", "star", "key", "z")
+    sent = sent.repartition("hub", "star").sortWithinPartitions("hub", "star", F.col("key") != F.col("hub"))
+    return materialise(sent.mapInArrow(compare, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -373,21 +428,23 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     n_rows = rows.count()
     members, reps = _representatives(rows, n_rows)
     members = materialise(members, "membership")
-    lists, groups = _lists(_groups(reps, n_rows))
-    tested, state, labels = None, None, None
-    for turn in range(1, ALL_AT + 2):
-        pairs = materialise(_candidates(lists, groups, state, num, den, every=turn >= ALL_AT), "candidates")
+    lists, groups = _lists(_groups(reps, n_rows), num, den)
+    linked, labels, failed, forests = None, None, None, 1
+    while True:
+        found = _candidates(lists, groups, labels, failed, num, den, forests)
+        pairs = materialise(found.select("a", "b").distinct(), "pairs")
         if not (n_pairs := pairs.count()):
             break
         new = _verify(own, pairs, n_pairs, words, num, den)
-        tested = new if tested is None else materialise(tested.unionByName(new), "tested")
-        labels = materialise(components(tested.filter("linked")), "labels")
-        failed = tested.filter("not linked")
-        failed = failed.select(F.col("a").alias("rep"), F.col("b").alias("x")).unionByName(failed.select(F.col("b").alias("rep"), F.col("a").alias("x")))
-        state = labels.withColumnRenamed("node", "rep").join(failed.groupBy("rep").agg(F.collect_list("x").alias("tested")), "rep", "full")
-        state = materialise(state, "state")
-        if turn >= ALL_AT:
-            break
+        linked = new.filter("linked") if linked is None else linked.unionByName(new.filter("linked"))
+        labels = materialise(components(linked), "labels")
+        vain = found.join(new.filter("not linked").select("a", "b"), ["a", "b"])
+        failed = materialise(vain.select("token", "part", "a", "b") if failed is None else failed.unionByName(vain.select("token", "part", "a", "b")), "failed")
+        open_ = vain.select("token", "part").distinct()
+        # written, since Spark may drop a repartition above a join that has the same keys and then change the join
+        lists = materialise(lists.join(open_, ["token", "part"], "left_semi"), "open-lists")
+        failed = failed.join(open_, ["token", "part"], "left_semi")
+        forests *= GROWTH
     if labels is None:
         out = members.withColumn("component", F.col("rep"))
     else:

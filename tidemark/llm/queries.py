@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100).drop("rep_id")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,29 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents
+LEFT JOIN n USING (doc_id)
+JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON r.node = documents.doc_id
+"""
+
 OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -114,4 +137,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op10_warc": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op4_jaccard": OP4_SQL, "op10_warc": OP10_SQL}
