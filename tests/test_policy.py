@@ -7,8 +7,10 @@ from tidemark.operators import policy as A
 
 def test_guard_and_budget():
     s = np.array([0, 5, 0, 5, 5, 0, 0, 5, 5, 5], float)
-    assert A.apply_guard(s, A.Guard(4, 2, 3)).tolist() == [False, False, False, True, True, False, False, False, True, True]
+    assert A.apply_guard(s, A.Guard(4, 2, 3)).tolist() == [False, False, False, True, True, True, False, False, True, True]  # the sixth: two hits are still in the ring
     assert A.apply_guard(s, A.Guard(4, refractory=3)).sum() == 2
+    assert A.apply_guard(np.array([9.0] * 6), A.Guard(4, suppress=((1, 3),))).tolist() == [True, False, False, False, True, True]
+    assert A.apply_guard(np.array([9.0, 9, 19, np.nan, 30]), A.Guard(4, cooldown=4.0)).tolist() == [True, False, True, False, True]
     t = A.solve_threshold(np.arange(1000.0), 0.01, A.Guard(0))
     assert t == 990 and A.apply_guard(np.arange(1000.0), A.Guard(t)).sum() == 10
 
@@ -21,6 +23,10 @@ def test_shapes():
     dip[150:160] -= 20
     assert A.shape(up, 150, 160) == "level_up" and A.shape(spike, 150, 159) == "spike" and A.shape(dip, 150, 159) == "dip"
     assert A.shape(x, 2, 5) == "unknown"
+    gap, loud = x.copy(), x.copy()
+    gap[150:170] = -60.0
+    loud[150:190] *= 8
+    assert A.shape(gap, 150, 169) == "gap" and A.shape(loud, 150, 189) == "variance"
 
 
 def test_delivery():
@@ -34,7 +40,7 @@ def test_scan_finds_a_shift_and_says_what_it_is():
     x[2200:2230] += 50
     alarms = A.scan(x)
     (hit,) = [a for a in alarms if 2190 <= a[0] <= 2232]
-    assert hit[3] >= 3 and hit[4] in ("spike", "unknown", "level_down", "variance")
+    assert hit[3] >= 3 and hit[4] in ("spike", "unknown", "level_up", "level_down", "variance")
 
 
 def test_scan_of_a_long_series():

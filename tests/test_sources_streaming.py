@@ -36,11 +36,28 @@ def test_prometheus_and_loki(spark):
     assert [r["message"] for r in D.loki_streams(bodies(spark, loki)).collect()] == ["line"]
 
 
-def test_logpush_skips_bad_lines(spark, tmp_path):
-    good = {"EdgeStartTimestamp": "2024-01-01T00:00:00Z", "ClientRequestMethod": "GET", "ClientRequestHost": "h", "ClientRequestURI": "/user/12345/orders?x=1", "EdgeResponseStatus": 404}
+def test_logpush_marks_bad_lines(spark, tmp_path):
+    good = {"EdgeStartTimestamp": "2024-01-01T00:00:00Z", "ClientRequestMethod": "PUT", "ClientRequestHost": "shop.test", "ClientRequestPath": "/basket/90817/items?v=2", "EdgeResponseStatus": 0, "OriginResponseStatus": 503, "OriginResponseTime": 2500000, "SecurityAction": "block"}
     (tmp_path / "a.json").write_text("\n".join([json.dumps(good), json.dumps({**good, "EdgeStartTimestamp": "1704067200000000000"}), "", "{broken"]))
-    got = D.logpush(spark, str(tmp_path / "a.json")).collect()
-    assert len(got) == 2 and got[0]["path"] == "/user/:id/orders" and got[0]["status"] == "4xx" and got[0]["time"] == got[1]["time"]
+    got = D.logpush(spark, str(tmp_path / "a.json"))
+    ok = got.filter("not skipped").collect()
+    assert len(ok) == 2 and ok[0]["path"] == "/basket/:id/items" and ok[0]["time"] == ok[1]["time"] and got.filter("skipped").count() == 1
+    assert (ok[0]["value"], ok[0]["status"], ok[0]["status_class"], ok[0]["origin_ms"], ok[0]["waf"]) == (1.0, "503", "5xx", 2.5, "block")
+    assert D.logpush_lines(got).first()["message"] == "PUT shop.test/basket/:id/items 503"
+
+
+def test_corpora(spark, tmp_path):
+    (tmp_path / "c" / "real").mkdir(parents=True)
+    (tmp_path / "c" / "real" / "a.csv").write_text("timestamp,value\n2024-01-01 00:00:00,1.5\n2024-01-01 00:05:00,2.5\n")
+    (tmp_path / "w.json").write_text(json.dumps({"real/a.csv": [["2024-01-01 00:04:00.000000", "2024-01-01 00:06:00.000000"]]}))
+    got = D.labelled_csv(spark, str(tmp_path / "c"), str(tmp_path / "w.json")).orderBy("idx").collect()
+    assert [(r["key"], r["idx"], r["value"], r["label"]) for r in got] == [("real/a.csv", 0, 1.5, False), ("real/a.csv", 1, 2.5, True)]
+    (tmp_path / "001_x_2_3_4.txt").write_text("1.0\n2.0\n3.0\n9.0\n9.5\n1.0\n")
+    got = D.archive_series(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r["label"] for r in got] == [False, False, False, True, True, False] and sum(r["train"] for r in got) == 2
+    (tmp_path / "h.csv").write_text("host,cpu,mem\na,1,2\nb,3.5,\n")
+    rows, numeric, labels = D.csv_outliers(spark, str(tmp_path / "h.csv"))
+    assert numeric == ["cpu", "mem"] and labels == ["host"] and rows.filter("mem is null").count() == 1
 
 
 def test_remote_write(spark):
@@ -61,8 +78,9 @@ def test_remote_write(spark):
 def test_history(spark, tmp_path):
     rec = spark.createDataFrame([("a b", 0, 1.0), ("a b", 90_000, 2.0), ("c", 10, 3.0)], "job string, bucket long, score double")
     history.append(rec, str(tmp_path / "h"))
-    got = history.query(spark, str(tmp_path / "h"), "a_b", 0, 86_399)
-    assert [r["score"] for r in got.collect()] == [1.0]
+    for name in ("a_b", "a b"):
+        got = history.query(spark, str(tmp_path / "h"), name, 0, 86_399)
+        assert [r["score"] for r in got.collect()] == [1.0]
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -14,13 +14,17 @@ from tidemark.operators.kernels import damp_scores, dspot_scores, half_space_sco
 
 @dataclass(frozen=True)
 class Guard:
-    """k of the last n scores at or above the threshold fire; then nothing does for `refractory` steps."""
+    """k of the last n scores at or above the threshold fire, whatever the current one is; then nothing does for
+    `refractory` steps. Scores in `suppress` (pairs of first and last index) count as below and never fire. With a
+    cooldown, a score must reach that multiple of the threshold once something has fired."""
 
     threshold: float
     k: int = 1
     n: int = 1
     refractory: int = 0
     warm_up: int = 0
+    cooldown: float = 0.0
+    suppress: tuple[tuple[int, int], ...] = ()
 
 
 #: The policies by name (k, n, refractory).
@@ -28,15 +32,17 @@ PRESETS = {"sensitive": (1, 1, 0), "balanced": (1, 1, 60), "precise": (2, 10, 0)
 
 
 def apply_guard(scores: np.ndarray, g: Guard) -> np.ndarray:
-    recent, quiet, out = deque(maxlen=g.n), 0, np.zeros(len(scores), bool)
-    for i, s in enumerate(scores):
-        recent.append(bool(s >= g.threshold))
-        if i < g.warm_up:
-            continue
-        if quiet:
-            quiet -= 1
-        elif recent[-1] and sum(recent) >= g.k:
-            out[i], quiet = True, g.refractory
+    hushed = np.zeros(len(scores), bool)
+    for first, last in g.suppress:
+        hushed[max(0, first) : last + 1] = True
+    over = (np.asarray(scores, float) >= g.threshold) & ~hushed  # a score that is no number isn't
+    hits = np.cumsum(np.r_[0, over])
+    at = np.arange(len(over))
+    due = (hits[at + 1] - hits[np.maximum(0, at + 1 - g.n)] >= g.k) & ~hushed & (at >= max(g.warm_up, g.k - 1))
+    out, free, fired = np.zeros(len(over), bool), 0, False
+    for i in np.flatnonzero(due).tolist():
+        if i >= free and not (g.cooldown > 0 and fired and scores[i] < g.cooldown * g.threshold):
+            out[i], free, fired = True, i + 1 + g.refractory, True
     return out
 
 
@@ -46,7 +52,7 @@ def solve_threshold(scores: np.ndarray, rate: float, g: Guard) -> float:
     lo, hi = 0, len(levels)
     while lo < hi:
         mid = (lo + hi) // 2
-        alarms = apply_guard(scores, Guard(float(levels[mid]), g.k, g.n, g.refractory, g.warm_up)).sum()
+        alarms = apply_guard(scores, replace(g, threshold=float(levels[mid]))).sum()
         lo, hi = (lo, mid) if alarms <= allowed else (mid + 1, hi)
     return float(levels[lo]) if lo < len(levels) else math.inf
 
@@ -61,23 +67,34 @@ def effect(x: np.ndarray, at: int, window: int = 200) -> float:
     return abs(float(x[at]) - m) / s if s > 0 else (0.0 if x[at] == m else math.inf)
 
 
-def shape(x: np.ndarray, start: int, stop: int, around: int = 60) -> str:
-    """What kind of change [start, stop] is, from medians, spread and slope before, during and after."""
+def shape(x: np.ndarray, start: int, stop: int, around: int = 0) -> str:
+    """What kind of change [start, stop] is, from medians, spread and slope before, during and after.
+
+    The context on either side is `around` points, by default four times the change's length and 30 at least; fewer
+    than four before it give "unknown", fewer than four after it count as more of the same.
+    """
+    if not 0 <= start <= stop < len(x):
+        return "unknown"
+    length = stop - start + 1
+    around = around if around >= 4 else max(30, 4 * length)
     before, during, after = x[max(0, start - around) : start], x[start : stop + 1], x[stop + 1 : stop + 1 + around]
-    if len(before) < 8 or len(after) < 8:
+    if len(before) < 4:
         return "unknown"
-    if not np.isfinite(during).all():
+    spread = lambda p: MAD_SCALE * float(np.median(np.abs(p - np.median(p))))
+    slope = lambda p: float(np.polyfit(np.arange(len(p)), p, 1)[0]) if len(p) > 1 else 0.0
+    m0, m1, s = float(np.median(before)), float(np.median(during)), spread(before)
+    m2 = float(np.median(after)) if len(after) >= 4 else m1
+    if s > 0 and length >= 10 and (during == during[0]).all() and abs(during[0] - m0) > 3 * s:
         return "gap"
-    m0, m1, m2 = (float(np.median(p)) for p in (before, during, after))
-    s = MAD_SCALE * float(np.median(np.abs(before - m0))) or max(1e-9, 0.01 * abs(m0))
-    if abs(m2 - m0) >= 3 * s:
-        return "level_up" if m2 > m0 else "level_down"
-    if abs(m1 - m0) >= 3 * s:
-        return "spike" if m1 > m0 else "dip"
-    if len(during) >= 4 and MAD_SCALE * float(np.median(np.abs(during - m1))) >= 2 * s:
-        return "variance"
-    slope = lambda p: float(np.polyfit(np.arange(len(p)), p, 1)[0])
-    return "trend_break" if abs(slope(after) - slope(before)) * around >= 3 * s else "unknown"
+    s = s if s > 0 else abs(m0) * 1e-6 or 1e-9
+    if abs(m1 - m0) < 3 * s:
+        if spread(during) >= 2 * s:
+            return "variance"
+        return "trend_break" if abs(slope(after) - slope(before)) * len(after) > 3 * s else "unknown"
+    up = m1 > m0
+    if abs(m2 - m0) >= 0.5 * abs(m1 - m0):
+        return "level_up" if up else "level_down"
+    return "spike" if up else "dip"
 
 
 def deliver(alerts: list[tuple[float, str]], every: float = 1800, most: int = 5, within: float = 7200) -> list[bool]:

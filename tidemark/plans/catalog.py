@@ -670,10 +670,13 @@ def label_range_join(spark, sf):
 
 # ---- text -----------------------------------------------------------------------------------------------------
 
-_MASK = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\b', '<*>', 'g'), '\b[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}(:[0-9]+)?\b', '<*>', 'g'), '\b0[xX][0-9a-fA-F]+\b', '<*>', 'g'), '\b[0-9]+(\.[0-9]+)?\b', '<*>', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+def masksql(c: str) -> str:
+    for pattern in X.MASKS:
+        c = f"regexp_replace({c}, '{pattern}', '<*>', 'g')"
+    return f"trim(regexp_replace({c}, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
-@query("SELECT template, count(*) AS n FROM (SELECT " + _MASK.format(c="'user ' || CAST(user_id AS VARCHAR) || '  did ' || event_type || ' at 10.0.0.' || CAST(user_id % 7 AS VARCHAR) || ':80 code 0x1f' ") + " AS template FROM events) GROUP BY ALL")
+@query("SELECT template, count(*) AS n FROM (SELECT " + masksql("'user ' || CAST(user_id AS VARCHAR) || '  did ' || event_type || ' at 10.0.0.' || CAST(user_id % 7 AS VARCHAR) || ':80 code 0x1f' ") + " AS template FROM events) GROUP BY ALL")
 def log_mask_templates(spark, sf):
     e = read(spark, sf, "events")
     m = F.format_string("user %s  did %s at 10.0.0.%s:80 code 0x1f ", F.col("user_id").cast("string"), "event_type", (F.col("user_id") % 7).cast("string"))
@@ -730,3 +733,6 @@ def detect_scan(spark, sf):
         return pd.DataFrame([(pdf["event_type"].iloc[0], int(idx[a]), int(idx[b]), s, e, k) for a, b, s, e, k in found], columns=["event_type", "start", "stop", "score", "effect", "shape"])
 
     return _idx(spark, sf).groupBy("event_type").applyInPandas(run, "event_type string, start bigint, stop bigint, score double, effect double, shape string")
+
+
+from tidemark.plans import catalog_scores as _scores  # noqa: E402, F401  (registers its queries)

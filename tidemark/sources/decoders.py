@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import normalise_path, parse_time, status_class
@@ -88,18 +88,66 @@ def csv_logs(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("time", parse_time(F.trim("time")))
 
 
-LOGPUSH = "EdgeStartTimestamp string, ClientRequestMethod string, ClientRequestHost string, ClientRequestURI string, EdgeResponseStatus int, OriginResponseDurationMs double, ClientCountry string, _corrupt string"
+#: The fields of edge request logs.
+LOGPUSH = """EdgeStartTimestamp string, ClientRequestHost string, ClientRequestPath string, ClientRequestMethod string,
+ClientCountry string, ClientIP string, EdgeResponseStatus int, OriginResponseStatus int, EdgeColoCode string,
+CacheCacheStatus string, WAFAction string, SecurityAction string, EdgeResponseBytes double,
+EdgeTimeToFirstByteMs double, OriginResponseDurationMs double, OriginResponseTime double, _corrupt string"""
 
 
 def logpush(spark: SparkSession, path: str) -> DataFrame:
-    """Edge request logs, one JSON a line: (time, value, host, method, path, status, country); bad lines are left out."""
+    """Edge request logs, one JSON a line, as points of value 1: (time, value, host, path, method, status, status_class,
+    country, colo, cache, client_ip, waf, resp_bytes, ttfb_ms, origin_ms, skipped).
+
+    A line that is no JSON or has no time is a row with skipped = true and no time, so that bad lines can be counted;
+    blank lines give nothing.
+    """
     raw = spark.read.schema(LOGPUSH).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    out = raw.select(parse_time("EdgeStartTimestamp").alias("time"), F.coalesce("OriginResponseDurationMs", F.lit(0.0)).alias("value"), F.col("ClientRequestHost").alias("host"), F.col("ClientRequestMethod").alias("method"), normalise_path("ClientRequestURI").alias("path"), status_class("EdgeResponseStatus").alias("status"), F.col("ClientCountry").alias("country"))
-    return out.filter("time is not null")
+    number = lambda c: F.coalesce(c, F.lit(0.0))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    status = F.when(F.coalesce("EdgeResponseStatus", F.lit(0)) != 0, F.col("EdgeResponseStatus")).otherwise(F.coalesce("OriginResponseStatus", F.lit(0)))
+    origin = F.when(number("OriginResponseDurationMs") != 0, F.col("OriginResponseDurationMs")).otherwise(number(F.col("OriginResponseTime") / 1e6))
+    waf = F.coalesce(F.nullif("WAFAction", F.lit("")), F.nullif("SecurityAction", F.lit("")))
+    time = F.when(F.col("_corrupt").isNull(), parse_time("EdgeStartTimestamp"))
+    return raw.select(
+        time.alias("time"), F.lit(1.0).alias("value"), text("ClientRequestHost").alias("host"), normalise_path(text("ClientRequestPath")).alias("path"),
+        text("ClientRequestMethod").alias("method"), status.cast("string").alias("status"), status_class(status).alias("status_class"), text("ClientCountry").alias("country"),
+        text("EdgeColoCode").alias("colo"), text("CacheCacheStatus").alias("cache"), text("ClientIP").alias("client_ip"), waf.alias("waf"),
+        number("EdgeResponseBytes").alias("resp_bytes"), number("EdgeTimeToFirstByteMs").alias("ttfb_ms"), origin.alias("origin_ms"), time.isNull().alias("skipped"),
+    )
 
 
 def logpush_lines(points: DataFrame) -> DataFrame:
-    return points.select("time", F.format_string("%s %s%s %s", "method", "host", "path", "status").alias("message"))
+    return points.filter("not skipped").select("time", F.format_string("%s %s%s %s", "method", "host", "path", "status").alias("message"))
+
+
+def csv_outliers(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
+    """A header CSV for the outlier ensemble: its rows, the numeric columns and the label columns. A column is numeric
+    when every value that isn't empty is a number, which one pass over the file decides."""
+    raw = spark.read.csv(path, header=True, mode="FAILFAST")
+    bad = raw.agg(*[F.count_if((F.trim(c) != "") & F.col(c).try_cast("double").isNull()).alias(c) for c in raw.columns], F.count("*").alias("rows_")).first()
+    numeric = [c for c in raw.columns if bad["rows_"] and bad[c] == 0]
+    return raw.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in raw.columns]), numeric, [c for c in raw.columns if c not in numeric]
+
+
+def labelled_csv(spark: SparkSession, folder: str, windows: str) -> DataFrame:
+    """A corpus of CSV series (timestamp, value) below a folder, with a JSON file of anomaly windows by relative path:
+    (key, idx, time, value, label). Both are read by Spark, so the folder may be on any store."""
+    rows = spark.read.csv(folder, header=True, recursiveFileLookup=True, schema="timestamp string, value double").withColumn("path", F.input_file_name())
+    rows = rows.select(F.regexp_extract("path", r"([^/]+/[^/]+\.csv)$", 1).alias("key"), F.to_timestamp("timestamp").alias("time"), "value").filter("time is not null")
+    spans = spark.read.text(windows, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<array<string>>>")).alias("key", "spans"))
+    spans = spans.select("key", F.transform("spans", lambda s: F.struct(F.to_timestamp(s[0]).alias("lo"), F.to_timestamp(s[1]).alias("hi"))).alias("spans"))
+    joined = rows.join(spans, "key", "left").withColumn("label", F.exists(F.coalesce("spans", F.expr("array()")), lambda s: F.col("time").between(s["lo"], s["hi"])))
+    return joined.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("time")) - 1).cast("long").alias("idx"), "time", "value", "label")
+
+
+def archive_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Series of one value a line in files called <name>_<train>_<begin>_<end>.txt: (key, idx, value, train, label)."""
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").withColumn("path", F.input_file_name())
+    at = lambda i: F.regexp_extract("path", r"_(\d+)_(\d+)_(\d+)\.txt$", i).try_cast("long")
+    rows = raw.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("key"), at(1).alias("train_"), at(2).alias("lo"), at(3).alias("hi"), F.posexplode(F.filter(F.split("value", r"\s+"), lambda v: v != "")).alias("idx", "v"))
+    idx = F.col("idx").cast("long")
+    return rows.select("key", idx.alias("idx"), F.col("v").try_cast("double").alias("value"), (idx < F.col("train_")).alias("train"), F.coalesce(idx.between(F.col("lo"), F.col("hi")), F.lit(False)).alias("label"))
 
 
 # ---- remote write: a snappy block of protobuf -------------------------------------------------------------------

@@ -17,7 +17,7 @@ def append(records: DataFrame, folder: str, job: str = "job", bucket: str = "buc
 
 def query(spark: SparkSession, folder: str, job: str, start: int, stop: int, bucket: str = "bucket") -> DataFrame:
     """Records of [start, stop]; the day's partitions are pruned before any file is read."""
-    h = spark.read.parquet(folder).filter(F.col("job_name") == job)
+    h = spark.read.parquet(folder).filter(F.col("job_name") == sanitise_name(F.lit(job)))
     days = F.col("day").between(F.to_date(F.timestamp_seconds(F.lit(start))), F.to_date(F.timestamp_seconds(F.lit(stop))))
     return h.filter(days & F.col(bucket).between(start, stop))
 

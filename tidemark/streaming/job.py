@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import CALENDAR_ORIGIN
 from tidemark.operators.kernels import TemporalModel
 
 OUTPUT = "series string, bucket bigint, actual double, typical double, p double, score double, kind string"
@@ -16,7 +17,7 @@ OUTPUT = "series string, bucket bigint, actual double, typical double, p double,
 
 def buckets(points: DataFrame, span_s: int, grace_s: int, by: str) -> DataFrame:
     """Bucket means of a stream, closed once the watermark has passed; later points are dropped by Spark."""
-    w = points.withWatermark("time", f"{grace_s} seconds").groupBy(F.window("time", f"{span_s} seconds"), by).agg(F.avg("value").alias("v"))
+    w = points.withWatermark("time", f"{grace_s} seconds").groupBy(F.window("time", f"{span_s} seconds", startTime=f"{-CALENDAR_ORIGIN % span_s} seconds"), by).agg(F.avg("value").alias("v"))
     return w.select(F.col(by).alias("series"), F.unix_seconds(F.col("window.start")).alias("bucket"), "v")
 
 
