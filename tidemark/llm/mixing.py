@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialise
+from .common import SPACE, materialise
 
 WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES = 64, 65536, 65536
+BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES, FEW = 64, 65536, 65536, 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -88,12 +88,11 @@ def _held(blocks: DataFrame, sources: list) -> tuple[list[int], list[int]]:
     return [got[s][0] for s in sources], [got[s][1] for s in sources]
 
 
-def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, n_shards: int = 16, seed: int = 42) -> DataFrame:
-    """One row per row of docs: key, size, source, source_size, target, copies, taken, shards (array, the shard of each copy).
+def _draw(docs: DataFrame, text: str, key: str, source: str, weights: tuple[float, ...], share: float, repeats: float, n_shards: int, seed: int):
+    """The narrow rows (key, src, size), and a function that adds what the mixture decides to any frame that has them.
 
-    Sources are taken in order of code point, null last, with the weights repeating. A null or empty text has
-    size 0 and is taken as its block is. Rows repeated with the same key and text are decided alike, so that both
-    are taken or neither is. An empty table gives no rows. No document is taken more than `repeats` (at most 2) times.
+    It meets broadcast tables only (sources, blocks, and the documents of boundary blocks up to FEW), so that whole
+    documents are decided where they lie.
     """
     if not 0 < repeats <= 2 or repeats != int(repeats):
         raise ValueError("repeats is 1 or 2")
@@ -111,8 +110,9 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     sources = spark.createDataFrame(facts, schema)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     src = sources.select(F.col("src").alias("src_"), "source_size", "target", "n_blocks", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"))
+    sizes = rows
     rows = rows.join(F.broadcast(src), same("src", "src_")).drop("src_")
-    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "key", "size")).withColumn("block", F.pmod(F.shiftrightunsigned("place", 20), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "size"), 20), F.col("n_blocks")).cast("int"))
     blocks = rows.groupBy("src", "block").agg(F.sum("size").alias("block_size"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
     blocks = blocks.withColumn("turn", F.row_number().over(order)).withColumn("upto", F.sum("block_size").over(order))
@@ -120,7 +120,13 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     blocks = materialise(blocks.select("src", "block", "turn", "left", (F.col("left") >= F.col("block_size")).alias("whole"), ((F.col("left") > 0) & (F.col("left") < F.col("block_size"))).alias("edge")), "blocks")
     # the boundary blocks, one a source at most, document by document
     b = F.broadcast(blocks.select(F.col("src").alias("src_"), F.col("block").alias("block_"), "turn", "left", "whole", "edge"))
-    rows = rows.join(b, same("src", "src_") & (F.col("block") == F.col("block_"))).drop("src_", "block_")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(src), same("src", "src_")).drop("src_").withColumn("place", F.xxhash64(F.lit(seed), "key", "size"))
+        rows = rows.withColumn("block", F.pmod(F.shiftrightunsigned("place", 20), F.col("n_blocks")).cast("int"))
+        return rows.join(b, same("src", "src_") & (F.col("block") == F.col("block_"))).drop("src_", "block_")
+
+    narrow, rows = sizes, placed(sizes)
     edge = rows.filter("edge").groupBy("src", "key", "size", "place", "left").agg(F.count("*").alias("n"))
 
     def take(pdf):
@@ -136,35 +142,54 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
     key_type = docs.schema[key].dataType.simpleString()
     fits = edge.groupBy("src").applyInPandas(take, f"key {key_type}, place bigint, fits boolean").filter("fits").select(F.col("key").alias("key_"), F.col("place").alias("place_"), "fits").distinct()
-    on_edge = rows.filter("edge").join(fits, same("key", "key_") & (F.col("place") == F.col("place_")), "left").drop("key_", "place_")
-    rows = rows.filter("not edge").withColumn("fits", F.lit(False)).unionByName(on_edge.withColumn("fits", F.coalesce("fits", F.lit(False))))
+    fits = materialise(fits, "fits")
+    few = fits.count() <= FEW
     # output shards: each pass deals the blocks that it takes of each source, in permuted order, by its own tree
     rng = np.random.default_rng(seed)
     quotas = pass_quotas([f[4] for f in facts], *_held(blocks, [f[0] for f in facts]), int(repeats))
     ends = [np.cumsum(split_tree(q, n_shards, rng), axis=0) if len(facts) else np.zeros((n_shards, 0), np.int64) for q in quotas]
     dealt = spark.createDataFrame([(f[0], [[int(x) for x in e[:, i]] for e in ends]) for i, f in enumerate(facts)], f"src {docs.schema[source].dataType.simpleString()}, ends array<array<bigint>>")
-    rows = rows.join(F.broadcast(dealt.select(F.col("src").alias("src_"), "ends")), same("src", "src_")).drop("src_")
+    dealt = F.broadcast(dealt.select(F.col("src").alias("src_"), "ends"))
     drawn = lambda e, i: (F.col("turn") <= F.element_at(e, -1)) & (~F.col("edge") | (i != F.col("passes")) | F.col("fits"))
     shard = lambda e, i: F.when(drawn(e, i), F.size(F.filter(e, lambda x: x < F.col("turn"))))
-    rows = rows.withColumn("shards", F.filter(F.transform("ends", shard), lambda x: x.isNotNull())).withColumn("copies", F.size("shards"))
-    return rows.select(F.col("key").alias(key), "size", F.col("src").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", "place")
+
+    def decide(rows: DataFrame) -> DataFrame:
+        rows = placed(rows)
+        this = same("key", "key_") & (F.col("place") == F.col("place_"))
+        if few:
+            rows = rows.join(F.broadcast(fits), F.col("edge") & this, "left")
+        else:  # only the documents of boundary blocks meet them
+            rows = rows.filter("not edge").withColumn("fits", F.lit(False)).unionByName(rows.filter("edge").join(fits, this, "left").drop("key_", "place_"))
+        rows = rows.withColumn("fits", F.coalesce("fits", F.lit(False))).join(dealt, same("src", "src_"))
+        rows = rows.withColumn("shards", F.filter(F.transform("ends", shard), lambda x: x.isNotNull()))
+        return rows.withColumn("copies", F.size("shards"))
+
+    return narrow, decide
+
+
+def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, n_shards: int = 16, seed: int = 42) -> DataFrame:
+    """One row per row of docs: key, size, source, source_size, target, copies, taken, shards (array, the shard of each copy).
+
+    Sources are taken in order of code point, null last, with the weights repeating. A null or empty text has
+    size 0 and is taken as its block is. Rows repeated with the same key and text are decided alike, so that both
+    are taken or neither is. An empty table gives no rows. No document is taken more than `repeats` (at most 2) times.
+    """
+    narrow, decide = _draw(docs, text, key, source, weights, share, repeats, n_shards, seed)
+    return decide(narrow).select(F.col("key").alias(key), "size", F.col("src").alias(source), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", "place")
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 42, shard_out: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, n_shards: int = 16, seed: int = 42, shard_out: str | None = None) -> DataFrame:
     """The mixture itself: each row of docs as often as the plan takes it, columns as they were.
 
-    With shard_out the rows carry their output shard and come partitioned by it and shuffled within it. Rows are
-    matched to the plan by key, source and size, so keys need not be unique.
+    Nulls, ties, repeated rows and empty tables as in plan(). With shard_out the rows carry their output shard (a
+    column of that name gives way) and come partitioned by it and shuffled within it; the only shuffle of whole
+    documents is that one.
     """
-    p = plan(docs, text, key, source, seed=seed, **options).filter("copies > 0")
-    k, s, z, sh, pl = (fresh([*docs.columns, key], c) for c in ("key_", "src_", "size_", "shards_", "place_"))
-    p = p.select(F.col(key).alias(k), F.col(source).alias(s), F.col("size").alias(z), F.col("shards").alias(sh), F.col("place").alias(pl)).dropDuplicates([k, s, z])
-    one = fresh([*docs.columns, k, s, z, sh, pl], "shard_")
-    own = fresh([*docs.columns, k, s, z, sh, pl, one], "own_")
-    rows = docs.withColumn(own, word_count(F.col(text)))
-    rows = rows.join(p, F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(own) == F.col(z)))
-    rows = rows.withColumn(one, F.explode(sh))
-    if shard_out:
-        rows = rows.withColumn(shard_out, F.col(one)).repartition(F.col(one), F.pmod(F.col(pl), F.lit(8))).sortWithinPartitions(one, F.xxhash64(F.lit(seed + 2), pl, one))
-        return rows.select(*docs.columns, shard_out)
-    return rows.select(*docs.columns)
+    _, decide = _draw(docs, text, key, source, weights, share, repeats, n_shards, seed)
+    columns = [c for c in docs.columns if not shard_out or c.lower() != shard_out.lower()]
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("src"), word_count(F.col(text)).alias("size"), F.struct(*columns).alias("doc"))
+    rows = decide(rows).select("doc", "place", F.explode("shards").alias("shard"))
+    if not shard_out:
+        return rows.select("doc.*")
+    rows = rows.repartition(F.col("shard"), F.pmod(F.col("place"), F.lit(8))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "place", "shard"))
+    return rows.select("doc.*", F.col("shard").alias(shard_out))
