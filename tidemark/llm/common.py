@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: ASCII white space, the class every contract of this package uses.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only where that is unset (tests, a single machine) a local folder is made and set instead.
     """
+    if spark.conf.get(BATCH_BYTES, None) is None:  # whole texts are long: bound a batch by its bytes, not its rows alone
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(scratch_root, "own", None)
@@ -64,8 +69,16 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(from, to) of slices of a column of strings with about so many bytes each, or one longer text."""
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1]
+    lo = 0
+    while lo < len(column):
+        before = ends[lo - 1] if lo else np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def normalised(text: Column | str) -> Column:
@@ -109,3 +122,23 @@ def resident(key, make):
         _resident.clear()
         _resident[key] = make()
     return _resident[key]
+
+
+def let_go() -> None:
+    """Give back what this worker process holds, for an idle worker lives on beside the next stage's tasks."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
+def tidy(fn):
+    """fn for mapInArrow, giving back at a task's end what its worker holds."""
+
+    def run(batches):
+        yield from fn(batches)
+        let_go()
+
+    return run

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, join_groups, materialise, normalised
+from .common import fresh, join_groups, materialise, normalised, tidy
 
 SEGMENT_BITS = 1 << 16
 N_HASHES = 4
@@ -145,8 +145,8 @@ def repeated_bits(hashes: DataFrame, n_rows: int, max_filter_bytes: int = MAX_FI
     """The second plane of the filter over a one-column frame of 64-bit hashes: (seg, words, n: its rows), and the
     number of segments."""
     n_segments = max(1, math.ceil(n_rows * BITS_A_ROW / SEGMENT_BITS))
-    parts = hashes.mapInArrow(_fold(n_segments, max_filter_bytes), "seg int, once binary, twice binary, n bigint")
-    merged = parts.repartition(max(min(64, n_segments), math.ceil(n_segments / 1024)), "seg").mapInArrow(_merge, "seg int, words array<bigint>, n bigint")
+    parts = hashes.mapInArrow(tidy(_fold(n_segments, max_filter_bytes)), "seg int, once binary, twice binary, n bigint")
+    merged = parts.repartition(max(min(64, n_segments), math.ceil(n_segments / 1024)), "seg").mapInArrow(tidy(_merge), "seg int, words array<bigint>, n bigint")
     return materialise(merged, "bloom"), n_segments
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, let_go, materialise
+from .common import join_groups, materialise, tidy
 from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
@@ -157,7 +157,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["c", "n"])
 
     out = np.zeros(size, np.uint8)
-    for r in docs.mapInArrow(count, schema).repartition(size // chunk, "c").mapInArrow(add, schema).collect():
+    for r in docs.mapInArrow(tidy(count), schema).repartition(size // chunk, "c").mapInArrow(tidy(add), schema).collect():
         out[r["c"] * chunk : (r["c"] + 1) * chunk] = np.frombuffer(bytes(r["n"]), np.uint8)
     return out
 
@@ -184,9 +184,8 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 prefix.append(s[order].tobytes())
                 maps.append(bitmap(s))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(maps, pa.binary())], names=["key", "n", "sig", "prefix", "bitmap"])
-        let_go()
 
-    return materialise(docs.mapInArrow(run, "key bigint, n bigint, sig binary, prefix binary, bitmap binary"), "signatures")
+    return materialise(docs.mapInArrow(tidy(run), "key bigint, n bigint, sig binary, prefix binary, bitmap binary"), "signatures")
 
 
 def _representatives(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -264,8 +263,8 @@ def _lists(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
             token, at, low, short = entries_of(batch)
             yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(2).take(pa.array(at)), pa.array(low), pa.array(short)], names=["token", "g", "low", "short"])
 
-    bits, n_segments = repeated_bits(groups.select("prefix", "n").mapInArrow(tokens, "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 5).cast("long")).first()[0] or 0)
-    entries = groups.select("prefix", "n", "g").mapInArrow(unpack, "token bigint, g bigint, low boolean, short boolean")
+    bits, n_segments = repeated_bits(groups.select("prefix", "n").mapInArrow(tidy(tokens), "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 5).cast("long")).first()[0] or 0)
+    entries = groups.select("prefix", "n", "g").mapInArrow(tidy(unpack), "token bigint, g bigint, low boolean, short boolean")
     entries = flag_repeats(entries, "token", bits, n_segments, "maybe").filter("maybe").drop("maybe")
     # a group's own members meet in a list of their own
     own = groups.filter("many").select(F.xxhash64("prefix", "n").alias("token"), "g", F.lit(False).alias("low"), F.lit(True).alias("short"))
@@ -365,7 +364,7 @@ def _candidates(lists: DataFrame, groups: DataFrame, labels: DataFrame | None, f
             yield close()
 
     rows = rows.repartition("token", "part").sortWithinPartitions("token", "part")
-    return materialise(rows.mapInArrow(run, "token bigint, part string, a bigint, b bigint"), "candidates")
+    return materialise(rows.mapInArrow(tidy(run), "token bigint, part string, a bigint, b bigint"), "candidates")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int, num: int, den: int) -> DataFrame:
@@ -407,10 +406,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int, num: in
                     linked.append(any(m and m * den >= (len(mine) + len(x) - m) * num for m, x in zip(met, own, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    packed = rows.mapInArrow(pack, "key bigint, z binary")
+    packed = rows.mapInArrow(tidy(pack), "key bigint, z binary")
     sent = packed.hint("merge").join(needs, "key").select("hub", "star", "key", "z")
     sent = sent.repartition("hub", "star").sortWithinPartitions("hub", "star", F.col("key") != F.col("hub"))
-    return materialise(sent.mapInArrow(compare, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    return materialise(sent.mapInArrow(tidy(compare), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -19,66 +19,61 @@ import re
 import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, resident
+from .common import fresh, let_go, materialise, resident, text_slices
 
 MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 100_000
-#: Digits in the wide sense (fractions, superscripts, Roman numerals) that `\w` takes in and that are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Fractions, superscripts, Roman numerals and the like, which `\w` takes in and which are no letters.
+NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def words(text: str) -> list[str]:
+    if not (text.isascii() or NUMERALS.isdisjoint(text)):
+        text = "".join(" " if c in NUMERALS else c for c in text)
     return WORD.findall(text.lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    w = f"\x02{word}\x03"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
-
-
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> Model:
     """Fit on all rows with a text and a language. Counts are added up on each task, then by term over the cluster."""
 
     def count(batches):
-        resident("counting", dict)  # a worker that comes from another stage lets its model go
-        held: dict[str, Counter] = defaultdict(Counter)  # what stands between white space, as it stands
+        held: dict[str, Counter] = defaultdict(Counter)
 
         def flush():
             for lang, c in held.items():
-                by_word: Counter = Counter()
-                for chunk, n in c.items():
-                    for w in words(chunk):
-                        by_word[w] += n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(by_word), pa.string()), pa.array(list(by_word), pa.string()), pa.array(list(by_word.values()), pa.int64())], names=["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
             held.clear()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi in text_slices(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
                 for t, language in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held[language].update(t.split())
+                    held[language].update(words(t))
                 if sum(map(len, held.values())) > CACHE_WORDS:
                     yield from flush()
         yield from flush()
+        let_go()
 
     def count_grams(batches):
-        resident("counting", dict)
         for batch in batches:
             for lo in range(0, batch.num_rows, 5000):
-                part, c = batch.slice(lo, 5000), Counter()
+                part, held = batch.slice(lo, 5000), defaultdict(dict)
                 for language, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    c, w = held[language], f"\x02{word}\x03"
+                    get, size = c.get, len(w)
                     for k in range(1, MAX_GRAM + 1):
-                        for g in grams(word, k):
-                            c[language, k, g] += n
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.int32()), pa.array([x[2] for x in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "k", "term", "n"])
+                        for a in range(size - k + 1):
+                            g = w[a : a + k]
+                            c[g] = get(g, 0) + n
+                for language, c in held.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(c), pa.string()), pa.array(list(map(len, c)), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "k", "term", "n"])
+        let_go()
 
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     by_word = materialise(rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -93,17 +88,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
 
 class Model:
     """levels[k]: term to a row of log shares, one per language; level 0 has words. The rows of all levels are one
-    matrix, so a text is a sum over rows. Chunks of text between white space are kept in two generations of
-    CACHE_WORDS each: the row that holds the sum of a chunk's words, and how many words it has."""
+    matrix, so a text is a sum over rows. Words that were met are kept in two generations of CACHE_WORDS each, with the
+    row that holds their sum."""
 
     def __init__(self, languages: list[str], levels: list[dict[str, int]], logs: np.ndarray) -> None:
         self.languages, self.levels, self.logs = languages, levels, logs
+        self.grams = {g: i for level in levels[1:] for g, i in level.items()}
         self._start()
 
     def _start(self) -> None:
-        self.chunks: dict[str, int] = {}
+        self.at: dict[str, int] = {}
         self.old: dict[str, int] = {}
-        self.seen = np.zeros((1024, len(self.languages) + 1), np.float64)  # the last column counts words
+        self.seen = np.zeros((1024, len(self.languages)), np.float64)
         self.old_seen = self.seen
 
     @classmethod
@@ -129,59 +125,54 @@ class Model:
         """The rows of the matrix a word is scored by, and how many they are averaged over."""
         if (i := self.levels[0].get(w)) is not None:
             return [i], 1
-        padded, out = f"\x02{w}\x03", []
-        longest, n = self.levels[1:], len(padded)
-        for a in range(n - 1):
-            for k in range(min(MAX_GRAM, n - a), 0, -1):
-                if (i := longest[k - 1].get(padded[a : a + k])) is not None:
-                    out.append(i)
-                    break
-        return out, n - 1
+        padded, out, get = f"\x02{w}\x03", [], self.grams.get
+        for a in range(len(padded) - 1):  # slices end with the word, so the first is the longest there is
+            if (i := get(padded[a : a + 5])) is None and (i := get(padded[a : a + 4])) is None and (i := get(padded[a : a + 3])) is None and (i := get(padded[a : a + 2])) is None and (i := get(padded[a])) is None:
+                continue
+            out.append(i)
+        return out, len(padded) - 1
 
     def _remember(self, missing: set[str]) -> None:
-        """Add the sums of chunks that have none yet, all in one go."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.old, self.old_seen = self.chunks, self.seen
-            self.chunks, self.seen = {}, np.zeros((1024, self.seen.shape[1]))
-        known = [c for c in missing if c in self.old]
-        new = [c for c in missing if c not in self.old]
-        flat, at, weight, counts = [], [], [], np.zeros(len(new))
-        for i, chunk in enumerate(new):
-            for w in words(chunk):
-                rows, n = self.rows_of(w)
-                flat += rows
-                at += [i] * len(rows)
-                weight += [1 / n] * len(rows)
-                counts[i] += 1
+        """Add the sums of words that have none yet, all in one go."""
+        if len(self.at) > CACHE_WORDS:
+            self.old, self.old_seen = self.at, self.seen
+            self.at, self.seen = {}, np.zeros((1024, self.seen.shape[1]))
+        known = [w for w in missing if w in self.old]
+        new = [w for w in missing if w not in self.old]
+        flat, counts, share = [], np.zeros(len(new), np.int64), np.ones(len(new))
+        for i, w in enumerate(new):
+            rows, n = self.rows_of(w)
+            flat += rows
+            counts[i], share[i] = len(rows), n
         sums = np.zeros((len(new), len(self.languages)))
         if flat:
-            values, at_ = self.logs[flat] * np.array(weight)[:, None], np.array(at)
+            at = np.repeat(np.arange(len(new)), counts)
+            values = self.logs[flat]
             for j in range(len(self.languages)):
-                sums[:, j] = np.bincount(at_, values[:, j], minlength=len(new))
-        first, last = len(self.chunks), len(self.chunks) + len(known) + len(new)
+                sums[:, j] = np.bincount(at, values[:, j], minlength=len(new)) / share
+        first, last = len(self.at), len(self.at) + len(known) + len(new)
         while last > len(self.seen):
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-        self.seen[first : first + len(known)] = self.old_seen[[self.old[c] for c in known]]
-        self.seen[first + len(known) : last, :-1] = sums
-        self.seen[first + len(known) : last, -1] = counts
-        self.chunks.update(zip(known + new, range(first, last), strict=True))
+        self.seen[first : first + len(known)] = self.old_seen[[self.old[w] for w in known]]
+        self.seen[first + len(known) : last] = sums
+        self.at.update(zip(known + new, range(first, last), strict=True))
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        parts = [t.split() if t else [] for t in texts]
-        missing = set(chain.from_iterable(parts)).difference(self.chunks)
-        if len(self.chunks) > CACHE_WORDS:  # a new generation begins: all of these texts' chunks move to it
-            missing = set(chain.from_iterable(parts))
+        parts = [words(t) if t else [] for t in texts]
+        missing = set().union(*parts)
+        if len(self.at) <= CACHE_WORDS:  # else a new generation begins: all of these texts' words move to it
+            missing.difference_update(self.at)
         if missing:
             self._remember(missing)
-        get, out = self.chunks.__getitem__, []
-        for chunks in parts:
-            total = self.seen[list(map(get, chunks))].sum(axis=0) if chunks and self.languages else np.zeros(1)
-            if not (n := int(total[-1])):
+        get, out = self.at.__getitem__, []
+        for part in parts:
+            if not part or not self.languages:
                 out.append(("und", 0.0))
                 continue
-            z = total[:-1] / n * min(n, SHARP)
+            total = self.seen[list(map(get, part))].sum(axis=0)
+            z = total / len(part) * min(len(part), SHARP)
             p = np.exp(z - z.max())
-            best = int(np.argmax(total[:-1]))
+            best = int(np.argmax(total))
             out.append((self.languages[best], float(p[best] / p.sum())))
         return out
 
@@ -199,16 +190,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.levels, model.logs))
 
-    @F.pandas_udf("lang string, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _cached(shared)
-        for s in batches:
-            texts = s.tolist()
-            out = [x for lo in range(0, len(texts), 500) for x in own.predict_all(texts[lo : lo + 500])]
-            yield pd.DataFrame({"lang": [x[0] for x in out], "score": [x[1] for x in out]})
-
+        for batch in batches:
+            out = [x for lo, hi in text_slices(batch) for x in own.predict_all(batch.slice(lo, hi - lo).to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang", "score"])
     got = fresh(docs.columns, "got_")
-    return docs.withColumn(got, score(F.col(text))).withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
+    run = score.asNondeterministic()  # a filter on the outcome isn't pushed below, which would score each text twice
+    return docs.withColumn(got, run(F.col(text))).withColumns({lang_out: F.col(f"{got}.lang"), score_out: F.col(f"{got}.score")}).drop(got)
 
 
 def _cached(shared) -> Model:
