@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, jaccard, langid, mixing
-from tidemark.llm.common import materialise
+from tidemark.llm.common import fresh, materialise
 from tidemark.llm.queries import vocabulary
 
 #: A language is accepted from this score on; texts without a letter have none.
@@ -19,10 +19,12 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't clear go; a missing lang is filled in with the prediction."""
-    got = langid.predict(docs, langid.train(docs), lang_out="pred_", score_out="pred_score_")
-    got = got.filter((F.col("pred_") != "und") & (F.col("pred_score_") >= MIN_LANGUAGE_SCORE))
-    return got.withColumn("lang", F.coalesce("lang", "pred_")).select(*docs.columns)
+    """Documents whose language isn't clear go, null texts and texts without a letter among them; a missing lang is
+    filled in with the prediction. Repeated rows are decided alike; without any lang all documents go."""
+    pred, score = fresh(docs.columns, "pred_"), fresh(docs.columns, "pred_score_")
+    got = langid.predict(docs, langid.train(docs), lang_out=pred, score_out=score)
+    got = got.filter((F.col(pred) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return got.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
