@@ -4,7 +4,7 @@ A word's symbols form a doubly linked list; a priority queue holds the merges of
 An entry whose pair has changed since it was queued is stale and skipped when it comes up. Decoding
 concatenates the vocabulary's byte strings.
 
-Words repeat, so each worker keeps the ids of the words it has met, up to ``CACHE_WORDS``. Text is cut at its
+Words repeat, so each worker keeps the ids of the words it has met, in two generations of ``CACHE_WORDS``. Text is cut at its
 single spaces first: a space between two other characters always begins a new word of the pre-tokeniser's
 pattern, so what lies between two such cuts splits into words by itself and serves as the key of the cache.
 Texts with double spaces or a space at the end go through the pattern as a whole.
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import resident
+from .common import resident, text_slices, trim
 
 
 
-CACHE_WORDS = 250_000
+CACHE_WORDS, FEW_WORDS = 125_000, 50_000
 #: The split of byte-level BPE before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LIN}{NIN}]+|\s+(?!\S)|\s+"
 
@@ -87,7 +87,8 @@ def byte_symbols() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+        self.most = cache_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -106,6 +107,7 @@ class Bpe:
             self.strings[i] = s.encode()
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The ids of one word by a queue of merges over a linked list."""
@@ -134,18 +136,21 @@ class Bpe:
         return tuple(s for s in sym if s >= 0)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        cache = self.cache
-        if len(cache) >= CACHE_WORDS:
-            cache.clear()
-        words = split_words(chunk)
-        if len(words) == 1:
-            ids = self.encode_word(chunk.encode("utf-8", "surrogatepass"))
-        else:
-            ids = ()
-            for w in words:
-                if (got := cache.get(w)) is None:
-                    got = cache[w] = self.encode_word(w.encode("utf-8", "surrogatepass"))
-                ids += got
+        if len(self.cache) >= self.most:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        if (ids := old.get(chunk)) is None:
+            words = split_words(chunk)
+            if len(words) == 1:
+                ids = self.encode_word(chunk.encode("utf-8", "surrogatepass"))
+            else:
+                ids = ()
+                for w in words:
+                    if (got := cache.get(w)) is None:
+                        if (got := old.get(w)) is None:
+                            got = self.encode_word(w.encode("utf-8", "surrogatepass"))
+                        cache[w] = got
+                    ids += got
         cache[chunk] = ids
         return ids
 
@@ -158,8 +163,8 @@ class Bpe:
             parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else split_words(text)
             if not parts[0]:
                 del parts[0]
-        get, chunk = self.cache.get, self._chunk
-        return [got if (got := get(p)) is not None else chunk(p) for p in parts]
+        chunk = self._chunk
+        return [got if (got := self.cache.get(p)) is not None else chunk(p) for p in parts]
 
     def encode(self, text: str) -> list[int]:
         """As the tokenizers library with add_special_tokens=False: special tokens' strings in a text become their ids."""
@@ -178,9 +183,15 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def load(path: str) -> Bpe:
+def load(path: str, cache_words: int = CACHE_WORDS) -> Bpe:
     """One per worker process; the path must hold on every executor."""
-    return resident(("bpe", path), lambda: Bpe(path))
+
+    def make() -> Bpe:
+        bpe = Bpe(path, cache_words)
+        trim()  # the parsed file is larger than what is kept of it
+        return bpe
+
+    return resident(("bpe", path), make)
 
 
 SLICE = 256  # rows encoded or decoded at a time, which bounds a worker's memory
@@ -233,10 +244,10 @@ def encode_checked(docs: DataFrame, path: str, text: str = "text", out: str = "i
     fields = [*docs.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]
 
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, FEW_WORDS)  # ids and texts are held as well
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
+            for lo, hi in text_slices(batch.column(len(rest))):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column(len(rest)).to_pylist()]
                 ids = [np.array(bpe.encode(t), np.int32) for t in texts]
                 same = [bpe.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
@@ -258,8 +269,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         sha = hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = bpe.encode(t)
+            for t in batch.column(1):
+                ids = bpe.encode(t.as_py())
                 n.append(len(ids))
                 a.append(sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                 b.append(sha(bpe.decode(ids).encode()).hexdigest())

@@ -127,6 +127,11 @@ def resident(key, make):
 def let_go() -> None:
     """Give back what this worker process holds, for an idle worker lives on beside the next stage's tasks."""
     _resident.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

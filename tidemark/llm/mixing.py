@@ -19,6 +19,7 @@ have MAX_BLOCKS blocks at most, which bounds the table of blocks that is broadca
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,19 +130,18 @@ def _draw(docs: DataFrame, text: str, key: str, source: str, weights: tuple[floa
     narrow, rows = sizes, placed(sizes)
     edge = rows.filter("edge").groupBy("src", "key", "size", "place", "left").agg(F.count("*").alias("n"))
 
-    def take(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["place", "key"], na_position="last")
-        left, keep = float(pdf["left"].iloc[0]), []
-        for size, n in zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True):
-            fits = size * n <= left
-            left -= size * n if fits else 0
-            keep.append(fits)
-        return pd.DataFrame({"key": pdf["key"], "place": pdf["place"], "fits": keep})
+    def take(table):
+        place, keys = table.column("place").to_pylist(), table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=lambda i: (place[i], keys[i] is None, keys[i] if keys[i] is not None else 0))
+        left, fits = float(table.column("left")[0].as_py()), [False] * len(keys)
+        size, n = table.column("size").to_pylist(), table.column("n").to_pylist()
+        for i in order:
+            fits[i] = size[i] * n[i] <= left
+            left -= size[i] * n[i] if fits[i] else 0
+        return pa.table({"key": table.column("key"), "place": table.column("place"), "fits": pa.array(fits, pa.bool_())})
 
     key_type = docs.schema[key].dataType.simpleString()
-    fits = edge.groupBy("src").applyInPandas(take, f"key {key_type}, place bigint, fits boolean").filter("fits").select(F.col("key").alias("key_"), F.col("place").alias("place_"), "fits").distinct()
+    fits = edge.groupBy("src").applyInArrow(take, f"key {key_type}, place bigint, fits boolean").filter("fits").select(F.col("key").alias("key_"), F.col("place").alias("place_"), "fits").distinct()
     fits = materialise(fits, "fits")
     few = fits.count() <= FEW
     # output shards: each pass deals the blocks that it takes of each source, in permuted order, by its own tree
