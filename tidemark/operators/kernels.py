@@ -43,10 +43,15 @@ def severity_score(p: float) -> float:
 
 
 class TemporalModel:
-    """Robust baseline of one series: observe(v) gives (p, score, typical, scale, kind) and then learns v."""
+    """Robust baseline of one series: observe(v) gives (p, score, typical, scale, kind) and then learns v, unless told
+    not to; such a value is scored by itself alone."""
 
-    def __init__(self, side: str = "both") -> None:
-        self.side, self.history, self.recent, self.streak = side, deque(maxlen=HISTORY), deque(maxlen=RUN), 0
+    def __init__(self, side: str = "both", warm_up: int = WARM_UP, keep: int = HISTORY) -> None:
+        self.side, self.warm_up, self.history, self.recent, self.streak = side, warm_up, deque(maxlen=keep), deque(maxlen=RUN), 0
+
+    def learn(self, v: float) -> None:
+        if math.isfinite(v):
+            self.history.append(v)
 
     def baseline(self) -> tuple[float, float]:
         x = np.array(self.history)
@@ -78,27 +83,31 @@ class TemporalModel:
                     return None
         return float(a), float(b)
 
-    def observe(self, v: float) -> tuple[float, float, float, float, str]:
+    def observe(self, v: float, learn: bool = True) -> tuple[float, float, float, float, str]:
         if not math.isfinite(v):
             return 1.0, 0.0, math.nan, math.nan, "point"
         n = len(self.history)
-        if n < WARM_UP:
-            self.history.append(v)
+        if n < self.warm_up:
+            if learn:
+                self.history.append(v)
             return 1.0, 0.0, math.nan, math.nan, "point"
         typical, scale = self.baseline()
         z = (v - typical) / scale
         clamped = z if self.side == "both" else max(z, 0.0) if self.side == "high" else min(z, 0.0)
         p = tail(z, self.side)
-        score, kind = severity_score(p) * min(1.0, (n - WARM_UP + 1) / (RAMP + 1)), "point"
+        score, kind = severity_score(p) * min(1.0, (n - self.warm_up + 1) / (RAMP + 1)), "point"
+        if not learn:
+            return p, score, typical, scale, kind
         self.recent.append(clamped)
         if len(self.recent) == RUN:
             mb = tail(float(np.median(self.recent)) * math.sqrt(2 * RUN / math.pi), self.side)
             if severity_score(mb) > score:
                 p, score, kind = mb, severity_score(mb), "multi_bucket"
+        keep = self.history.maxlen
         self.history.append(v)
         self.streak = (self.streak + int(math.copysign(1, z)) if self.streak * z > 0 else int(math.copysign(1, z))) if abs(z) >= 2 else 0
         if abs(self.streak) >= DRIFT:  # what has lasted so long is the new normal
-            self.history = deque(list(self.history)[-DRIFT:], maxlen=HISTORY)
+            self.history = deque(list(self.history)[-DRIFT:], maxlen=keep)
             self.recent.clear()
             self.streak = 0
         return p, score, typical, scale, kind

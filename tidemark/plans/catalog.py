@@ -735,4 +735,5 @@ def detect_scan(spark, sf):
     return _idx(spark, sf).groupBy("event_type").applyInPandas(run, "event_type string, start bigint, stop bigint, score double, effect double, shape string")
 
 
+from tidemark.plans import catalog_jobs as _jobs  # noqa: E402, F401  (registers its queries)
 from tidemark.plans import catalog_scores as _scores  # noqa: E402, F401  (registers its queries)
