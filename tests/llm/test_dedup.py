@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,29 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2, 70, 100)
 
 
+def test_shingles_go_through_no_filter_that_grows_with_them(spark, monkeypatch):
+    rows, asked = texts(12, 300), []
+    monkeypatch.setattr(jaccard, "DEAL", 64)
+    monkeypatch.setattr(jaccard, "repeated_bits", lambda hashes, n, *a: asked.append(n) or exact_dedup.repeated_bits(hashes, n, *a))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), words=2, num=50, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2, 50, 100)
+    assert max(asked) <= 2 * len(rows)
+
+
+def test_entries_of_repeated_shingles_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(jaccard, "DEAL", 50)
+    rng = np.random.default_rng(3)
+    token = np.concatenate([rng.integers(0, 400, 600), np.full(500, 7), np.arange(1000, 1300)])
+    rng.shuffle(token)
+    g, flags = np.arange(len(token)), rng.integers(0, 4, len(token)).astype(np.uint8)
+    pieces = [slice(lo, lo + 30) for lo in range(0, len(token), 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(pieces)), *(pa.array([x[s].tobytes() for s in pieces], pa.binary()) for x in (token, g, flags))], names=["deal", "token", "g", "flags"])
+    got = sorted(r for b in jaccard._met([batch]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    seen, count = np.unique(token, return_counts=True)
+    many = set(seen[count > 1].tolist())
+    assert got == sorted((t, i, bool(f & 1), bool(f & 2)) for i, (t, f) in enumerate(zip(token.tolist(), flags.tolist(), strict=True)) if t in many)
+
+
 def test_parity_bitmaps_never_exceed_the_difference():
     import numpy as np
 

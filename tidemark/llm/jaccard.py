@@ -7,7 +7,8 @@ rising frequency, read off a hashed table of TABLE counts over all documents, th
 1. Documents with equal sets collapse into one representative (a Bloom filter lets sets that stand alone pass
    without a shuffle).
 2. Representatives with an identical prefix and size collapse into a group, which is indexed once per prefix
-   shingle, its members riding along in chunks of CHUNK. A Bloom filter drops the shingles that only one group has.
+   shingle, its members riding along in chunks of CHUNK. Entries travel packed to the place of their shingle, once, where those
+   that only one group has are dropped.
 3. The groups of a shared shingle are filtered by size: they fall into lists of one class of sizes, which hold the
    class below as well, as 1 / t is the width of a class. Of two sets the smaller one needs the shingle in its first
    n - ceil(2 t n / (1 + t)) + 1. The groups are then expanded, and their members compared by parity bitmaps: the Hamming distance of two bitmaps never exceeds the sets' symmetric difference, so no link is lost.
@@ -34,6 +35,8 @@ from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
 TABLE_BITS, CHUNK, LIST_BLOCK, STAR, GROWTH, MAX_BITS = 20, 64, 2048, 64, 8, 1 << 16
+#: Entries that are packed, and held, at a time.
+DEAL = 1 << 20
 NULL_KEY = -(1 << 63)
 
 _U = np.uint64
@@ -230,6 +233,38 @@ def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n if num >= den else np.floor(np.log(n) / (np.log(den / num) * (1 + 1e-9))).astype(np.int64)
 
 
+def _met(batches):
+    """Of dealt entries, packed, those whose token comes up again in their place.
+
+    Entries are held until DEAL of them are there. Then those of repeated tokens go out and their tokens are
+    noted, so what stays is one entry a token at most, and a token in all groups takes no more room than another.
+    """
+    held, n, known = [], 0, np.zeros(0, np.int64)
+
+    def settle(last: bool):
+        nonlocal held, n, known
+        token, g, flags = (np.concatenate([h[i] for h in held]) for i in range(3))
+        seen, back, count = np.unique(token, return_inverse=True, return_counts=True)
+        again = (count > 1) | np.isin(seen, known)
+        if not last:
+            known = np.union1d(known, seen[again])
+        go = again[back]
+        held = [(token[~go], g[~go], flags[~go])]
+        n = len(held[0][0])
+        return pa.RecordBatch.from_arrays([pa.array(token[go]), pa.array(g[go]), pa.array(flags[go] & 1 > 0), pa.array(flags[go] & 2 > 0)], names=["token", "g", "low", "short"])
+
+    most = DEAL
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+            held.append(tuple(np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.uint8), strict=True)))
+            n += len(held[-1][0])
+            if n > most:
+                yield settle(False)
+                most = max(DEAL, 2 * n)
+    if held:
+        yield settle(True)
+
+
 def _lists(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(token, part, side, low, short, g): entries of the lists, one for a shingle and a size class, in which some pair
     may link; (g, n, members) of the groups.
@@ -254,18 +289,34 @@ def _lists(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
         low = np.concatenate([np.zeros(len(at), bool), np.ones(len(up), bool)])
         return lists.view(np.int64), np.concatenate([at, at[up]]), low, np.concatenate([short, short[up]])
 
-    def tokens(batches):
-        for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(entries_of(batch)[0])], names=["h"])
+    def deal(batches):
+        held, n = [], 0
 
-    def unpack(batches):
-        for batch in _slices(batches):
-            token, at, low, short = entries_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(2).take(pa.array(at)), pa.array(low), pa.array(short)], names=["token", "g", "low", "short"])
+        def send():
+            token, g, flags = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            place = (token.view(np.uint64) >> _U(32)) % _U(n_deals)
+            order = np.argsort(place, kind="stable")
+            place, ends = np.unique(place[order], return_index=True)
+            cut = [*ends.tolist(), len(order)]
+            packed = [pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (token[order], g[order], flags[order])]
+            return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), *packed], names=["deal", "token", "g", "flags"])
 
-    bits, n_segments = repeated_bits(groups.select("prefix", "n").mapInArrow(tidy(tokens), "h bigint"), groups.agg(F.sum(F.octet_length("prefix") / 5).cast("long")).first()[0] or 0)
-    entries = groups.select("prefix", "n", "g").mapInArrow(tidy(unpack), "token bigint, g bigint, low boolean, short boolean")
-    entries = flag_repeats(entries, "token", bits, n_segments, "maybe").filter("maybe").drop("maybe")
+        for batch in batches:
+            for part in _slices([batch]):
+                token, at, low, short = entries_of(part)
+                held.append((token, part.column(2).to_numpy()[at], low + 2 * short.astype(np.uint8)))
+                n += len(token)
+                if n > DEAL:
+                    yield send()
+                    n = 0
+        if held:
+            yield send()
+
+    n_tokens = groups.agg(F.sum(F.octet_length("prefix") / 5).cast("long")).first()[0] or 0
+    n_deals = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // DEAL))
+    dealt = groups.select("prefix", "n", "g").mapInArrow(tidy(deal), "deal bigint, token binary, g binary, flags binary")
+    entries = dealt.repartition(n_deals, "deal").mapInArrow(tidy(_met), "token bigint, g bigint, low boolean, short boolean")
     # a group's own members meet in a list of their own
     own = groups.filter("many").select(F.xxhash64("prefix", "n").alias("token"), "g", F.lit(False).alias("low"), F.lit(True).alias("short"))
     entries = materialise(entries.unionByName(own.withColumn("many", F.lit(True)), allowMissingColumns=True).withColumn("many", F.coalesce("many", F.lit(False))), "entries")
