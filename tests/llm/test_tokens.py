@@ -39,6 +39,21 @@ def test_cut_pieces_encode_as_whole_texts(library):
         assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_of_letters_go_to_the_merges_many_at_a_time(library):
+    tok, asked = rans._Tokenizer(vocabulary()), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    tok.lib = Library()
+    ts = [f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)} stra\u00dfe\u00e9{chr(97 + i % 26)} \u0142\u00f3d{chr(97 + i // 26)} a1{i}" for i in range(600)]
+    for t, got in zip(ts, tok.encode(ts, "<u2"), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(asked) <= 600 + 26 and not any(p.strip().isalpha() and p.isascii() for p in asked)
+
+
 def test_columns_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "c")], "doc_id long, text string")
     got = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary(), out="back").collect()

@@ -15,8 +15,11 @@ u32 CRC-32 of the ids, u32 checkpoints, then the documents' keys (i64) and lengt
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import materialise, resident
 
 LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
 SCALE_BITS, LOW = 20, 1 << 31
 MAGIC = b"TMR1"
-CACHE_WORDS = 400_000
+CACHE_WORDS, LINES = 400_000, 2000
 
 
 class Table:
@@ -172,18 +176,30 @@ class _Tokenizer:
 
     Texts are cut where the byte-level split always begins a new word: before a single space (see bpe.py), and, in
     texts without other white space, around a single line end. A piece that ends in one mark after a letter is two
-    words, the body and the mark. Pieces met before come from the cache, the others go to the library in one
-    batch. Texts with other white space, or what may be a special token, go to the library whole.
+    words, the body and the mark. Pieces met before come from the cache, the others go to the library, words in
+    Latin-1 letters LINES at a time. Texts with other white space, or what may be a special token, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        line_end = self.lib.encode("\n", add_special_tokens=False).ids
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.words = Tokenizer.from_file(path)  # the same merges without the split, and without a cache: each word comes once
+        self.words.no_truncation()
+        self.words.no_padding()
+        if hasattr(self.words.model, "_resize_cache"):
+            self.words.model._resize_cache(0)
+        self.words.pre_tokenizer = Split(self.symbols[10], "isolated")
+        own = json.loads(self.lib.to_str())
+        plain = own["normalizer"] is None and own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.line_end = line_end[0] if plain and len(line_end) == 1 else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -197,6 +213,27 @@ class _Tokenizer:
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return text.replace(" ", "\0 ").split("\0")
 
+    def pieces(self, missing: list[str], dtype: str) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its packed ids. Pieces of letters of Latin-1, and a space before them at most, are words
+        that need no split: they go to the merges many at a time, in byte symbols, and are cut at the line ends' ids."""
+        fit = [p for p in missing if (p[1:] if p[0] == " " else p).isalpha()] if self.line_end is not None else []
+        if not "".join(fit).isascii():
+            fit = [p for p in fit if p.isascii() or not LATER.search(p)]
+        alone = list(set(missing).difference(fit))
+        for lo in range(0, len(fit), LINES):
+            block = fit[lo : lo + LINES]
+            symbols = "\n".join(block).encode().decode("latin-1").translate(self.symbols)
+            ids = np.array(self.words.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, dtype)
+            (ends,) = np.nonzero(ids == self.line_end)
+            if len(ends) != len(block) - 1:
+                alone += block
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            for p, i, j in zip(block, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)], strict=True):
+                yield p, raw[i:j]
+        for p, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, dtype).tobytes()
+
     def encode(self, texts: list[str], dtype: str) -> list[bytes]:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
@@ -211,9 +248,7 @@ class _Tokenizer:
         missing.difference_update(two)
         bodies = {p[:-1] for p in two}
         missing |= bodies.difference(new) | {p[-1] for p in two}.difference(new)
-        batch = list(missing)
-        for piece, e in zip(batch, self.lib.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            new[piece] = np.array(e.ids, dtype).tobytes()
+        new.update(self.pieces(list(missing), dtype))
         for p in two:
             new[p] = new[p[:-1]] + new[p[-1]]
         whole = [t for t, parts in zip(texts, cut, strict=True) if t and not parts]
@@ -222,6 +257,7 @@ class _Tokenizer:
         return [b"".join(map(get, parts)) if parts else next(rest) if t else b"" for t, parts in zip(texts, cut, strict=True)]
 
 
+LATER = re.compile("[^\\x00-\\xff]")
 #: Single marks that end a word when a letter stands before them.
 MARKS = frozenset(",.;:!?|")
 
