@@ -144,6 +144,14 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert got.columns == ["doc_id", "text", "key"]
 
 
+def test_components_in_one_task_and_in_rounds_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(300) - 50, rng.randrange(300) - 50) for _ in range(160)], "a long, b long")
+    one = sorted(map(tuple, components.components(edges).collect()))
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert one == sorted(map(tuple, components.components(edges).collect()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -139,6 +140,13 @@ def trim() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver give up what past jobs leave: broadcasts and shuffle files of plans that are gone, freed memory."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(fn):
     """fn for mapInArrow, giving back at a task's end what its worker holds."""
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise, tidy
+from .common import join_groups, materialise, settle, tidy
 from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
@@ -478,6 +478,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     n_rows = rows.count()
     members, reps = _representatives(rows, n_rows)
     members = materialise(members, "membership")
+    settle(docs.sparkSession)
     lists, groups = _lists(_groups(reps, n_rows), num, den)
     linked, labels, failed, forests = None, None, None, 1
     while True:
@@ -495,6 +496,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
         lists = materialise(lists.join(open_, ["token", "part"], "left_semi"), "open-lists")
         failed = failed.join(open_, ["token", "part"], "left_semi")
         forests *= GROWTH
+        settle(docs.sparkSession)
     if labels is None:
         out = members.withColumn("component", F.col("rep"))
     else:
@@ -522,6 +524,7 @@ def join_labels(members: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest key; columns as they were."""
+    settle(docs.sparkSession)
     got = join(docs, text, key, words, num, den).filter(~F.col(key).eqNullSafe(F.col("component_id")))
     gone = materialise(got.select(F.col(key).alias("gone_")).distinct(), "gone")
     ids = gone.select(F.xxhash64("gone_").alias("h"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let_go, materialise, resident, text_slices
+from .common import fresh, let_go, materialise, resident, settle, text_slices, trim
 
 MAX_GRAM, MIN_SHARE, SHARP, CACHE_WORDS = 5, 1e-5, 8, 100_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,7 +83,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     shares = terms.join(F.broadcast(totals), ["lang", "k"]).select("lang", "k", "term", (F.col("n") / F.col("total")).alias("share"))
     known = shares.filter(F.col("share") >= min_share).select("k", "term").distinct()  # bounded as the model is
     got = shares.join(F.broadcast(known), ["k", "term"]).toPandas()
-    return Model.of(got, min_share)
+    model = Model.of(got, min_share)
+    del got
+    settle(docs.sparkSession)
+    return model
 
 
 class Model:
@@ -189,6 +192,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     to keep it.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.levels, model.logs))
+    trim()  # what pickling took
 
     @F.arrow_udf("lang string, score double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
