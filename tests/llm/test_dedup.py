@@ -102,6 +102,29 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2, 70, 100)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1500])
+def test_pairs_that_just_miss_the_threshold_make_no_rows(spark, monkeypatch, most):
+    """All pairs but a few share 88 of 112 words, short of 80 %. The bitmaps let through about half of them, and the
+    words they share are rarer than the others, which copies of one long text hold."""
+    monkeypatch.setattr(jaccard, "SETS", most, raising=False)
+    core, own = " ".join(f"c{i}" for i in range(88)), lambda c: "".join(f" u{c}x{k}" for k in range(12))
+    rows = [(i, core + own(i - i % 20 // 19) + " more" * (i % 20 == 19)) for i in range(60)]
+    rows += [(i, "".join(map(own, [*range(60), "p", "q"]))) for i in range(100, 170)]
+    nulls = [(None, core + own(c)) for c in "pqq"]  # one document, of two sets
+    made, materialise = [], jaccard.materialise
+
+    def counted(df, name, *a):
+        out = materialise(df, name, *a)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    got = jaccard.join(spark.createDataFrame(rows + nulls, "doc_id long, text string"), words=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute_components(rows, 1, 80, 100)
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None] * 3
+    assert max(n for name, n in made if name in ("candidates", "pairs", "verified", "failed", "links")) < 10 * 60
+
+
 def test_shingles_go_through_no_filter_that_grows_with_them(spark, monkeypatch):
     rows, asked = texts(12, 300), []
     monkeypatch.setattr(jaccard, "DEAL", 64)

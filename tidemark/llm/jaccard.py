@@ -16,8 +16,9 @@ rising frequency, read off a hashed table of TABLE counts over all documents, th
    m members gives m - 1 rows and not m squared. Long lists are cut into blocks and compared pair of blocks by pair.
 4. Candidates are verified on the whole sets, star by star: each text travels packed, to the hub it is compared
    with. A list whose candidates all hold is settled, for its forest joined whatever its filters let through. The
-   others are walked again, each leaving out what it has tested, with GROWTH times as many forests every round, so
-   the rounds grow with the logarithm of a list's members at most, and no link is lost.
+   members of the others come together once more with their texts, in parts of SETS shingles at most, and are walked
+   along links alone. So pairs that pass the bitmaps and don't link, whose number may grow with the square of a
+   group, make no rows, and no link is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from .common import join_groups, materialise, settle, tidy
 from .components import components
 from .exact_dedup import flag_repeats, repeated_bits
 
-TABLE_BITS, CHUNK, LIST_BLOCK, STAR, GROWTH, MAX_BITS = 20, 64, 2048, 64, 8, 1 << 16
+TABLE_BITS, CHUNK, LIST_BLOCK, STAR, MAX_BITS = 20, 64, 2048, 64, 1 << 16
+#: Shingles of the whole sets that a task compares at a time, 8 bytes each.
+SETS = 1 << 20
 #: Entries that are packed, and held, at a time.
 DEAL = 1 << 20
 NULL_KEY = -(1 << 63)
@@ -324,16 +327,52 @@ def _lists(groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     sizes = entries.groupBy("token").agg(F.count("*").alias("rows"), count("not low").alias("core"), count("not low and short").alias("short"), count("many").alias("many"), F.bit_xor(F.xxhash64("g", "low", "short")).alias("x"), F.bit_xor(F.xxhash64("short", "g", "low")).alias("y"))
     sizes = sizes.filter("many > 0 or core > 1 and short > 0 or core > 0 and rows > core")
     used = sizes.groupBy("rows", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks"))
-    entries = entries.drop("many").join(used, "token").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    return materialise(entries.select("token", part.alias("part"), side.alias("side"), "low", "short", "g"), "lists"), groups.select("g", "n", "members")
+    entries = entries.drop("many").join(used, "token").withColumn("part", F.lit("")).withColumn("side", F.lit(0))
+    return materialise(_cut(entries), "lists"), groups.select("g", "n", "members")
 
 
-def _forest(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, low: np.ndarray, short: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of one list that pass the filters; rows lie by rising n. Pairs of one component
-    are joined already, and those of `tested` are known to fail."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows of lists, or of parts of them, cut into as many blocks as their column says: each pair of blocks is a part.
+
+    Sides 1 and 2 are compared with each other alone, so of a part that has them each pair of a block of either is one.
+    """
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("g", "token", "part"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block, other, side = F.col("block"), F.col("other"), F.col("side")
+    first = F.when(side == 0, F.least(block, other)).when(side == 1, block).otherwise(other)
+    second = block + other - first
+    part = F.concat_ws("-", F.nullif("part", F.lit("")), first.cast("string"), second.cast("string"))
+    side = F.when(side > 0, side).when(block == other, 0).when(block < other, 1).otherwise(2)
+    return rows.select("token", part.alias("part"), side.alias("side"), "low", "short", "g")
+
+
+class _Sets:
+    """The whole sets of a list's rows, as numbers from 0 on."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        values, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum([len(s) for s in sets])
+        self.starts = self.ends - [len(s) for s in sets]
+        self.flag = np.zeros(len(values), np.uint8)
+
+    def shared(self, v: int, rows: np.ndarray) -> np.ndarray:
+        """How many members of row v each of some rows has."""
+        own = self.at[self.starts[v] : self.ends[v]]
+        self.flag[own] = 1
+        if 8 * len(rows) < len(self.ends):
+            out = np.array([np.count_nonzero(self.flag[self.at[self.starts[u] : self.ends[u]]]) for u in rows.tolist()], np.int64)
+        else:
+            out = np.add.reduceat(self.flag[self.at], self.starts, dtype=np.int64)[rows]
+        self.flag[own] = 0
+        return out
+
+
+def _forest(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, low: np.ndarray, short: np.ndarray, comp: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one list that pass the filters or, where the sets are given, that link. Pairs
+    of one component are joined already."""
+    order = np.lexsort((rep, n))
+    rep, n, maps, side, low, short, comp = (x[order] for x in (rep, n, maps, side, low, short, comp))
+    whole = None if sets is None else _Sets([sets[i] for i in order.tolist()])
     left, out = np.ones(len(rep), bool), []
     two_sided = side.max() > 0
     for first in range(len(rep)):
@@ -353,59 +392,39 @@ def _forest(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray,
                 continue
             limit = (n[at] + n[v]) * (den - num) // (den + num)
             at = at[np.bitwise_count(maps[at] ^ maps[v]).sum(axis=1) <= limit]
+            if whole is not None and len(at):
+                met = whole.shared(v, at)
+                at = at[met * den >= (n[at] + n[v] - met) * num]
             for u in at.tolist():
-                pair = (int(min(rep[v], rep[u])), int(max(rep[v], rep[u])))
-                if not left[u] or pair[0] == pair[1] or pair in tested:
+                if not left[u] or rep[v] == rep[u]:
                     continue
-                out.append(pair)
+                out.append((int(min(rep[v], rep[u])), int(max(rep[v], rep[u]))))
                 same = np.flatnonzero(left & (comp == comp[u]))
                 left[same] = False
                 queue += same.tolist()
     return out
 
 
-def _walk(rep: np.ndarray, n: np.ndarray, maps: np.ndarray, side: np.ndarray, low: np.ndarray, short: np.ndarray, comp: np.ndarray, tested: set[tuple[int, int]], num: int, den: int, forests: int) -> list[tuple[int, int]]:
-    """Candidate edges of one list: so many edge-disjoint spanning forests, or fewer when no pair is left."""
-    order = np.lexsort((rep, n))
-    rep, n, maps, side, low, short, comp = (x[order] for x in (rep, n, maps, side, low, short, comp))
-    out: list[tuple[int, int]] = []
-    for _ in range(forests):
-        new = _forest(rep, n, maps, side, low, short, comp, tested, num, den)
-        if not new:
-            break
-        out += new
-        tested = tested.union(new)
-    return out
-
-
-def _candidates(lists: DataFrame, groups: DataFrame, labels: DataFrame | None, failed: DataFrame | None, num: int, den: int, forests: int) -> DataFrame:
-    """(token, part, a, b) of all lists, as a scratch table. labels: (node, component) of the representatives that
-    have links; failed: (token, part, a, b) that these lists have tested in vain."""
-    none = F.lit(None).cast("bigint")
-    if labels is None:
-        members = groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap", F.col("m.rep").alias("component"))
-    else:  # only the groups of lists that are still open
-        open_groups = groups.join(lists.select("g").distinct(), "g", "left_semi")
-        members = open_groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap")
-        members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = lists.join(members, "g").select("token", "part", "side", "n", "rep", "bitmap", "component", none.alias("with"), "low", "short")
-    if failed is not None:
-        rows = rows.unionByName(failed.select("token", "part", F.lit(-1).alias("side"), none.alias("n"), F.col("a").alias("rep"), F.lit(None).cast("binary").alias("bitmap"), none.alias("component"), F.col("b").alias("with"), F.lit(False).alias("low"), F.lit(False).alias("short")))
+def _walk(rows: DataFrame, num: int, den: int, words: int, name: str) -> DataFrame:
+    """(token, part, a, b): candidates of the lists of rows (token, part, side, n, rep, bitmap, component, low, short),
+    or their links, where rows have the packed texts z as well; a scratch table."""
+    whole = "z" in rows.columns
 
     def run(batches):
         held: list[tuple] = []
+        unpack = zstandard.ZstdDecompressor()
 
         def close():
-            tested = {(h[4], h[7]) for h in held if h[2] < 0}
-            own = [h for h in held if h[2] >= 0]
-            rep, n, side, comp = (np.array([h[i] for h in own], np.int64) for i in (4, 3, 2, 6))
-            low, short = (np.array([h[i] for h in own], bool) for i in (8, 9))
-            found = _walk(rep, n, _widen([h[5] for h in own]), side, low, short, comp, tested, num, den, forests) if len(own) > 1 else []
+            side, n, rep, comp = (np.array([h[i] for h in held], np.int64) for i in (2, 3, 4, 6))
+            low, short = (np.array([h[i] for h in held], bool) for i in (7, 8))
+            maps = _widen([h[5] for h in held])
+            sets = [shingles(np.frombuffer(unpack.decompress(h[9]), np.uint8), words) for h in held] if whole else None
+            found = _forest(rep, n, maps, side, low, short, comp, num, den, sets)
             a, b = ([x[i] for x in found] for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(a), pa.int64()), pa.array([held[0][1]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "part", "a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if held and (row[0] != held[0][0] or row[1] != held[0][1]):
                     if len(held) > 1:
                         yield close()
@@ -414,8 +433,44 @@ def _candidates(lists: DataFrame, groups: DataFrame, labels: DataFrame | None, f
         if len(held) > 1:
             yield close()
 
+    rows = rows.select("token", "part", "side", "n", "rep", "bitmap", "component", "low", "short", *["z"] * whole)
     rows = rows.repartition("token", "part").sortWithinPartitions("token", "part")
-    return materialise(rows.mapInArrow(tidy(run), "token bigint, part string, a bigint, b bigint"), "candidates")
+    return materialise(rows.mapInArrow(tidy(run), "token bigint, part string, a bigint, b bigint"), name)
+
+
+def _candidates(lists: DataFrame, groups: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """(token, part, a, b): the edges of a forest of each list, by its filters."""
+    members = groups.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap", F.col("m.rep").alias("component"))
+    return _walk(lists.join(members, "g"), num, den, words, "candidates")
+
+
+def _links(docs: DataFrame, lists: DataFrame, groups: DataFrame, labels: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """(a, b): links that join all of these lists' members that whole sets link. labels: (node, component) of those that
+    have links already.
+
+    A key's text travels, packed, to its members and from there to each of their lists. Of a key that has several sets
+    each meets the members of its size and bitmap; it is a set of this key in any case.
+    """
+    weights = lists.join(groups.select("g", (F.col("n") * F.size("members")).alias("w")), "g").groupBy("token", "part").agg(F.sum("w").alias("w"))
+    blocks = F.ceil(F.col("w") / SETS).cast("int").alias("blocks")
+    lists = materialise(_cut(lists.join(weights.select("token", "part", blocks), ["token", "part"])), "open-parts")
+    met = groups.join(lists.select("g").distinct(), "g", "left_semi")
+    met = met.select("g", "n", F.explode("members").alias("m")).select("g", "n", "m.rep", "m.bitmap")
+    met = materialise(met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "open-members")
+    ids = met.select(F.xxhash64("rep").alias("h")).distinct()
+    bits, n_segments = repeated_bits(ids.unionByName(ids), 2 * max(1, ids.count()))
+    rows = flag_repeats(docs.withColumn("h", F.xxhash64("key")), "h", bits, n_segments, "maybe").filter("maybe").select("text", "key")
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in _slices(batches):
+            found = [(len(s := shingles(t, words)), bitmap(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), squeeze.compress(t.tobytes())) for t in texts_of(batch.column(0))]
+            n, maps, sig, z = ([x[i] for x in found] for i in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (maps, sig, z))], names=["rep", "n", "bitmap", "sig", "z"])
+
+    packed = rows.mapInArrow(tidy(pack), "rep bigint, n bigint, bitmap binary, sig binary, z binary").dropDuplicates(["rep", "n", "bitmap", "sig"]).drop("sig")
+    met = packed.hint("merge").join(met, ["rep", "n", "bitmap"])
+    return _walk(lists.join(met.hint("merge"), "g"), num, den, words, "links").select("a", "b")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n_pairs: int, words: int, num: int, den: int) -> DataFrame:
@@ -480,23 +535,20 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     members = materialise(members, "membership")
     settle(docs.sparkSession)
     lists, groups = _lists(_groups(reps, n_rows), num, den)
-    linked, labels, failed, forests = None, None, None, 1
-    while True:
-        found = _candidates(lists, groups, labels, failed, num, den, forests)
-        pairs = materialise(found.select("a", "b").distinct(), "pairs")
-        if not (n_pairs := pairs.count()):
-            break
-        new = _verify(own, pairs, n_pairs, words, num, den)
-        linked = new.filter("linked") if linked is None else linked.unionByName(new.filter("linked"))
+    found, labels = _candidates(lists, groups, num, den, words), None
+    pairs = materialise(found.select("a", "b").distinct(), "pairs")
+    if n_pairs := pairs.count():
+        tested = _verify(own, pairs, n_pairs, words, num, den)
+        linked = tested.filter("linked").select("a", "b")
         labels = materialise(components(linked), "labels")
-        vain = found.join(new.filter("not linked").select("a", "b"), ["a", "b"])
-        failed = materialise(vain.select("token", "part", "a", "b") if failed is None else failed.unionByName(vain.select("token", "part", "a", "b")), "failed")
-        open_ = vain.select("token", "part").distinct()
+        vain = found.join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi")
         # written, since Spark may drop a repartition above a join that has the same keys and then change the join
-        lists = materialise(lists.join(open_, ["token", "part"], "left_semi"), "open-lists")
-        failed = failed.join(open_, ["token", "part"], "left_semi")
-        forests *= GROWTH
+        lists = materialise(lists.join(vain.select("token", "part").distinct(), ["token", "part"], "left_semi"), "open-lists")
         settle(docs.sparkSession)
+        if not lists.isEmpty():
+            linked = linked.unionByName(_links(own, lists, groups, labels, num, den, words))
+            labels = materialise(components(linked), "labels")
+            settle(docs.sparkSession)
     if labels is None:
         out = members.withColumn("component", F.col("rep"))
     else:
