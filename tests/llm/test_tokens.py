@@ -54,6 +54,23 @@ def test_new_words_of_letters_go_to_the_merges_many_at_a_time(library):
     assert len(asked) <= 600 + 26 and not any(p.strip().isalpha() and p.isascii() for p in asked)
 
 
+def test_marks_after_a_word_are_words_of_their_own(library):
+    tok, asked = rans._Tokenizer(vocabulary()), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    tok.lib, rng = Library(), random.Random(7)
+    ends = [*(chr(c) for c in range(33, 127) if not chr(c).isalnum()), ".%", "'$", "'s!", ",'", "''", "(x)", "_", "...", "1%", "!?&*", "|>"]
+    words = [f"ab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)] + ["stra\u00dfe", "\u0142\u00f3d", "\u6f22", "it's", "a'", "x\u0301", "7", "\u00b2"]
+    ts = [sep.join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randint(1, 9))) for _ in range(3000) for sep in [rng.choice([" ", "\n", "  ", "\n\n", "\t"])]]
+    for t, got in zip(ts, tok.encode(ts, "<u2"), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert not any(p.strip()[:-1].isalpha() and p[-1] in "$&*%#" and p.isascii() for p in asked if len(p) < 9)
+
+
 def test_columns_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "c")], "doc_id long, text string")
     got = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary(), out="back").collect()

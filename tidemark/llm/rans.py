@@ -175,8 +175,8 @@ class _Tokenizer:
     """The tokenizers library with the ids of the pieces it has met, packed, in two generations of CACHE_WORDS.
 
     Texts are cut where the byte-level split always begins a new word: before a single space (see bpe.py), and, in
-    texts without other white space, around a single line end. A piece that ends in one mark after a letter is two
-    words, the body and the mark. Pieces met before come from the cache, the others go to the library, words in
+    texts without other white space, around a single line end. A piece that ends in marks after a letter is two
+    words or more, the body's and the run of marks. Pieces met before come from the cache, the others go to the library, words in
     Latin-1 letters LINES at a time. Texts with other white space, or what may be a special token, go to the library whole.
     """
 
@@ -213,8 +213,8 @@ class _Tokenizer:
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         return text.replace(" ", "\0 ").split("\0")
 
-    def pieces(self, missing: list[str], dtype: str) -> Iterator[tuple[str, bytes]]:
-        """Each piece with its packed ids. Pieces of letters of Latin-1, and a space before them at most, are words
+    def pieces(self, missing: list[str], dtype: str) -> Iterator[Iterator[tuple[str, bytes]]]:
+        """The pieces with their packed ids, many at a time. Pieces of letters of Latin-1, and a space before them at most, are words
         that need no split: they go to the merges many at a time, in byte symbols, and are cut at the line ends' ids."""
         fit = [p for p in missing if (p[1:] if p[0] == " " else p).isalpha()] if self.line_end is not None else []
         if not "".join(fit).isascii():
@@ -229,10 +229,9 @@ class _Tokenizer:
                 alone += block
                 continue
             raw, size = ids.tobytes(), ids.itemsize
-            for p, i, j in zip(block, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)], strict=True):
-                yield p, raw[i:j]
-        for p, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            yield p, np.array(e.ids, dtype).tobytes()
+            cuts = map(slice, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)])
+            yield zip(block, map(raw.__getitem__, cuts), strict=True)
+        yield zip(alone, [np.array(e.ids, dtype).tobytes() for e in self.lib.encode_batch_fast(alone, add_special_tokens=False)], strict=True)
 
     def encode(self, texts: list[str], dtype: str) -> list[bytes]:
         if len(self.new) > CACHE_WORDS:
@@ -244,13 +243,13 @@ class _Tokenizer:
         for piece in missing & old.keys():
             new[piece] = old[piece]
             missing.discard(piece)
-        two = [p for p in missing if p[-1] in MARKS and p[-2:-1].isalpha()]
-        missing.difference_update(two)
-        bodies = {p[:-1] for p in two}
-        missing |= bodies.difference(new) | {p[-1] for p in two}.difference(new)
-        new.update(self.pieces(list(missing), dtype))
-        for p in two:
-            new[p] = new[p[:-1]] + new[p[-1]]
+        two = [(p, b, p[len(b) :]) for p in missing if p[-1] in MARKS and (b := p.rstrip(MARKS))[-1:].isalpha()]
+        missing.difference_update(p for p, _, _ in two)
+        missing.update({b for _, b, _ in two}.difference(new), {m for _, _, m in two}.difference(new))
+        for got in self.pieces(list(missing), dtype):
+            new.update(got)
+        for p, body, marks in two:
+            new[p] = new[body] + new[marks]
         whole = [t for t, parts in zip(texts, cut, strict=True) if t and not parts]
         rest = iter([np.array(e.ids, dtype).tobytes() for e in self.lib.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
         get = new.__getitem__
@@ -258,8 +257,8 @@ class _Tokenizer:
 
 
 LATER = re.compile("[^\\x00-\\xff]")
-#: Single marks that end a word when a letter stands before them.
-MARKS = frozenset(",.;:!?|")
+#: Marks that end a word when a letter stands before them; a run of them is a word. The apostrophe may begin one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _tokenizer(path: str) -> _Tokenizer:
