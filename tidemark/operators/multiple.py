@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import clean_p
 
+#: Slices of an octave of p-values.
+SLICES = 4096
+
+
+EULER = 0.57721566490153286
+
+
+def harmonic_number(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: the sum itself for small m, else its asymptotic series, which is exact to a double."""
+    m = m.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(200.0)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i)
+    return F.when(m <= 200, small).otherwise(F.log(m) + EULER + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * m * m * m * m))
+
 
 def step_up(df: DataFrame, by: list[str], p: str, q: float, dependent: bool = False, pi0: str | None = None) -> DataFrame:
     """Benjamini-Hochberg (Benjamini-Yekutieli if dependent; a column with Storey's pi0 makes it adaptive).
 
     Adds rejected: all p-values up to the largest one below its step. The largest rank among ties counts.
+
+    Ranks are running counts of distinct p-values, first over slices of their logarithm and then within each slice, so no
+    task sorts a whole family; the rows themselves meet one number for each family.
     """
     rows = df.withColumn("p_", clean_p(p))
-    ordered = Window.partitionBy(*by).orderBy("p_").rangeBetween(Window.unboundedPreceding, 0)
+    n = rows.groupBy(*by, "p_").agg(F.count("*").alias("n_"), F.max(pi0 if pi0 else F.lit(1.0)).alias("pi0_")).withColumn("slice_", F.floor(F.log2("p_") * SLICES))
+    slices, key = n.groupBy(*by, "slice_").agg(F.sum("n_").alias("in_")), [*by, "slice_"]
     whole = Window.partitionBy(*by)
-    rows = rows.withColumn("rank_", F.count("*").over(ordered)).withColumn("m_", F.count("*").over(whole))
-    c = F.aggregate(F.sequence(F.lit(1), F.col("m_").cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i) if dependent else F.lit(1.0)
-    level = F.col("rank_") * q / (F.col("m_") * c * (F.col(pi0) if pi0 else F.lit(1.0)))
-    cut = F.max(F.when(F.col("p_") <= level, F.col("p_"))).over(whole)
-    return rows.withColumn("rejected", F.coalesce(F.col("p_") <= cut, F.lit(False))).drop("p_", "rank_", "m_")
+    slices = slices.withColumn("m_", F.sum("in_").over(whole)).withColumn("before_", F.sum("in_").over(whole.orderBy("slice_")) - F.col("in_")).drop("in_")
+    met = n.join(renamed(slices, key), same(key), "inner").withColumn("rank_", F.col("before_") + F.sum("n_").over(Window.partitionBy(*key).orderBy("p_")))
+    level = F.col("rank_") * q / (F.col("m_") * (harmonic_number(F.col("m_")) if dependent else F.lit(1.0)) * F.col("pi0_"))
+    cuts = met.filter(F.col("p_") <= level).groupBy(*by).agg(F.max("p_").alias("cut_"))
+    out = rows.join(renamed(cuts, by), same(by), "left").withColumn("rejected", F.coalesce(F.col("p_") <= F.col("cut_"), F.lit(False)))
+    return out.drop("p_", "cut_", *(f"{x}_k" for x in by))
+
+
+def renamed(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_k" for c in key})
+
+
+def same(key: list[str]) -> Column:
+    """Equal keys, null like any other; true where there is no key."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in key], F.lit(True))
 
 
 def storey_pi0(df: DataFrame, by: list[str], p: str, cut: float = 0.5) -> DataFrame:
