@@ -50,12 +50,15 @@ def range_overlap(real: DataFrame, found: DataFrame, by: list[str]) -> DataFrame
     return g.withColumn("coverage", F.col("covered") / (F.col("stop") - F.col("start") + 1))
 
 
-def range_f1(real: DataFrame, found: DataFrame, by: list[str], alpha: float = 0.5) -> DataFrame:
-    """Range recall (existence and coverage, flat bias, 1 / overlaps where several) and range precision, per key."""
+def range_f1(real: DataFrame, found: DataFrame, by: list[str], alpha: float = 0.5, how: str = "full") -> DataFrame:
+    """Range recall (existence and coverage, flat bias, 1 / overlaps where several) and range precision, per key.
+
+    A key with regions on one side alone has 0 for what it lacks; how="inner" leaves it out.
+    """
     part = lambda d, a: d.groupBy(*by).agg(F.avg(a * (F.col("overlaps") > 0).cast("int") + (1 - a) * F.col("coverage") / F.greatest(F.lit(1), "overlaps")).alias("v"))
     r = part(range_overlap(real, found, by), alpha).withColumnRenamed("v", "recall")
     p = part(range_overlap(found, real, by), 0.0).withColumnRenamed("v", "precision")
-    j = r.join(p, by, "full").na.fill(0.0, ["recall", "precision"])
+    j = r.join(p, by, how).na.fill(0.0, ["recall", "precision"])
     return j.withColumn("f1", F.when(F.col("recall") + F.col("precision") > 0, 2 * F.col("recall") * F.col("precision") / (F.col("recall") + F.col("precision"))).otherwise(0.0))
 
 
