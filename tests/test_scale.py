@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import incidents as I
 from tidemark.operators import multiple as M
+from tidemark.operators import neighbours as V
 from tidemark.operators import relations as L
 from tidemark.plans import catalog
 
@@ -78,3 +79,17 @@ def test_chain_links_hold_the_same_components_together(spark):
 def test_components_of_a_long_path(spark):
     path = spark.range(3000).select(F.col("id"), (F.col("id") + 1).alias("b")).filter("b < 3000")
     assert I.label_components(spark.range(3000), path.withColumnRenamed("id", "a")).filter("component = 0").count() == 3000
+
+
+@pytest.mark.parametrize("groups", [None, "g"])
+def test_nearest_over_many_leaves_is_exact(spark, monkeypatch, groups):
+    monkeypatch.setattr(V, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, (300, 2)), rng.integers(0, 4, (200, 2)), np.tile([[7.0, 7.0]], (40, 1))]
+    g = rng.integers(0, 3, len(x)) if groups else np.zeros(len(x), int)
+    keys = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), int(h), float(a), float(b)) for i, h, (a, b) in zip(keys, g, x, strict=True)], "id long, g int, a double, b double")
+    got = {r["key"]: [(n["distance"], n["neighbour"]) for n in r["near"]] for r in V.nearest(df, "id", ["a", "b"], 5, groups).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {int(keys[i]): sorted((d[i, j], int(keys[j])) for j in range(len(x)) if j != i and g[i] == g[j])[:5] for i in range(len(x))}
+    assert got == want

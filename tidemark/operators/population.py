@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import MAD_SCALE, array_mad, array_median
+from tidemark.operators import neighbours as V
 
 
 def cross_median(df: DataFrame, value: str, order: str = "bucket") -> DataFrame:
@@ -28,13 +29,9 @@ def relative(df: DataFrame, value: str, order: str = "bucket") -> DataFrame:
 
 
 def nearest(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
-    """(key, rank, neighbour, distance) in the features' own units. For small tables; blocks do the large ones."""
-    a = df.select(F.col(key).alias("key"), F.array(*features).alias("x"))
-    b = F.broadcast(df.select(F.col(key).alias("neighbour"), F.array(*features).alias("y")))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    pairs = a.join(b, F.col("key") != F.col("neighbour")).select("key", "neighbour", d.alias("distance"))
-    w = Window.partitionBy("key").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(key, rank, neighbour, distance) in the features' own units, ties to the smaller neighbour; for tables of any size."""
+    rows = V.nearest(df, key, features, k).select("key", F.posexplode("near").alias("i", "n"))
+    return rows.select("key", (F.col("i") + 1).alias("rank"), "n.neighbour", "n.distance")
 
 
 def standardise(x: np.ndarray) -> np.ndarray:
