@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import incidents as I
 from tidemark.operators import multiple as M
 from tidemark.operators import neighbours as V
+from tidemark.operators import population as P
 from tidemark.operators import relations as L
 from tidemark.plans import catalog
 
@@ -93,3 +94,32 @@ def test_nearest_over_many_leaves_is_exact(spark, monkeypatch, groups):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     want = {int(keys[i]): sorted((d[i, j], int(keys[j])) for j in range(len(x)) if j != i and g[i] == g[j])[:5] for i in range(len(x))}
     assert got == want
+
+
+def plain_outliers(x, k):
+    scale = lambda v: s if (s := 1.4826 * np.median(abs(v - np.median(v)))) > 0 else np.std(v, ddof=1)
+    z = np.column_stack([(c - np.median(c)) / (scale(c) or 1) for c in x.T])
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    near = [sorted((j for j in range(len(z)) if j != i), key=lambda j: (d[i, j], j))[:k] for i in range(len(z))]
+    total = [sum(max(d[j, near[j][-1]], d[i, j]) for j in near[i]) for i in range(len(z))]
+    lrd = [len(n) / t if t > 0 else math.inf for n, t in zip(near, total, strict=True)]
+    lof = [1.0 if math.isinf(lrd[i]) else sum(lrd[j] for j in near[i] if lrd[j] < math.inf) / (len(near[i]) * lrd[i]) for i in range(len(z))]
+    inner = [np.mean([d[a, b] for a in n for b in n if a != b]) for n in near]
+    ldof = [np.mean(d[i, near[i]]) / inner[i] if inner[i] > 0 else 1.0 for i in range(len(z))]
+    score = 0
+    for raw in ([np.mean(d[i, near[i]]) for i in range(len(z))], [d[i, near[i][-1]] for i in range(len(z))], lof, ldof):
+        v = np.log(np.maximum(raw, 1e-12))
+        score = score + (1 / (1 + np.exp(3 - (v - np.median(v)) / scale(v))) if scale(v) > 0 else 0)
+    return score / 4
+
+
+def test_outliers_of_groups_of_any_size(spark):
+    """Equal rows, groups apart, a group of two, a missing feature; the same keys in both groups."""
+    rng = np.random.default_rng(6)
+    one, two = np.r_[rng.normal(0, 1, (60, 2)), np.tile([[3.0, 3.0]], (9, 1))], rng.normal(50, 9, (40, 2))
+    rows = [(h, i, float(a), float(b)) for h, x in (("p", one), ("q", two)) for i, (a, b) in enumerate(x)] + [("r", 1, 1.0, 2.0), ("r", 2, 5.0, 2.0), ("q", 99, None, 1.0)]
+    got = {(r["h"], r["id"]): r for r in P.outliers(spark.createDataFrame(rows, "h string, id long, a double, b double"), ["h"], "id", ["a", "b"]).collect()}
+    for h, x in (("p", one), ("q", two)):
+        assert [got[h, i]["score"] for i in range(len(x))] == pytest.approx(plain_outliers(x, 5), abs=1e-9)
+    assert got["r", 1]["score"] == 0 and got["q", 99]["score"] is None and sum(got["q", 3]["influence"]) == pytest.approx(1)
+    assert len(got) == len(rows)

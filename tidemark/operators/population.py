@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import MAD_SCALE, array_mad, array_median
 from tidemark.operators import neighbours as V
+from tidemark.operators.multiple import same
 
 
 def cross_median(df: DataFrame, value: str, order: str = "bucket") -> DataFrame:
@@ -103,15 +103,52 @@ def ensemble(x: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.mean([squash(p) for p in parts], axis=0), np.where(total > 0, gap / np.where(total > 0, total, 1), 1 / z.shape[1])
 
 
-def outliers(df: DataFrame, by: list[str], key: str, features: list[str], k: int = 5) -> DataFrame:
-    """(*by, key, score, influence array) of each group's feature table, groups in parallel."""
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, key]) + ", score double, influence array<double>"
+METHODS = ("knn", "kth_nn", "lof", "ldof")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[[*by, key]].copy()
-        s, i = ensemble(pdf[features].to_numpy(float), k) if len(pdf) >= 3 else (np.zeros(len(pdf)), np.zeros((len(pdf), len(features))))
-        out["score"], out["influence"] = s, list(i)
-        return out
+def _scales(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(g, m_c, s_c): median and scaled MAD of each column by group, else the sample deviation, else 0."""
+    m = df.groupBy("g").agg(*(F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in cols))
+    mads = df.join(m, "g").groupBy("g").agg(*(F.percentile(F.abs(F.col(c) - F.col(f"m_{c}")), F.lit(0.5)).alias(f"a_{c}") for c in cols), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"d_{c}") for c in cols))
+    s = lambda c: F.when(F.col(f"a_{c}") > 0, MAD_SCALE * F.col(f"a_{c}")).otherwise(F.col(f"d_{c}"))
+    return m.join(mads, "g").select("g", *(F.col(f"m_{c}") for c in cols), *(s(c).alias(f"s_{c}") for c in cols))
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+
+def outliers(df: DataFrame, by: list[str], key: str, features: list[str], k: int = 5) -> DataFrame:
+    """(*by, key, score, influence array) within each group, for groups of any size; keys are unique in a group.
+
+    Features are standardised by group; the score is the mean of the squashed kNN and kth distances, LOF and LDOF. The
+    influence is each feature's share of the squared distance to the neighbours, null where that is 0. Groups of fewer
+    than three rows score 0; rows that lack a feature have no score.
+    """
+    groups = df.select(*by).distinct().withColumn("g", (F.row_number().over(Window.orderBy(*by)) - 1).cast("double"))
+    names = [f"f{i}_" for i in range(len(features))]
+    rows = df.select(*by, F.col(key).alias("key"), *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in zip(features, names, strict=True)))
+    rows = V.keep(rows.join(groups.withColumnsRenamed({c: f"{c}_k" for c in by}), same(by)).drop(*(f"{c}_k" for c in by)))
+    whole = rows.dropna(subset=names)
+    sizes = whole.groupBy("g").agg(F.count("*").alias("n")).filter("n >= 3")
+    z = whole.join(sizes, "g").join(_scales(whole, names), "g")
+    z = z.select("g", "key", *((F.col(n) - F.col(f"m_{n}")).__truediv__(F.when(F.col(f"s_{n}") > 0, F.col(f"s_{n}")).otherwise(1.0)).alias(n) for n in names))
+    near = V.keep(V.nearest(z, "key", names, k, "g"))
+
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    apart = lambda u, v: F.sqrt(add(F.zip_with(u, v, lambda p, q: (p - q) * (p - q))))
+    size = F.size("near")
+    inner = add(F.flatten(F.transform("near", lambda a: F.transform("near", lambda b: apart(a["y"], b["y"]))))) / (size * (size - 1))
+    links = near.select("g", "key", F.explode("near").alias("n")).select("g", "key", F.col("n.neighbour").alias("nb"), "n.distance")
+    reach = near.select("g", F.col("key").alias("nb"), F.element_at("near", -1)["distance"].alias("kd"))
+    dense = links.join(reach, ["g", "nb"]).groupBy("g", "key").agg(F.count("*").alias("c"), F.sum(F.greatest("kd", "distance")).alias("sum"))
+    dense = dense.select("g", "key", "c", F.when(F.col("sum") > 0, F.col("c") / F.col("sum")).alias("lrd"))  # null: infinite
+    around = links.join(dense.select("g", F.col("key").alias("nb"), F.col("lrd").alias("other")), ["g", "nb"]).groupBy("g", "key").agg(F.coalesce(F.sum("other"), F.lit(0.0)).alias("around"))
+    lof_ = dense.join(around, ["g", "key"]).select("g", "key", F.coalesce(F.col("around") / (F.col("c") * F.col("lrd")), F.lit(1.0)).alias("lof"))
+    mean = add(F.transform("near", lambda a: a["distance"])) / size
+    off = lambda i: F.transform("near", lambda a: (F.col("x")[i] - a["y"][i]) * (F.col("x")[i] - a["y"][i]))
+    gap = F.array(*(add(off(i)) for i in range(len(names))))
+    raw = near.select("g", "key", mean.alias("knn"), F.element_at("near", -1)["distance"].alias("kth_nn"), F.when((size >= 2), F.when(inner > 0, mean / F.when(inner > 0, inner))).alias("ldof"), gap.alias("gap"))
+    raw = raw.join(lof_, ["g", "key"]).withColumn("ldof", F.coalesce("ldof", F.lit(1.0)))
+    raw = V.keep(raw.select("g", "key", "gap", *(F.log(F.greatest(F.col(c), F.lit(1e-12))).alias(c) for c in METHODS)))
+    part = lambda c: F.when(F.col(f"s_{c}") > 0, 1 / (1 + F.exp(3 - (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}"))))).otherwise(0.0)
+    total = add(F.col("gap"))
+    scored = raw.join(_scales(raw, list(METHODS)), "g").select("g", "key", (sum((part(c) for c in METHODS), F.lit(0.0)) / len(METHODS)).alias("score"), F.when(total > 0, F.transform("gap", lambda v: v / total)).alias("influence"))
+    out = rows.join(sizes, "g", "left").join(scored, ["g", "key"], "left")
+    return out.select(*by, F.col("key").alias(key), F.when(F.col("n").isNull(), 0.0).otherwise(F.col("score")).alias("score"), "influence")
