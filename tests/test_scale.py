@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import incidents as I
+from tidemark.operators import jobs as J
 from tidemark.operators import multiple as M
 from tidemark.operators import neighbours as V
 from tidemark.operators import population as P
@@ -123,3 +124,18 @@ def test_outliers_of_groups_of_any_size(spark):
         assert [got[h, i]["score"] for i in range(len(x))] == pytest.approx(plain_outliers(x, 5), abs=1e-9)
     assert got["r", 1]["score"] == 0 and got["q", 99]["score"] is None and sum(got["q", 3]["influence"]) == pytest.approx(1)
     assert len(got) == len(rows)
+
+
+def test_influencers_do_not_sort_points(spark):
+    """Without size estimates the points of a job were shuffled whole and sorted by bucket."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = spark.range(10).select(F.timestamp_seconds("id").alias("time"), F.lit(1.0).alias("value"), F.lit("u").alias("user"))
+        d = J.Detector("count")
+        got = J._influencers(p, spark.range(1).select(F.lit(0).cast("long").alias("bucket"), F.lit("").alias("series")), d, J.Job("j", 60, (d,), influencers=("user",)))
+        plan = got._jdf.queryExecution().toString()
+        assert "strategy=broadcast" in plan
+        assert [tuple(i) for i in got.first()["influencers"]] == [("user", "u", 1.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -238,13 +238,14 @@ def _bucketed(df: DataFrame, d: Detector, job: Job) -> DataFrame:
 def _influencers(df: DataFrame, records: DataFrame, d: Detector, job: Job) -> DataFrame:
     """records with each influencer's most frequent value among the points of their bucket and series.
 
-    Only the points of buckets that have a record are counted.
+    Only the points of buckets that have a record are counted. The records' buckets go to the points, which so are
+    neither shuffled nor sorted by bucket: they are few, as each is a bucket of points that stands out.
     """
     if not job.influencers or "influencers" in records.columns:
         return records if "influencers" in records.columns else records.withColumn("influencers", F.array().cast("array<struct<field:string,value:string,share:double>>"))
     keyed = df.withColumn("bucket", X.bucket_of("time", job.span_s)).withColumn("series", series_of(d.split) if not d.function.startswith("time_of_") else F.lit(""))
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in job.influencers])).alias("i")
-    told = keyed.join(records.select("bucket", "series").distinct(), ["bucket", "series"], "left_semi").select("bucket", "series", pairs).select("bucket", "series", "i.*").filter("value <> ''")
+    told = keyed.join(F.broadcast(records.select("bucket", "series").distinct()), ["bucket", "series"], "left_semi").select("bucket", "series", pairs).select("bucket", "series", "i.*").filter("value <> ''")
     n = told.groupBy("bucket", "series", "field", "value").agg(F.count("*").alias("n"))
     # the most frequent value, ties to the one that sorts first: the least of (-n, value)
     top = n.groupBy("bucket", "series", "field").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("t"), F.sum("n").alias("all"))
