@@ -71,6 +71,51 @@ def test_marks_after_a_word_are_words_of_their_own(library):
     assert not any(p.strip()[:-1].isalpha() and p[-1] in "$&*%#" and p.isascii() for p in asked if len(p) < 9)
 
 
+def test_words_of_one_kind_go_to_the_merges_together(library):
+    tok, asked = rans._Tokenizer(vocabulary()), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    tok.lib, rng = Library(), random.Random(11)
+    parts = ["mail", "x", "\u00e9t\u00e9", "\u0436\u0443\u043a", "\u6f22\u5b57", "\u0915\u093f\u0924", "7", "4115431727187735", "\u00b2", "@", ".", "...", "$=", "\u3002", "|", "a" * 32]
+    ts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) + rng.choice(" \n") + rng.choice(parts) for _ in range(3000)]
+    for t, got in zip(ts, tok.encode(ts, "<u2"), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert all(p == "\n" or len(p.encode()) > rans._Merges.LONGEST for p in asked)
+
+
+def test_cuts_agree_with_the_library_at_every_character(library):
+    tok = rans._Tokenizer(vocabulary())
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 97)]]
+    for form in ["a{0}b {0}1{0}!{0}'s {0}", "1{0}\n{0} a\n{0}\n"]:
+        ts = [form.format(c) for c in chars]
+        want = library.encode_batch_fast(ts, add_special_tokens=False)
+        assert all(np.frombuffer(got, "<u2").tolist() == w.ids for got, w in zip(tok.encode(ts, "<u2"), want, strict=True))
+
+
+def test_forgotten_pieces_and_pieces_without_merges(library, monkeypatch):
+    monkeypatch.setattr(rans, "CACHE_WORDS", 40)
+    own, plain = rans._Tokenizer(vocabulary()), rans._Tokenizer(vocabulary())
+    plain.merges = None
+    for seed in range(5):
+        ts = samples(300, seed) + [f"{w}{seed % 2} it's {w}" for w in ("one", "two", "three" * 20)] + ["", "it", "'"]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in ts]
+        assert own.encode(ts, "<u2") == plain.encode(ts, "<u2") == want
+        assert len(own.words) <= 40
+    assert own.encode(["", ""], "<u2") == [b"", b""] and own.encode([], "<u2") == []
+
+
+def test_other_splits_go_to_the_library_whole():
+    path = vocabulary("word_bpe_49k.json")
+    other, tok = Tokenizer.from_file(path), rans._Tokenizer(path)
+    ts = samples(500, 4)
+    for t, got in zip(ts, tok.encode(ts, "<u4"), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
+
+
 def test_columns_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "c")], "doc_id long, text string")
     got = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary(), out="back").collect()

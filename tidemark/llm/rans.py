@@ -16,25 +16,24 @@ u32 CRC-32 of the ids, u32 checkpoints, then the documents' keys (i64) and lengt
 from __future__ import annotations
 
 import json
-import re
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import materialise, resident
+from .common import materialise, resident, text_slices
 
 LANES, BLOCK_IDS, CHECKPOINT = 2048, 1 << 19, 128
 SCALE_BITS, LOW = 20, 1 << 31
 MAGIC = b"TMR1"
-CACHE_WORDS, LINES = 400_000, 2000
+CACHE_WORDS = 400_000
 
 
 class Table:
@@ -171,94 +170,262 @@ def decode_frame(parts, table: Table, check: bool = True) -> np.ndarray:
     return ids
 
 
+#: Classes of characters. OTHER are all that are neither letters, numbers nor white space, but the apostrophe, which may begin a word such as 's.
+#: NOT_SPACE may be any of these.
+UNKNOWN, NOT_SPACE, LETTER, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, LINE_END = range(9)
+
+
+def _kind(code: int) -> int:
+    ch = chr(code)
+    if ch in "' \n":
+        return {"'": APOSTROPHE, " ": SPACE, "\n": LINE_END}[ch]
+    if code < 0x80:
+        return WHITE if 9 <= code <= 13 else UNKNOWN if 28 <= code <= 31 else LETTER if ch.isalpha() else NUMBER if ch.isdigit() else OTHER
+    if ch.isspace():
+        return UNKNOWN
+    kind = unicodedata.category(ch)
+    return NOT_SPACE if kind == "Cn" else {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the code points below 2**16, and whether a word always ends between two classes (16 * first + second)."""
+    kinds, ends = np.array([_kind(c) for c in range(1 << 16)], np.uint8), np.zeros(256, bool)
+    for a in (NOT_SPACE, LETTER, NUMBER, OTHER, APOSTROPHE):
+        for b in (SPACE, WHITE, LINE_END):
+            ends[16 * a + b] = True
+    for a, b in [(LETTER, NUMBER), (LETTER, OTHER), (LETTER, APOSTROPHE), (NUMBER, LETTER), (NUMBER, OTHER), (NUMBER, APOSTROPHE), (OTHER, LETTER), (OTHER, NUMBER), (APOSTROPHE, NUMBER)]:
+        ends[16 * a + b] = True
+    return kinds, ends
+
+
+def _classes(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The class of each byte's character, of valid UTF-8."""
+    out = kinds[:256][raw]
+    (lead,) = np.nonzero(raw >= 0xC0)
+    if len(lead):
+        b = raw[lead]
+        at = lead[b < 0xE0]
+        out[at] = out[at + 1] = kinds[(raw[at] & 31).astype(np.int32) << 6 | raw[at + 1] & 63]
+        at = lead[(b >= 0xE0) & (b < 0xF0)]
+        out[at] = out[at + 1] = out[at + 2] = kinds[(raw[at] & 15).astype(np.int32) << 12 | (raw[at + 1] & 63).astype(np.int32) << 6 | raw[at + 2] & 63]
+        at = lead[b >= 0xF0]
+        out[at] = out[at + 1] = out[at + 2] = out[at + 3] = NOT_SPACE  # white space is below 2**16
+    return out
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places begins, begins + 1 ... of runs of these sizes one after another, and where each run ends among them."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(begins - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return at, ends
+
+
+class _Merges:
+    """The merges of byte-level BPE over many words at once: a round does the next merge of every word.
+
+    Symbols lie in a matrix, words in columns and places in rows, as a linked list along each column. keys holds
+    for each symbol the rank of its pair with the next, times 32, plus its row; so the least of a column is the merge
+    that is due, the leftmost of equals. Pairs are looked up in a hash table with open addressing.
+    """
+
+    PAD, NONE, LONGEST, WORDS = 0xFFFF, 1 << 30, 32, 8192
+
+    def __init__(self, model: dict, symbols: list[str]) -> None:
+        vocab = model["vocab"]
+        self.first = np.array([vocab[s] for s in symbols], np.uint32)
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.result = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        left = {vocab[a] << 16 | vocab[b]: 32 * rank for rank, (a, b) in enumerate(pairs)}  # of a pair named twice the last rank counts
+        pair, rank = np.array([*left], np.uint32), np.array([*left.values()], np.int32)
+        self.bits = max(10, (4 * len(pair)).bit_length())
+        self.empty = np.uint32(self.PAD << 16 | self.PAD)
+        self.pair, self.rank32 = np.full(1 << self.bits, self.empty), np.full(1 << self.bits, self.NONE, np.int32)
+        at = self._place(pair)
+        while len(pair):
+            _, one = np.unique(at, return_index=True)
+            one = one[self.pair[at[one]] == self.empty]
+            self.pair[at[one]], self.rank32[at[one]] = pair[one], rank[one]
+            rest = np.ones(len(pair), bool)
+            rest[one] = False
+            pair, rank, at = pair[rest], rank[rest], self._after(at[rest])
+
+    def _place(self, pair: np.ndarray) -> np.ndarray:
+        return (pair * np.uint32(2654435769) >> np.uint32(32 - self.bits)).astype(np.intp)
+
+    def _after(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """32 times the ranks of pairs of ids; NONE of those that don't merge."""
+        pair = a << np.uint32(16) | b
+        at = self._place(pair)
+        got, out = self.pair[at], self.rank32[at]
+        (other,) = np.nonzero(got != pair)
+        out[other] = self.NONE
+        other = other[got[other] != self.empty]
+        at = at[other]
+        while len(other):
+            at = self._after(at)
+            got = self.pair[at]
+            same = got == pair[other]
+            out[other[same]] = self.rank32[at[same]]
+            more = ~same & (got != self.empty)
+            other, at = other[more], at[more]
+        return out
+
+    def merged(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in ascending order of size, at most LONGEST bytes, one word after another; and how many each has."""
+        n, rows = len(begins), int(sizes[-1])
+        sym = np.full((rows + 1, n), self.PAD, np.uint32)
+        for j in range(rows):
+            lo = int(np.searchsorted(sizes, j, "right"))
+            sym[j, lo:] = self.first[raw[begins[lo:] + j]]
+        key = np.full((rows + 1, n), self.NONE, np.int32)
+        for j in range(rows - 1):
+            np.add(self.ranks(sym[j], sym[j + 1]), np.int32(j), out=key[j])
+        after = np.arange(n, (rows + 2) * n)
+        before = np.arange(-n, (rows + 1) * n)
+        before[:n] += (rows + 1) * n  # the row of padding stands before the first and after the last
+        syms, keys = sym.reshape(-1), key.reshape(-1)
+        while True:
+            least = key.min(axis=0)
+            (word,) = np.nonzero(least < self.NONE)
+            if not len(word):
+                break
+            least = least[word]
+            row = least & np.int32(31)
+            a = row * np.intp(n) + word
+            b = after[a]
+            c, z, new = after[b], before[a], self.result[least >> np.int32(5)]
+            syms[a], syms[b], keys[b] = new, self.PAD, self.NONE
+            after[a], before[c] = c, a
+            keys[a] = self.ranks(new, syms[c]) + row
+            keys[z] = self.ranks(syms[z], new) + (z // n).astype(np.int32)
+        left = sym.T != self.PAD
+        return sym.T[left], np.count_nonzero(left, axis=1)
+
+
 class _Tokenizer:
-    """The tokenizers library with the ids of the pieces it has met, packed, in two generations of CACHE_WORDS.
+    """The tokenizers library's ids of texts, worked out for the distinct pieces of many texts at once.
 
-    Texts are cut where the byte-level split always begins a new word: before a single space (see bpe.py), and, in
-    texts without other white space, around a single line end. A piece that ends in marks after a letter is two
-    words or more, the body's and the run of marks. Pieces met before come from the cache, the others go to the library, words in
-    Latin-1 letters LINES at a time. Texts with other white space, or what may be a special token, go to the library whole.
+    Texts are cut, in their bytes, where the byte-level split always begins a new word, whatever stands elsewhere:
+    between letters, numbers and other marks, before white space, and around a single line end. The pieces are
+    numbered by an Arrow dictionary after those met before (up to CACHE_WORDS, the ones met last staying). New pieces that are
+    one word, with a space before it at most, go to the merges all together; the others go to the library one by one, as do
+    whole texts with what may be a special token.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
-        line_end = self.lib.encode("\n", add_special_tokens=False).ids
-        self.symbols = dict(enumerate(byte_symbols()))
-        self.words = Tokenizer.from_file(path)  # the same merges without the split, and without a cache: each word comes once
-        self.words.no_truncation()
-        self.words.no_padding()
-        if hasattr(self.words.model, "_resize_cache"):
-            self.words.model._resize_cache(0)
-        self.words.pre_tokenizer = Split(self.symbols[10], "isolated")
         own = json.loads(self.lib.to_str())
-        plain = own["normalizer"] is None and own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.line_end = line_end[0] if plain and len(line_end) == 1 else None
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces; none if the text has to be encoded whole."""
-        if not text or "  " in text or text[-1] == " " or "\0" in text or any(s in text for s in self.special):
-            return []
-        if "\n" in text:
-            if "\n\n" in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
-                return text.replace(" ", "\0 ").split("\0")
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return text.replace(" ", "\0 ").split("\0")
-
-    def pieces(self, missing: list[str], dtype: str) -> Iterator[Iterator[tuple[str, bytes]]]:
-        """The pieces with their packed ids, many at a time. Pieces of letters of Latin-1, and a space before them at most, are words
-        that need no split: they go to the merges many at a time, in byte symbols, and are cut at the line ends' ids."""
-        fit = [p for p in missing if (p[1:] if p[0] == " " else p).isalpha()] if self.line_end is not None else []
-        if not "".join(fit).isascii():
-            fit = [p for p in fit if p.isascii() or not LATER.search(p)]
-        alone = list(set(missing).difference(fit))
-        for lo in range(0, len(fit), LINES):
-            block = fit[lo : lo + LINES]
-            symbols = "\n".join(block).encode().decode("latin-1").translate(self.symbols)
-            ids = np.array(self.words.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, dtype)
-            (ends,) = np.nonzero(ids == self.line_end)
-            if len(ends) != len(block) - 1:
-                alone += block
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            cuts = map(slice, [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)])
-            yield zip(block, map(raw.__getitem__, cuts), strict=True)
-        yield zip(alone, [np.array(e.ids, dtype).tobytes() for e in self.lib.encode_batch_fast(alone, add_special_tokens=False)], strict=True)
+        model, symbols = own["model"], byte_symbols()
+        self.plain = own["normalizer"] is None and own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        usual = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.merges = _Merges(model, symbols) if self.plain and usual and self.size < _Merges.PAD and all(s in model["vocab"] for s in symbols) else None
+        self.kinds, self.parts = _tables()
+        self.clock = 0
+        self.words = pa.array([], pa.large_binary())
+        self.begins = self.sizes = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def bounds(self, raw: np.ndarray, texts: pa.Array, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin, and the end of the last. ends: 0 and where each text ends."""
+        cut = np.zeros(len(raw) + 1, bool)
+        if self.plain and len(raw):
+            c = _classes(raw, self.kinds)
+            cut[1:-1] = self.parts[c[:-1] << 4 | c[1:]]
+            (at,) = np.nonzero(c[1:-1] == LINE_END)
+            word = (c > UNKNOWN) & (c < SPACE)
+            cut[at[word[at] & word[at + 2]] + 2] = True
+            for s in self.special:
+                for i in np.flatnonzero(pc.match_substring(texts, s)).tolist():
+                    cut[ends[i] : ends[i + 1]] = False
+        cut[ends] = True
+        return np.flatnonzero(cut)
+
+    def fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, and where in them each piece's begin and how many they are."""
+        raw, ends = _buffers(pieces)
+        begins, size = ends[:-1], np.diff(ends)
+        fit = np.zeros(len(pieces), bool)
+        if self.merges is not None and len(raw):
+            c = _classes(raw, self.kinds)
+            strange = (c < LETTER) | (c > OTHER)
+            seen = np.cumsum(np.append(0, strange))
+            fit = (seen[ends[1:]] - seen[begins] - (c[begins] == SPACE) == 0) & (size <= _Merges.LONGEST)
+            for s in self.special:
+                fit &= ~np.asarray(pc.match_substring(pieces, s))
+        at, n = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        order = np.flatnonzero(fit)
+        order = order[np.argsort(size[order], kind="stable")]
+        out, total = [], 0
+        for lo in range(0, len(order), _Merges.WORDS):
+            some = order[lo : lo + _Merges.WORDS]
+            ids, n[some] = self.merges.merged(raw, begins[some], size[some])
+            out.append(ids)
+        alone = np.flatnonzero(~fit)
+        if len(alone):
+            for i, e in zip(alone.tolist(), self.lib.encode_batch_fast(pieces.take(pa.array(alone)).cast(pa.large_string()).to_pylist(), add_special_tokens=False), strict=True):
+                out.append(np.array(e.ids, np.uint32))
+                n[i] = len(e.ids)
+        order = np.concatenate([order, alone])
+        at[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate([np.zeros(0, np.uint32), *out]), at, n
+
+    def block(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (large strings), each text's followed by the end id if there is one; and 0 and where each text's end."""
+        texts.validate(full=True)  # bytes that are no UTF-8 raise an error
+        raw, ends = _buffers(texts)
+        bounds = self.bounds(raw, texts, ends)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        known = len(self.words)
+        coded = pa.concat_arrays([self.words, pieces]).dictionary_encode()
+        index, words = coded.indices.to_numpy()[known:], coded.dictionary
+        ids, begins, sizes = self.fresh(words.slice(known))
+        begins, sizes, ids = np.append(self.begins, begins + len(self.ids)), np.append(self.sizes, sizes), np.append(self.ids, ids)
+        met = np.append(self.met, np.zeros(len(words) - known, np.int64))
+        self.clock += 1
+        met[index] = self.clock
+        self.remember(words, begins, sizes, ids, met)
+        stops = np.searchsorted(bounds, ends)
+        if end is not None:
+            index = np.insert(index, stops[1:], len(sizes))
+            begins, sizes, ids = np.append(begins, len(ids)), np.append(sizes, 1), np.append(ids, np.uint32(end))
+            stops += np.arange(len(stops))
+        at, done = _spread(begins[index], sizes[index])
+        return ids[at], np.append(0, done)[stops]
+
+    def remember(self, words: pa.Array, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray, met: np.ndarray) -> None:
+        """Keep short pieces: all, or the half of CACHE_WORDS that was met last."""
+        keep = np.diff(_buffers(words)[1]) <= 64
+        if np.count_nonzero(keep) > CACHE_WORDS:
+            order = np.argsort(np.where(keep, met, -1), kind="stable")
+            keep[order[: -(CACHE_WORDS // 2)]] = False
+        if not keep.all():
+            (kept,) = np.nonzero(keep)
+            words, sizes, met = words.take(pa.array(kept)), sizes[kept], met[kept]
+            at, ends = _spread(begins[kept], sizes)
+            ids, begins = ids[at], ends - sizes
+        self.words, self.begins, self.sizes, self.ids, self.met = words, begins, sizes, ids, met
 
     def encode(self, texts: list[str], dtype: str) -> list[bytes]:
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        new[""] = b""
-        cut = list(map(self.cut, texts))
-        missing = set(chain.from_iterable(cut)).difference(new)
-        for piece in missing & old.keys():
-            new[piece] = old[piece]
-            missing.discard(piece)
-        two = [(p, b, p[len(b) :]) for p in missing if p[-1] in MARKS and (b := p.rstrip(MARKS))[-1:].isalpha()]
-        missing.difference_update(p for p, _, _ in two)
-        missing.update({b for _, b, _ in two}.difference(new), {m for _, _, m in two}.difference(new))
-        for got in self.pieces(list(missing), dtype):
-            new.update(got)
-        for p, body, marks in two:
-            new[p] = new[body] + new[marks]
-        whole = [t for t, parts in zip(texts, cut, strict=True) if t and not parts]
-        rest = iter([np.array(e.ids, dtype).tobytes() for e in self.lib.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
-        get = new.__getitem__
-        return [b"".join(map(get, parts)) if parts else next(rest) if t else b"" for t, parts in zip(texts, cut, strict=True)]
-
-
-LATER = re.compile("[^\\x00-\\xff]")
-#: Marks that end a word when a letter stands before them; a run of them is a word. The apostrophe may begin one.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        """The packed ids of each text."""
+        ids, ends = self.block(pa.array(texts, pa.large_string()))
+        raw, ends = ids.astype(dtype).tobytes(), (ends * np.dtype(dtype).itemsize).tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of large strings or binaries without nulls; 0 and where each row's end."""
+    ends = np.frombuffer(column.buffers()[1] or bytes(8), np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
 def _tokenizer(path: str) -> _Tokenizer:
@@ -278,17 +445,16 @@ def tokenise(docs: DataFrame, path: str, text: str, key: str, end_id: int, n_sha
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _tokenizer(path)
         dtype = width(max(tok.size, end_id + 1))
-        shard, at, end, total = TaskContext.get().partitionId(), 0, np.array([end_id], dtype).tobytes(), np.zeros(max(tok.size, end_id + 1), np.int64)
+        shard, at, total = TaskContext.get().partitionId(), 0, np.zeros(max(tok.size, end_id + 1), np.int64)
         names = ["shard", "key", "at", "n", "ids"]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 1000):
-                ids = [x + end for x in tok.encode(texts[lo : lo + 1000], dtype)]
-                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(total))
-                n = np.array([len(x) for x in ids]) // np.dtype(dtype).itemsize
-                ends = at + np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0).slice(lo, len(ids)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], names=names)
-                at = int(ends[-1])
+            for lo, hi in text_slices(batch.column(1), 4 << 20):
+                ids, ends = tok.block(batch.column(1).slice(lo, hi - lo).cast(pa.large_string()), end_id)
+                total += np.bincount(ids, minlength=len(total))
+                ids, n = ids.astype(dtype), np.diff(ends)
+                packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), batch.column(0).slice(lo, len(n)), pa.array(at + ends[:-1]), pa.array(n), packed], names=names)
+                at += int(ends[-1])
         if at:
             (seen,) = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.int64()), pa.array([np.stack([seen, total[seen]]).astype("<i8").tobytes()], pa.binary())], names=names)
